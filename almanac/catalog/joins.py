@@ -9,8 +9,11 @@ from almanac.catalog.panels import check, query, r, settle
 from almanac.catalog.projections import backtest_steps, board
 from almanac.functions.scoring import accuracy_percent
 from almanac.operators import relate, rollup
+from almanac.operators.metrics import regression_metrics
 from almanac.plans import lookback, tuning
-from almanac.sources.tables import read_table
+from almanac.plans.forecasts import backtest_baselines
+from almanac.session import shared_dir
+from almanac.sources.sinks import overwrite_metrics, read_metrics
 
 COVARIATES = ["temperature", "humidity", "wind_speed", "cloud_cover", "surface_pressure"]
 
@@ -28,7 +31,7 @@ def monthly_with_covariates(spark, d):
 
 
 @query("j3_monthly_lookback", check(
-    f"""select request_id, series_id, year, month, {r("coalesce(p1, nl1)", "value_lag_1", 2)},
+    f"""select request_id, base.series_id, base.year, base.month, {r("coalesce(p1, nl1)", "value_lag_1", 2)},
     {r("coalesce(p12, def)", "value_lag_12", 2)},
     {r('''case when (case when p1 is null then 0 else 1 end) + (case when p2 is null then 0 else 1 end)
       + (case when p3 is null then 0 else 1 end) >= 2
@@ -120,24 +123,20 @@ _OVERALL = """select model_key, avg(abs(actual - predicted)) as mae,
 
 def overall_metrics(monthly):
     """Errors of the simple models over all series of a panel, in the metrics-table layout."""
-    from almanac.operators.metrics import regression_metrics
-    from almanac.plans.forecasts import backtest_baselines
-
     m = regression_metrics(backtest_baselines(monthly), ["model_key"]).withColumnRenamed("r2", "r2_score")
     return m.select("model_key", "mae", "rmse", "r2_score", accuracy_percent(F.col("r2_score")).alias("accuracy_percent"))
 
 
-def _prefixed(steps: dict[str, str], prefix: str) -> dict[str, str]:
-    """The backtest steps under other names, so that two panels fit in one statement."""
-    import re
-
-    names = "|".join(steps)
-    return {prefix + n: re.sub(rf"(?<= )({names})(?=[ \n)]|$)", prefix + r"\1", s) for n, s in steps.items()}
+def stored_metrics(spark, metrics):
+    """Metrics written to a store of their own and read back, so that several readers cost one backtest."""
+    path = shared_dir(spark, "metrics")
+    overwrite_metrics(metrics, path)
+    return read_metrics(spark, path)
 
 
 _TWO_STORES = {
     **backtest_steps("qm"),
-    **_prefixed(backtest_steps("sm"), "x"),
+    **backtest_steps("sm", "x"),
     "pri": f"select * from ({_OVERALL.format('bt')}) where model_key in ('climatology', 'lag_12')",
     "sec": f"""select 'daily_' || model_key as model_key, mae, rmse, r2_score,
         round(least(100, greatest(0, r2_score * 100)), 1) as accuracy_percent from ({_OVERALL.format('xbt')})
@@ -162,8 +161,8 @@ _TWO_STORES = {
     from sec where model_key = 'daily_last_value'""",
     "qm", "sm", **_TWO_STORES))
 def metrics_fallback(spark, d):
-    first = overall_metrics(P.quantity_monthly(spark, d))
-    second = overall_metrics(P.supplier_monthly(spark, d))
+    first = stored_metrics(spark, overall_metrics(P.quantity_monthly(spark, d)))
+    second = stored_metrics(spark, overall_metrics(P.supplier_monthly(spark, d)))
     registry = first.select("model_key", F.concat(F.lit("Model "), "model_key").alias("name"))
     primary = first.filter(F.col("model_key").isin("climatology", "lag_12"))
     secondary = second.withColumn("model_key", F.concat(F.lit("daily_"), "model_key")).unionByName(second)

@@ -35,15 +35,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _nudge(digits: int) -> float:
+    return 10.0 ** -(digits + 4)
+
+
 def settle(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
-    """Round every DOUBLE column, and turn -0.0 into 0.0, so that two engines agree to the digit."""
+    """Round every DOUBLE column so that two engines agree to the digit.
+
+    A mean often ends exactly in the middle between two rounded values, give or take the
+    last bit. A nudge far below the kept digits settles which way it goes; adding 0.0
+    turns -0.0 into 0.0. The checks do the same, see ``r``.
+    """
     types = dict(df.dtypes)
-    return df.select(
-        *[
-            (F.round(c, special.get(c, digits)) + F.lit(0.0)).alias(c) if types[c] == "double" else F.col(c)
-            for c in df.columns
-        ]
-    )
+
+    def rounded(c: str):
+        n = special.get(c, digits)
+        return (F.round(F.col(c) + F.lit(_nudge(n)), n) + F.lit(0.0)).alias(c)
+
+    return df.select(*[rounded(c) if types[c] == "double" else F.col(c) for c in df.columns])
 
 
 # --- Panels -----------------------------------------------------------------------------
@@ -221,4 +230,5 @@ def check(body: str, *panels: str, **steps: str) -> str:
 
 
 def r(expr: str, name: str, digits: int = 4) -> str:
-    return f"round({expr}, {digits}) + 0.0 as {name}"
+    """The DuckDB side of ``settle`` for one column."""
+    return f"round(({expr}) + {_nudge(digits)!r}, {digits}) + 0.0 as {name}"

@@ -120,32 +120,33 @@ def non_negative(spark, d):
 
 
 # The backtest of the simple models, as steps of a DuckDB check over a monthly panel.
-def backtest_steps(panel: str) -> dict[str, str]:
+def backtest_steps(panel: str, prefix: str = "") -> dict[str, str]:
+    x = prefix
     return {
-        "po": f"""select *, row_number() over (partition by series_id order by year, month) as pos,
+        f"{x}po": f"""select *, row_number() over (partition by series_id order by year, month) as pos,
             count(*) over (partition by series_id) as n from {panel}""",
-        "sp": "select *, case when pos <= n - cast(ceil(0.2 * n) as bigint) then 'train' else 'test' end as split from po",
-        "yr": """select series_id, month, year, avg(value) as value, sum(value) as total, count(value) as c from sp
+        f"{x}sp": f"select *, case when pos <= n - cast(ceil(0.2 * n) as bigint) then 'train' else 'test' end as split from {x}po",
+        f"{x}yr": f"""select series_id, month, year, avg(value) as value, sum(value) as total, count(value) as c from {x}sp
             where split = 'train' group by 1, 2, 3""",
-        "tr": """select series_id, month, sum(total) / sum(c) as mean, sum(c) as nr, count(*) as ny, avg(year) as my,
-            regr_sxy(value, year) / (regr_sxx(value, year) + 1e-8) as slope from yr group by 1, 2""",
-        "te": f"""select s.series_id, s.year, s.month, s.value as actual, l1.value as lag1, l12.value as lag12,
-            coalesce(mean, 100) as base, nr, ny, my, slope from sp s left join tr
-            on s.series_id = tr.series_id and s.month = tr.month
+        f"{x}tr": f"""select series_id, month, sum(total) / sum(c) as mean, sum(c) as nr, count(*) as ny, avg(year) as my,
+            regr_sxy(value, year) / (regr_sxx(value, year) + 1e-8) as slope from {x}yr group by 1, 2""",
+        f"{x}te": f"""select s.series_id, s.year, s.month, s.value as actual, l1.value as lag1, l12.value as lag12,
+            coalesce(mean, 100) as base, nr, ny, my, slope from {x}sp s left join {x}tr f
+            on s.series_id = f.series_id and s.month = f.month
             left join {panel} l1 on l1.series_id = s.series_id and l1.year * 12 + l1.month = s.year * 12 + s.month - 1
             left join {panel} l12 on l12.series_id = s.series_id and l12.year = s.year - 1 and l12.month = s.month
             where s.split = 'test'""",
-        "bt": """select series_id, year, month, actual, 'climatology' as model_key, base as predicted from te
+        f"{x}bt": f"""select series_id, year, month, actual, 'climatology' as model_key, base as predicted from {x}te
             union all select series_id, year, month, actual, 'climatology_trend', greatest(0.0,
-              case when nr >= 5 and ny >= 2 then base + slope * (year - my) else base * (1 + 0.004 * (year - 2020)) end) from te
-            union all select series_id, year, month, actual, 'lag_12', lag12 from te
-            union all select series_id, year, month, actual, 'last_value', lag1 from te""",
-        "lb": """select series_id, model_key, count(predicted) as n, avg(abs(actual - predicted)) as mae,
+              case when nr >= 5 and ny >= 2 then base + slope * (year - my) else base * (1 + 0.004 * (year - 2020)) end) from {x}te
+            union all select series_id, year, month, actual, 'lag_12', lag12 from {x}te
+            union all select series_id, year, month, actual, 'last_value', lag1 from {x}te""",
+        f"{x}lb": f"""select series_id, model_key, count(predicted) as n, avg(abs(actual - predicted)) as mae,
             sqrt(avg((actual - predicted) * (actual - predicted))) as rmse,
             case when var_pop(case when predicted is not null then actual end) > 0 then
               1 - sum((actual - predicted) * (actual - predicted)) /
               (var_pop(case when predicted is not null then actual end) * count(predicted)) end as r2
-            from bt group by 1, 2""",
+            from {x}bt group by 1, 2""",
     }
 
 

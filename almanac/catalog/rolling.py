@@ -127,7 +127,7 @@ def sequences(spark, d):
 
 
 @query("w10_sequences_daily", check(
-    f"""select series_id, date, len(h) as steps, {r("list_sum(list_transform(h, x -> x.value))", "value_total")},
+    f"""select series_id, date, len(h) as steps, {r("list_sum([x.value for x in h])", "value_total")},
     {r("h[1].temperature", "first_temperature")}, {r("h[30].humidity", "last_humidity")}, value as target from (
     select series_id, date, value, list({{'value': value, 'temperature': temperature, 'humidity': humidity}})
     over (partition by series_id order by date rows between 30 preceding and 1 preceding) as h from dd)

@@ -170,3 +170,41 @@ def feature_columns(df: DataFrame, exclude: tuple[str, ...] = ("series_id", "dat
 def align_features(df: DataFrame, wanted: list[str]) -> list[Column]:
     """The wanted feature columns, as doubles; a column the frame lacks becomes 0."""
     return [(F.col(c).cast("double") if c in df.columns else F.lit(0.0)).alias(c) for c in wanted]
+
+
+# --- Features of a request, which has no observation of its own yet -----------------------
+
+SERVING_SPEC = DailySpec(lags=[1, 7, 30], windows=[7], covariate_windows=[7], month_cycle=False)
+# What the daily lookback and the calendar can tell about a day to come.
+SERVING_FEATURES = [
+    "year", "month", "day", "day_of_year", "doy_sin", "doy_cos", "trend",
+    "value_lag_1", "value_lag_7", "value_lag_30", "value_ma_7",
+    "temperature_lag_1", "temperature_ma_7", "humidity_lag_1", "wind_speed_lag_1",
+]
+
+
+def with_day_fields(df: DataFrame, base_year: int = BASE_YEAR) -> DataFrame:
+    parts = date_parts("date")
+    sin, cos = cyclic(parts["day_of_year"], 365)
+    return df.select(
+        "*", *[c.alias(n) for n, c in parts.items()], sin.alias("doy_sin"), cos.alias("doy_cos"),
+        day_trend(parts["year"], parts["day_of_year"], base_year).alias("trend"),
+    )
+
+
+def request_features(known: DataFrame, panel_columns: list[str], base_year: int) -> DataFrame:
+    """Monthly features of requests that carry their lookback and covariate normals.
+
+    The normal of a covariate also stands in for its lags and its average.
+    """
+    sin, cos = cyclic("month", 12)
+    cols = [
+        sin.alias("month_sin"), cos.alias("month_cos"),
+        month_trend("year", "month", base_year).alias("trend"), quarter_of("month").alias("quarter"),
+    ]
+    for c in covariate_columns(known):
+        if c in panel_columns:
+            optional = c in ("cloud_cover", "surface_pressure")
+            cols += [F.col(c).alias(f"{c}_lag_{k}") for k in ([1] if optional else [1, 12])]
+            cols.append(F.col(c).alias(f"{c}_ma_3"))
+    return known.select("*", *cols)

@@ -85,14 +85,16 @@ def hold_out_search(
 
     try:
         with ThreadPoolExecutor(max_workers=parallelism) as pool:
-            rows = list(pool.map(inheritable_thread_target(run), combinations(grid)))
+            rows = list(pool.map(inheritable_thread_target(spark)(run), combinations(grid)))
     finally:
         frame.unpersist()
     return spark.createDataFrame(rows, RESULT_SCHEMA).orderBy(F.desc_nulls_last("test_r2"))
 
 
-def top_results(results: DataFrame, n: int = 10) -> DataFrame:
-    return results.orderBy(F.desc_nulls_last("test_r2"), F.col("params").cast("string")).limit(n)
+def top_results(results: DataFrame, n: int = 10, score: str = "test_r2", tiebreak: list[str] | None = None) -> DataFrame:
+    """The n best results. Spark keeps n per task and merges them."""
+    ties = [F.col(c) for c in tiebreak] if tiebreak else [F.to_json("params")]
+    return results.orderBy(F.desc_nulls_last(score), *ties).limit(n)
 
 
 def cross_validated_search(
