@@ -13,7 +13,7 @@ from almanac.operators.metrics import regression_metrics
 from almanac.plans import lookback, tuning
 from almanac.plans.forecasts import backtest_baselines
 from almanac.session import shared_dir
-from almanac.sources.sinks import overwrite_metrics, read_metrics
+from almanac.sources.sinks import overwrite_metrics, read_metrics, stored
 
 COVARIATES = ["temperature", "humidity", "wind_speed", "cloud_cover", "surface_pressure"]
 
@@ -87,7 +87,7 @@ _DAILY_LOOKBACK = check(
 @query("j4_daily_lookback", _DAILY_LOOKBACK)
 def daily_lookback(spark, d):
     requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "date")
-    out = lookback.daily_lookback(requests, P.combined_daily(spark, d))
+    out = lookback.daily_lookback(requests, stored(P.combined_daily(spark, d), "daily"))
     return settle(out.select("request_id", "series_id", "date", *[c for c in out.columns if "_lag_" in c or "_ma_" in c]))
 
 

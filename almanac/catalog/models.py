@@ -18,6 +18,7 @@ from almanac.plans import autoregression as A
 from almanac.plans import features as X
 from almanac.plans import forecasts, lookback, stationarity, training, tuning
 from almanac.session import shared_dir
+from almanac.sources.sinks import stored
 
 # --- Closed-form forecasters ------------------------------------------------------------
 
@@ -440,7 +441,7 @@ def feature_importance(spark, d):
 @query("m23_batch_scoring_monthly")
 def batch_scoring_monthly(spark, d):
     """Monthly requests scored with looked-up history, covariate normals and calendar features."""
-    monthly = P.combined_monthly(spark, d).drop("date")
+    monthly = stored(P.combined_monthly(spark, d).drop("date"), "monthly")
     base_year = monthly.agg(F.min("year")).first()[0]
     frame = X.monthly_features(monthly, base_year=base_year)
     trained, _ = training.train_and_evaluate(
@@ -462,7 +463,7 @@ def score_monthly(requests, monthly, trained):
 @query("m24_batch_scoring_daily")
 def batch_scoring_daily(spark, d):
     """Daily requests scored by a model that learned from the features a request can have."""
-    daily = P.combined_daily(spark, d)
+    daily = stored(P.combined_daily(spark, d), "daily")
     frame = X.daily_features(daily.drop("year", "month", "day"), X.SERVING_SPEC)
     trained, _ = training.train_and_evaluate(
         frame, X.SERVING_FEATURES, training.random_forest(trees=20, depth=5), C.BASE_YEAR, windows.DAILY_ORDER

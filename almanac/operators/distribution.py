@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.relate import broadcast_if_small
-from almanac.session import shared_dir
+from almanac.sources.sinks import stored
 
 
 def histogram(df: DataFrame, bins: int, value: str = "value") -> DataFrame:
@@ -52,22 +52,17 @@ def exact_quantiles(df: DataFrame, probs: list[float], value: str = "value", sli
     Equal values collapse to counters. Approximate quantiles of the counters cut each
     series into slices of similar size; the slice totals tell which slices hold the
     wanted ranks, and only those are sorted, slice by slice. The cuts steer the work
-    alone: any cuts give the same result. They are written out so that a recomputed task
-    sees the same ones.
+    alone: any cuts give the same result. Counters and cuts are written out: the rows are
+    read and shuffled once, and a recomputed task sees the same cuts.
     """
-    spark = df.sparkSession
-    counts = (
+    counts = stored(
         df.filter(F.col(value).isNotNull())
         .groupBy("series_id", F.col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    path = shared_dir(spark, "cuts")
-    (
-        counts.groupBy("series_id")
-        .agg(F.percentile_approx("v", [i / slices for i in range(1, slices)]).alias("cuts"))
-        .write.parquet(path)
+        .agg(F.count(F.lit(1)).alias("n")),
+        "counts",
     )
-    cuts = spark.read.parquet(path)
+    at_shares = [i / slices for i in range(1, slices)]
+    cuts = stored(counts.groupBy("series_id").agg(F.percentile_approx("v", at_shares).alias("cuts")), "cuts")
     below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
     sliced = counts.join(broadcast_if_small(cuts), "series_id").select("series_id", "v", "n", below.alias("slice"))
 

@@ -97,19 +97,19 @@ def fallback_merge(registry: DataFrame, primary: DataFrame, secondary: DataFrame
 
 
 def side_by_side(metrics: DataFrame, asked: DataFrame) -> DataFrame:
-    """Metrics of the two models each row of ``asked`` (series_id, model_a, model_b) names."""
-    fields = ["mae", "rmse", "r2"]
-
-    def side(tag: str) -> DataFrame:
-        return metrics.select(
-            "series_id", F.col("model_key").alias(f"model_{tag}"), *[F.col(m).alias(f"{m}_{tag}") for m in fields]
-        )
+    """Metrics of the two models each row of ``asked`` (series_id, model_a, model_b) names.
 
-    both = asked.join(side("a"), ["series_id", "model_a"], "left").join(side("b"), ["series_id", "model_b"], "left")
-    return both.select(
-        "series_id",
-        "model_a",
-        "model_b",
-        *[F.col(f"{m}_{t}") for m in fields for t in ("a", "b")],
-        *[(F.col(f"{m}_a") - F.col(f"{m}_b")).alias(f"{m}_delta") for m in fields],
+    Both names are looked up in one join and brought back to one row.
+    """
+    fields = ["mae", "rmse", "r2"]
+    pair = ["series_id", "model_a", "model_b"]
+    sides = F.array(
+        *[F.struct(F.lit(t).alias("side"), F.col(f"model_{t}").alias("model_key")) for t in ("a", "b")]
+    )
+    found = (
+        asked.select(*pair, F.inline(sides))
+        .join(metrics.select("series_id", "model_key", *fields), ["series_id", "model_key"], "left")
+        .groupBy(*pair)
+        .agg(*[F.max(F.when(F.col("side") == t, F.col(m))).alias(f"{m}_{t}") for m in fields for t in ("a", "b")])
     )
+    return found.select("*", *[(F.col(f"{m}_a") - F.col(f"{m}_b")).alias(f"{m}_delta") for m in fields])

@@ -16,9 +16,10 @@ def _date(date: str | Column) -> Column:
 
 
 def monthly_sum(df: DataFrame, value: str = "value", date: str = "date", digits: int | None = None) -> DataFrame:
-    """Observations to (series_id, year, month) totals."""
+    """Observations to (series_id, year, month) totals. Rows without a series or a date belong to none."""
     total = F.sum(value)
-    return df.groupBy(
+    known = df.filter(F.col("series_id").isNotNull() & F.col(date).isNotNull())
+    return known.groupBy(
         "series_id",
         F.year(date).cast("int").alias("year"),
         F.month(date).cast("int").alias("month"),

@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from almanac.session import shared_dir
+
 METRIC_FIELDS = ["mae", "rmse", "r2_score", "accuracy_percent"]
 METRICS_SCHEMA = "model_key STRING, " + ", ".join(f"{m} DOUBLE" for m in METRIC_FIELDS)
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: list[str] | None = None) -> None:
-    """Overwrite a table. Partitioned output is first clustered on the partition key and a
-    spread of series, so that neither many small files nor one big writer result."""
-    writer = df
-    if partition_by:
-        spread = [F.col("series_id")] if "series_id" in df.columns else []
-        writer = df.repartition(*[F.col(c) for c in partition_by], *spread)
+    """Overwrite a table.
+
+    Partitioned output is rebalanced on the partition key first: rows of one folder come
+    together in few files, and AQE splits a folder that is too large for one writer.
+    """
+    writer = df.hint("rebalance", *partition_by) if partition_by else df
     out = writer.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         out = out.option("header", True)
@@ -24,6 +26,17 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     out.save(path)
 
 
+def stored(df: DataFrame, purpose: str) -> DataFrame:
+    """The frame as a table in the shared folder.
+
+    For a panel that several branches of a job read: it is computed once, whatever columns
+    each branch needs, and a lost executor costs a re-read instead of a re-run.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def upsert_metrics(stored: DataFrame, fresh: DataFrame, key: str | list[str] = "model_key") -> DataFrame:
     """Rows of ``fresh`` replace those with the same key; all others stay."""
     keys = [key] if isinstance(key, str) else key
