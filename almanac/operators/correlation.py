@@ -52,14 +52,15 @@ def pacf(df: DataFrame, order: list[str], max_lag: int = 40, value: str = "value
         # Autocorrelations of lags 1..k-1, nearest first and farthest first.
         near = F.slice(F.col("acf"), F.lit(2), k - 1)
         far = F.reverse(near)
-        reflection = F.try_divide(F.element_at(F.col("acf"), k + 1) - dot(phi, far), 1 - dot(phi, near))
+        reflection = F.try_divide(F.get(F.col("acf"), k) - dot(phi, far), 1 - dot(phi, near))
         updated = F.zip_with(phi, F.reverse(phi), lambda a, b: a - reflection * b)
         return F.struct(
             F.concat(updated, F.array(reflection)).alias("phi"),
             F.concat(state["pacf"], F.array(reflection)).alias("pacf"),
         )
 
-    steps = F.sequence(F.lit(1), F.size("acf") - 1)
+    # Counting up from 1 to a lower bound would count down.
+    steps = F.when(F.size("acf") > 1, F.sequence(F.lit(1), F.size("acf") - 1)).otherwise(F.array().cast("array<int>"))
     solved = arrays.select(
         "series_id", F.aggregate(steps, start, step, lambda s: s["pacf"]).alias("pacf")
     )

@@ -61,7 +61,7 @@ def exact_quantiles(df: DataFrame, probs: list[float], value: str = "value", sli
         .agg(F.count(F.lit(1)).alias("n")),
         "counts",
     )
-    at_shares = [i / slices for i in range(1, slices)]
+    at_shares = [i / slices for i in range(1, slices)] or [0.5]
     cuts = stored(counts.groupBy("series_id").agg(F.percentile_approx("v", at_shares).alias("cuts")), "cuts")
     below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
     sliced = counts.join(broadcast_if_small(cuts), "series_id").select("series_id", "v", "n", below.alias("slice"))
