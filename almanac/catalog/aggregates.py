@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.catalog import panels as P
-from almanac.catalog.panels import check, query, r, settle
+from almanac.catalog.panels import COVARIATES, check, query, r, settle
 from almanac.catalog.projections import backtest_steps
 from almanac.operators import distribution, metrics, rollup, summary
 from almanac.plans import forecasts
@@ -21,9 +21,6 @@ def monthly_sum_many(spark, d):
     return P.supplier_monthly(spark, d)
 
 
-COVARIATES = ["temperature", "humidity", "wind_speed", "cloud_cover", "surface_pressure"]
-
-
 @query("a2_monthly_covariate_means", check(
     f"select series_id, year, month, {', '.join(r(c, c, 6) for c in COVARIATES)} from cm", "cd", "cm"))
 def monthly_covariate_means(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.catalog import panels as P
-from almanac.catalog.panels import check, query, r, settle
+from almanac.catalog.panels import COVARIATES, check, query, r, settle
 from almanac.catalog.projections import backtest_steps, board
 from almanac.functions.scoring import accuracy_percent
 from almanac.operators import relate, rollup
@@ -15,8 +15,6 @@ from almanac.plans.forecasts import backtest_baselines
 from almanac.session import shared_dir
 from almanac.sources.sinks import overwrite_metrics, read_metrics, stored
 
-COVARIATES = ["temperature", "humidity", "wind_speed", "cloud_cover", "surface_pressure"]
-
 
 @query("j1_daily_with_covariates", check(
     f"select series_id, date, value, {', '.join(r(c, c) for c in COVARIATES)}, year, month, day from dd", "dd"))

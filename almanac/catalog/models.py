@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from almanac.catalog import panels as P
 from almanac.catalog.panels import check, query, r, settle
 from almanac.catalog.projections import backtest_steps
+from almanac.catalog.rolling import daily_body
 from almanac.catalog.stored import FORECAST_STEPS
 from almanac.functions import calendar as C
 from almanac.operators import distribution, metrics, relate, rollup, scaling, split, windows
@@ -160,30 +161,72 @@ def seasonal_fit(spark, d):
     return settle(A.seasonal_fit(A.seasonal_rows(P.supplier_monthly(spark, d))), sse=2)
 
 
-@query("m19_seasonal_report")
+# The forecasts of a model feed the next step: 26 values back from it, the newest last.
+_SEASONAL_PATH = {
+    **_SEASONAL,
+    "mc": "select *, my - b1 * m1 - b2 * m2 as c from co",
+    "tl": """select series_id, max(pos) as nt, any_value(n) as na, list(value order by pos)[-26:] as tail from zz
+        where split = 'train' group by 1""",
+    "rec": """select mc.series_id, 0 as step, tail, cast(null as double) as predicted, nt, na from mc
+        join tl on tl.series_id = mc.series_id
+        union all select series_id, step + 1, list_append(tail[2:], nx), nx, nt, na from (
+        select rec.series_id, step, tail, nt, na, tail[26] + tail[15] - tail[14] + c
+            + b1 * (tail[26] - tail[25] - tail[14] + tail[13]) + b2 * (tail[15] - tail[14] - tail[3] + tail[2]) as nx
+        from rec join mc on mc.series_id = rec.series_id where step < greatest(24, na - nt))""",
+}
+
+
+@query("m19_seasonal_report", check(
+    _split_metrics_sql("both_", ", ".join([
+        "any_value(mn) as n", r("any_value(b1)", "b1"), r("any_value(b2)", "b2"), r("any_value(c)", "const"),
+        r("any_value(sse)", "sse", 2), r("any_value(aic)", "aic")])), "sm", **_SEASONAL_PATH,
+    both_="""select zl.series_id, zl.split, zl.value, mc.n as mn, b1, b2, c, mc.n * (syy - b1 * s1y - b2 * s2y) as sse,
+        mc.n * ln(syy - b1 * s1y - b2 * s2y) + 6 as aic, case when split = 'train'
+        then lag(value, 1) over w + lag(value, 12) over w - lag(value, 13) over w + c + b1 * z1 + b2 * z12
+        else rec.predicted end as predicted from zl join mc on mc.series_id = zl.series_id
+        join tl on tl.series_id = zl.series_id left join rec on rec.series_id = zl.series_id and rec.step = zl.pos - tl.nt
+        and rec.step > 0 window w as (partition by zl.series_id order by zl.pos)""").replace("with ", "with recursive ", 1))
 def seasonal_report(spark, d):
-    return settle(A.seasonal_report(P.supplier_monthly(spark, d)))
+    return settle(A.seasonal_report(P.supplier_monthly(spark, d)), sse=2)
 
 
-@query("m19_seasonal_forecast")
+@query("m19_seasonal_forecast", check(
+    f"""select series_id, nt as n_train, step, {r("predicted", "predicted")} from rec where step between 1 and 24""",
+    "sm", **_SEASONAL_PATH).replace("with ", "with recursive ", 1))
 def seasonal_forecast(spark, d):
     return settle(A.seasonal_forecast(P.supplier_monthly(spark, d), F.lit(24)))
 
 
-@query("m20_order_search")
-def order_search(spark, d):
-    return settle(A.ar_order_search(P.supplier_monthly(spark, d)))
+def _order_steps(d: int, x: str) -> dict[str, str]:
+    """AIC of AR(0..5) by taking one lag after the other out of the rest: the residual of the
+    value after p lags is that of AR(p)."""
+    value = "value" if d == 0 else "value - lag(value, 1) over w"
+    w = "window w as (partition by series_id order by year, month)"
+    lags = ", ".join(f"lag(v, {k}) over w as l{k}" for k in range(1, 6))
+    steps = {
+        f"{x}v": f"select series_id, year, month, {value} as v from sm {w}",
+        f"{x}l": f"select series_id, v as l0, {lags} from (select * from {x}v where v is not null) {w}",
+        f"{x}g0": f"""select series_id, {', '.join(f'l{k} - avg(l{k}) over (partition by series_id) as l{k}' for k in range(6))}
+            from {x}l where l5 is not null""",
+    }
+    for p in range(1, 6):
+        rest = [0, *range(p + 1, 6)]
+        cols = ", ".join(
+            f"l{k} - l{p} * sum(l{k} * l{p}) over (partition by series_id) / sum(l{p} * l{p}) over (partition by series_id) as l{k}"
+            for k in rest
+        )
+        steps[f"{x}g{p}"] = f"select series_id, {cols} from {x}g{p - 1}"
+    steps[f"{x}aic"] = " union all ".join(
+        f"""select series_id, cast({p} as int) as p, count(*) as n,
+        count(*) * ln(sum(l0 * l0) / count(*)) + {2 * (p + 1)} as aic from {x}g{p} group by 1""" for p in range(6)
+    )
+    return steps
 
 
-@query("m20_best_order")
-def best_order(spark, d):
-    """Order by AIC, after one difference where the series is not stationary."""
-    monthly = P.supplier_monthly(spark, d)
-    tested = stationarity.dickey_fuller(monthly).select("series_id", "is_stationary")
-    level = A.best_order(A.ar_order_search(monthly, d=0)).withColumn("d", F.lit(0))
-    differenced = A.best_order(A.ar_order_search(monthly, d=1)).withColumn("d", F.lit(1))
-    both = level.unionByName(differenced).join(tested, "series_id")
-    return settle(both.filter(F.col("is_stationary") == (F.col("d") == 0)).select("series_id", "p", "d", "aic"))
+@query("m20_order_search", check(
+    f"select series_id, p, n, {r('aic', 'aic')} from xaic", "sm", **_order_steps(0, "x")))
+def order_search(spark, d):
+    return settle(A.ar_order_search(P.supplier_monthly(spark, d)))
 
 
 _DF = {
@@ -196,6 +239,22 @@ _DF = {
 }
 
 
+@query("m20_best_order", check(
+    f"""select series_id, p, d, {r("aic", "aic")} from (
+    select *, row_number() over (partition by series_id, d order by aic, p) as k from (
+    select *, cast(0 as int) as d from xaic union all select *, 1 from yaic)) b
+    join (select series_id as s, statistic <= critical_5pct as stationary from df) t on t.s = b.series_id
+    where k = 1 and stationary = (d = 0)""", "sm", **_order_steps(0, "x"), **_order_steps(1, "y"), **_DF))
+def best_order(spark, d):
+    """Order by AIC, after one difference where the series is not stationary."""
+    monthly = P.supplier_monthly(spark, d)
+    tested = stationarity.dickey_fuller(monthly).select("series_id", "is_stationary")
+    level = A.best_order(A.ar_order_search(monthly, d=0)).withColumn("d", F.lit(0))
+    differenced = A.best_order(A.ar_order_search(monthly, d=1)).withColumn("d", F.lit(1))
+    both = level.unionByName(differenced).join(tested, "series_id")
+    return settle(both.filter(F.col("is_stationary") == (F.col("d") == 0)).select("series_id", "p", "d", "aic"))
+
+
 @query("m21_dickey_fuller", check(
     f"""select series_id, cast(n as bigint) as n, {r("statistic", "statistic")}, {r("critical_5pct", "critical_5pct")},
     statistic <= critical_5pct as is_stationary from df""", "sm", **_DF))
@@ -270,9 +329,49 @@ def gradient_boosting(spark, d):
     return _report(spark, d, training.gradient_boosting(trees=10, rate=0.1, depth=4))
 
 
-@query("m3_linear_baseline")
+# Columns that determine a unique least-squares solution, which a check can reproduce.
+LINEAR_FEATURES = ["value_lag_1", "value_lag_7", "temperature", "humidity", "doy_sin", "doy_cos"]
+
+
+def least_squares_steps(features: list[str], fitted_on: str, x: str = "") -> dict[str, str]:
+    """Residuals of every row of ``ls`` for a least-squares fit on the rows that satisfy a condition.
+
+    One column after the other is taken out of the rest, with sums over the fitted rows;
+    what is left of the value is its residual.
+    """
+    k = len(features)
+    names = ["value", *features]
+    centred = ", ".join(f"{c} - avg({c}) filter ({fitted_on}) over () as l{i}" for i, c in enumerate(names))
+    steps = {f"{x}q0": f"select series_id, date, value, split, fold, {centred} from ls"}
+    for p in range(1, k + 1):
+        cols = ", ".join(
+            f"l{i} - l{p} * sum(l{i} * l{p}) filter ({fitted_on}) over () / sum(l{p} * l{p}) filter ({fitted_on}) over () as l{i}"
+            for i in [0, *range(p + 1, k + 1)]
+        )
+        steps[f"{x}q{p}"] = f"select series_id, date, value, split, fold, {cols} from {x}q{p - 1}"
+    steps[f"{x}res"] = f"select series_id, date, value, split, fold, l0 as e, value - l0 as predicted from {x}q{k}"
+    return steps
+
+
+_LINEAR_FRAME = {
+    "fr": daily_body(X.DAILY_SPECS["sequence"], lambda e, n: f"{e} as {n}"),
+    "sq": """select *, row_number() over w as pos, count(*) over (partition by series_id) as total from fr
+        window w as (partition by series_id order by date)""",
+    "sp": "select *, case when pos <= total - cast(ceil(0.2 * total) as bigint) then 'train' else 'test' end as split from sq",
+    "ls": """select *, case when split = 'train' then ntile(5) over (partition by series_id, split order by date) - 1 end as fold
+        from sp""",
+}
+_BY_SPLIT = f"""select split, count(*) as n, {r("avg(abs(e))", "mae")}, {r("sqrt(avg(e * e))", "rmse")},
+    {r("1 - sum(e * e) / (var_pop(value) * count(*))", "r2")} from res group by 1"""
+_LINEAR = {**_LINEAR_FRAME, **least_squares_steps(LINEAR_FEATURES, "split = 'train'")}
+
+
+@query("m3_linear_baseline", check(_BY_SPLIT, "dd", **_LINEAR))
 def linear_baseline(spark, d):
-    return _report(spark, d, training.linear())
+    _, report = training.train_and_evaluate(
+        daily_frame(spark, d, "sequence"), LINEAR_FEATURES, training.linear(), C.BASE_YEAR, windows.DAILY_ORDER
+    )
+    return settle(report)
 
 
 @query("m4_random_forest")
@@ -348,7 +447,25 @@ def f_scores(spark, d):
     return settle(scaling.univariate_f_scores(frame, _F_FEATURES))
 
 
-@query("m8_feature_selection")
+_WIDEST = X.DAILY_SPECS["advanced"]
+_WIDEST_FEATURES = [
+    *["temperature", "humidity", "wind_speed", "cloud_cover", "surface_pressure", "year", "month", "day", "day_of_year"],
+    *["doy_sin", "doy_cos", "month_sin", "month_cos", "trend", "value_momentum"],
+    *[f"value_lag_{k}" for k in _WIDEST.lags], *[f"value_change_{k}" for k in _WIDEST.changes],
+    *[f"value_{s}_{n}" for s in _WIDEST.stats for n in _WIDEST.windows],
+    *[f"{c}_lag_{k}" for c in P.COVARIATES for k in _WIDEST.covariate_lags],
+    *[f"{c}_{s}_{n}" for c in P.COVARIATES for s in _WIDEST.covariate_stats for n in _WIDEST.covariate_windows],
+    *[f"{i}{t}" for i in _WIDEST.interactions for t in ("", "_lag_1")], *_WIDEST.unlagged,
+]
+
+
+@query("m8_feature_selection", check(
+    f"""select feature, {r("f_score", "f_score")} from (select feature, c * c / (1 - c * c) * (n - 2) as f_score from (
+    select count(*) as n, unnest([{', '.join(f"{{'f': '{c}', 'c': corr({c}, value)}}" for c in _WIDEST_FEATURES)}], recursive := true)
+    from tr) t(n, feature, c)) order by f_score desc limit 50""", "dd",
+    fr=daily_body(_WIDEST, lambda e, n: f"{e} as {n}"),
+    tr="""select * from (select *, row_number() over (partition by series_id order by date) as pos,
+        count(*) over (partition by series_id) as total from fr) where pos <= total - cast(ceil(0.2 * total) as bigint)"""))
 def feature_selection(spark, d):
     """The 50 best columns of the widest variant, with their scores on the train rows."""
     rows, features = _split_frame(spark, d, "advanced")
@@ -383,23 +500,42 @@ def cross_validated_grid(spark, d):
     return settle(found.withColumn("params", F.to_json("params")))
 
 
-@query("m13_cross_validated_score")
+_FOLD_STEPS: dict[str, str] = {}
+for _k in range(5):
+    _FOLD_STEPS |= least_squares_steps(LINEAR_FEATURES, f"split = 'train' and fold <> {_k}", f"f{_k}")
+
+
+@query("m13_cross_validated_score", check(
+    f"""select fold, {r("r2", "r2")}, cast(null as double) as margin from folds
+    union all select null, {r("avg(r2)", "r2")}, {r("2 * stddev_pop(r2)", "margin")} from folds""", "dd",
+    **_LINEAR_FRAME, **_FOLD_STEPS,
+    folds=" union all ".join(
+        f"""select cast({k} as int) as fold, 1 - sum(e * e) / (var_pop(value) * count(*)) as r2 from f{k}res
+        where split = 'train' and fold = {k}""" for k in range(5))))
 def cross_validated_score(spark, d):
-    rows, features = _split_frame(spark, d, "simple")
+    rows = split.chronological_split(daily_frame(spark, d, "sequence"), windows.DAILY_ORDER)
     train = rows.filter(F.col("split") == "train")
     return settle(
-        tuning.cross_validated_score(train, features, training.linear(), windows.DAILY_ORDER, folds=5)
+        tuning.cross_validated_score(train, LINEAR_FEATURES, training.linear(), windows.DAILY_ORDER, folds=5)
     )
 
 
-@query("m14_train_and_register")
+def _metrics_row_sql(key: str, source: str) -> str:
+    r2 = "1 - sum(e * e) / (var_pop(value) * count(*))"
+    return f"""select '{key}' as model_key, round(avg(abs(e)), 2) as mae, round(sqrt(avg(e * e)), 2) as rmse,
+        round({r2}, 4) as r2_score, round(least(100, greatest(0, ({r2}) * 100)), 1) as accuracy_percent
+        from {source} where split = 'test'"""
+
+
+@query("m14_train_and_register", check(
+    f"{_metrics_row_sql('daily_linear', 'res')} union all {_metrics_row_sql('daily_linear_short', 'zres')}", "dd",
+    **_LINEAR, **least_squares_steps(LINEAR_FEATURES[:2], "split = 'train'", "z")))
 def train_and_register(spark, d):
     """Two models trained, saved and entered into the metrics table one after the other."""
     frame = daily_frame(spark, d, "sequence").persist()
-    features = X.feature_columns(frame)
     previous = None
-    for key, estimator in (("daily_linear", training.linear()), ("daily_random_forest", training.random_forest(trees=8, depth=4))):
-        trained, _ = training.train_and_evaluate(frame, features, estimator, C.BASE_YEAR, windows.DAILY_ORDER)
+    for key, features in (("daily_linear", LINEAR_FEATURES), ("daily_linear_short", LINEAR_FEATURES[:2])):
+        trained, _ = training.train_and_evaluate(frame, features, training.linear(), C.BASE_YEAR, windows.DAILY_ORDER)
         target = shared_dir(spark, "metrics")
         registered = training.register(spark, trained, key, shared_dir(spark, "bundle"), target, previous)
         previous = target
@@ -410,21 +546,21 @@ def train_and_register(spark, d):
 def _bundle(spark, d):
     frame = daily_frame(spark, d, "sequence")
     trained, _ = training.train_and_evaluate(
-        frame, X.feature_columns(frame), training.linear(), C.BASE_YEAR, windows.DAILY_ORDER
+        frame, LINEAR_FEATURES, training.linear(), C.BASE_YEAR, windows.DAILY_ORDER
     )
     path = shared_dir(spark, "bundle")
     training.save_bundle(trained, path, spark)
     return frame, training.load_bundle(path, spark)
 
 
-@query("s8_bundle_round_trip")
+@query("s8_bundle_round_trip", check(f"select series_id, date, {r('predicted', 'predicted')} from res", "dd", **_LINEAR))
 def bundle_round_trip(spark, d):
     """Predictions of a model that was saved and loaded."""
     frame, loaded = _bundle(spark, d)
     return settle(training.predict(loaded.model, frame).select("series_id", "date", "predicted"))
 
 
-@query("m15_evaluate_stored")
+@query("m15_evaluate_stored", check(_BY_SPLIT, "dd", **_LINEAR))
 def evaluate_stored(spark, d):
     frame, loaded = _bundle(spark, d)
     rows = split.chronological_split(frame, windows.DAILY_ORDER)

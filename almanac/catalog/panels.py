@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from almanac.operators import rollup
 from almanac.operators.relate import daily_with_covariates, monthly_with_covariates
-from almanac.sources.tables import daily_series, read_table
+from almanac.sources.tables import OPTIONAL_COVARIATES, REQUIRED_COVARIATES, daily_series, read_table
+
+COVARIATES = REQUIRED_COVARIATES + OPTIONAL_COVARIATES
 
 Query = Callable[[SparkSession, str], DataFrame]
 

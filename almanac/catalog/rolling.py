@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.catalog import panels as P
-from almanac.catalog.panels import check, query, r, settle
+from almanac.catalog.panels import COVARIATES, check, query, r, settle
 from almanac.operators import correlation, split, windows as W
 from almanac.plans import features as X
 from almanac.sources.tables import read_table
 
-COVARIATES = ["temperature", "humidity", "wind_speed", "cloud_cover", "surface_pressure"]
 _D = "window w as (partition by series_id order by date)"
 _M = "window w as (partition by series_id order by year, month)"
 
@@ -192,17 +191,26 @@ def key_alignment(spark, d):
     return now.join(earlier, ["series_id", "year", "month"])
 
 
-@query("w16_acf", check(
-    f"""select a.series_id, cast(k.lag as int) as lag, {r("sum(a.e * b.e) / any_value(t.s)", "acf", 6)} from e a
+_CENTRED = """select series_id, value - avg(value) over (partition by series_id) as e,
+    row_number() over (partition by series_id order by date) as rn from qd"""
+_ACF = """select a.series_id, cast(k.lag as int) as lag, sum(a.e * b.e) / any_value(t.s) as acf from e a
     join (select unnest(range(41)) as lag) k on true join e b on b.series_id = a.series_id and b.rn = a.rn - k.lag
-    join (select series_id, sum(e * e) as s from e group by 1) t on t.series_id = a.series_id group by 1, 2""", "qd",
-    e="""select series_id, value - avg(value) over (partition by series_id) as e,
-        row_number() over (partition by series_id order by date) as rn from qd"""))
+    join (select series_id, sum(e * e) as s from e group by 1) t on t.series_id = a.series_id group by 1, 2"""
+
+
+@query("w16_acf", check(f"select series_id, lag, {r('acf', 'acf', 6)} from ac", "qd", e=_CENTRED, ac=_ACF))
 def acf(spark, d):
     return settle(correlation.acf(P.quantity_daily(spark, d), W.DAILY_ORDER), 6)
 
 
-@query("w17_pacf")
+@query("w17_pacf", check(
+    f"select series_id, cast(k as int) as lag, {r('p', 'pacf', 6)} from rec", "qd", e=_CENTRED, ac=_ACF,
+    ar="select series_id, list(acf order by lag) as r from ac group by 1",
+    rec="""select series_id, 0 as k, cast([] as double[]) as phi, 1.0::double as p from ar
+        union all select series_id, k + 1, list_append([phi[j] - refl * phi[k + 1 - j] for j in range(1, k + 1)], refl), refl
+        from (select rec.series_id, k, phi, (r[k + 2] - coalesce(list_sum([phi[j] * r[k + 2 - j] for j in range(1, k + 1)]), 0))
+            / (1 - coalesce(list_sum([phi[j] * r[j + 1] for j in range(1, k + 1)]), 0)) as refl
+            from rec join ar on ar.series_id = rec.series_id where k < 40)""").replace("with ", "with recursive ", 1))
 def pacf(spark, d):
     return settle(correlation.pacf(P.quantity_daily(spark, d), W.DAILY_ORDER), 6)
 
@@ -210,7 +218,6 @@ def pacf(spark, d):
 # --- Feature frames ---------------------------------------------------------------------
 
 
-
 def _monthly_sql(panel: str, covariates: list[str], past: bool) -> str:
     cur = not past
     o = "year, month"
@@ -253,31 +260,31 @@ _INTERACTION_SQL = {
 _STAT_SQL = {"ma": "avg", "std": "stddev_samp", "min": "min", "max": "max"}
 
 
-def _daily_sql(spec: X.DailySpec) -> str:
-    cols = ["cast(dayofyear(date) as int) as day_of_year", r("sin(2 * pi() * dayofyear(date) / 365)", "doy_sin"),
-            r("cos(2 * pi() * dayofyear(date) / 365)", "doy_cos"),
+def daily_body(spec: X.DailySpec, show=r) -> str:
+    """The feature frame as a statement over the combined panel; ``show`` names each column."""
+    cols = ["cast(dayofyear(date) as int) as day_of_year", show("sin(2 * pi() * dayofyear(date) / 365)", "doy_sin"),
+            show("cos(2 * pi() * dayofyear(date) / 365)", "doy_cos"),
             "cast((year - 1979) * 365 + dayofyear(date) as int) as trend"]
     if spec.month_cycle:
-        cols += [r("sin(2 * pi() * month / 12)", "month_sin"), r("cos(2 * pi() * month / 12)", "month_cos")]
+        cols += [show("sin(2 * pi() * month / 12)", "month_sin"), show("cos(2 * pi() * month / 12)", "month_cos")]
     cols += [f"lag(value, {k}) over w as value_lag_{k}" for k in spec.lags]
-    needed = [f"value_lag_{k}" for k in spec.lags]
     for s in spec.stats:
-        cols += [r(f"{_STAT_SQL[s]}(value) {_frame(n)}", f"value_{s}_{n}") for n in spec.windows]
+        cols += [show(f"{_STAT_SQL[s]}(value) {_frame(n)}", f"value_{s}_{n}") for n in spec.windows]
     for c in COVARIATES:
-        cols += [r(f"lag({c}, {k}) over w", f"{c}_lag_{k}") for k in spec.covariate_lags]
+        cols += [show(f"lag({c}, {k}) over w", f"{c}_lag_{k}") for k in spec.covariate_lags]
         for s in spec.covariate_stats:
-            cols += [r(f"{_STAT_SQL[s]}({c}) {_frame(n)}", f"{c}_{s}_{n}") for n in spec.covariate_windows]
+            cols += [show(f"{_STAT_SQL[s]}({c}) {_frame(n)}", f"{c}_{s}_{n}") for n in spec.covariate_windows]
     for name in spec.interactions:
         e = _INTERACTION_SQL[name]
-        cols += [r(e, name), r(f"lag({e}, 1) over w", f"{name}_lag_1")]
-    cols += [r(_INTERACTION_SQL[name], name) for name in spec.unlagged]
+        cols += [show(e, name), show(f"lag({e}, 1) over w", f"{name}_lag_1")]
+    cols += [show(_INTERACTION_SQL[name], name) for name in spec.unlagged]
     cols += [f"lag(value, 1) over w - lag(value, {k + 1}) over w as value_change_{k}" for k in spec.changes]
     if spec.momentum:
-        a, b = spec.momentum
-        cols.append(r(f"avg(value) {_frame(a)} - avg(value) {_frame(b)}", "value_momentum"))
-    shown = ", ".join(r(c, c) for c in COVARIATES)
+        short, long = spec.momentum
+        cols.append(show(f"avg(value) {_frame(short)} - avg(value) {_frame(long)}", "value_momentum"))
+    shown = ", ".join(show(c, c) for c in COVARIATES)
     body = f"select series_id, date, value, {shown}, year, month, day, {', '.join(cols)} from dd {_D}"
-    return check(f"select * from ({body}) where value_lag_{max(spec.lags)} is not null", "dd")
+    return f"select * from ({body}) where value_lag_{max(spec.lags)} is not null"
 
 
 def _daily_query(spec: X.DailySpec):
@@ -285,4 +292,4 @@ def _daily_query(spec: X.DailySpec):
 
 
 for _variant, _spec in X.DAILY_SPECS.items():
-    query(f"m2_daily_features_{_variant}", _daily_sql(_spec))(_daily_query(_spec))
+    query(f"m2_daily_features_{_variant}", check(daily_body(_spec), "dd"))(_daily_query(_spec))

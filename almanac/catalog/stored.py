@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.catalog import panels as P
 from almanac.catalog.joins import overall_metrics, stored_metrics
-from almanac.catalog.panels import check, query, r, settle
+from almanac.catalog.panels import COVARIATES, check, query, r, settle
 from almanac.catalog.projections import backtest_steps
 from almanac.operators.relate import daily_with_covariates
 from almanac.operators.summary import latest_same_month
@@ -15,8 +15,6 @@ from almanac.session import shared_dir
 from almanac.sources import raw, sinks
 from almanac.sources.tables import read_csv, read_table
 
-COVARIATES = ["temperature", "humidity", "wind_speed", "cloud_cover", "surface_pressure"]
-
 
 @query("s1_tolerant_scan", """
     select series_id, cast(try_strptime(t, '%Y-%m-%d %H:%M:%S') as date) as date, try_cast(v as double) as value from (

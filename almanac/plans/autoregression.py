@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.metrics import error_columns
@@ -16,12 +16,20 @@ from almanac.operators.split import chronological_split
 from almanac.operators.windows import MONTHLY_ORDER, series_window
 
 SEASON = 12
+# Values back from the next step that the seasonal recursion reads.
+TAIL = 2 * SEASON + 2
 
 
 def _positioned(df: DataFrame, order: list[str]) -> DataFrame:
-    """Split plus 1-based position of each row in its series."""
+    """Split, 1-based position of each row in its series, and the series' rows and train rows."""
     w = series_window(order)
-    return chronological_split(df, order).withColumn("position", F.row_number().over(w))
+    whole = Window.partitionBy("series_id")
+    return chronological_split(df, order).select(
+        "*",
+        F.row_number().over(w).alias("position"),
+        F.count(F.lit(1)).over(whole).alias("n_all"),
+        F.count_if(F.col("split") == "train").over(whole).alias("n_train"),
+    )
 
 
 # --- AR(1) on first differences -------------------------------------------------------
@@ -46,7 +54,6 @@ def ar1_fit(rows: DataFrame) -> DataFrame:
     return train.groupBy("series_id").agg(
         F.regr_slope("diff", "prev_diff").alias("phi"),
         F.regr_intercept("diff", "prev_diff").alias("const"),
-        F.max("position").alias("n_train"),
         F.max_by("value", "position").alias("last_value"),
         F.max_by("diff", "position").alias("last_diff"),
     )
@@ -113,67 +120,48 @@ def seasonal_rows(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     )
 
 
-def seasonal_fit(rows: DataFrame) -> DataFrame:
-    """Least squares of z on its lags 1 and 12 with a constant, from the train rows; AIC with 3 parameters."""
-    train = rows.filter((F.col("split") == "train") & F.col("z_12").isNotNull())
-    moments = train.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg("z").alias("my"), F.avg("z_1").alias("m1"), F.avg("z_12").alias("m2"),
-        F.var_pop("z").alias("syy"), F.var_pop("z_1").alias("s11"), F.var_pop("z_12").alias("s22"),
-        F.covar_pop("z_1", "z_12").alias("s12"),
-        F.covar_pop("z_1", "z").alias("s1y"), F.covar_pop("z_12", "z").alias("s2y"),
+def _seasonal_models(rows: DataFrame) -> DataFrame:
+    """Coefficients per series, with the last values of its train rows and its sizes: one aggregate."""
+    train = rows.filter(F.col("split") == "train")
+    usable = F.col("z_12").isNotNull()
+    y, x1, x2 = (F.when(usable, F.col(c)) for c in ("z", "z_1", "z_12"))
+    recent = F.when(F.col("position") > F.col("n_train") - TAIL, F.struct("position", "value"))
+    moments = train.groupBy("series_id", "n_train", "n_all").agg(
+        F.count(y).alias("n"),
+        F.avg(y).alias("my"), F.avg(x1).alias("m1"), F.avg(x2).alias("m2"),
+        F.var_pop(y).alias("syy"), F.var_pop(x1).alias("s11"), F.var_pop(x2).alias("s22"),
+        F.covar_pop(x1, x2).alias("s12"), F.covar_pop(x1, y).alias("s1y"), F.covar_pop(x2, y).alias("s2y"),
+        F.sort_array(F.collect_list(recent)).alias("recent"),
     )
     det = F.col("s11") * F.col("s22") - F.col("s12") * F.col("s12")
     b1 = F.try_divide(F.col("s1y") * F.col("s22") - F.col("s2y") * F.col("s12"), det)
     b2 = F.try_divide(F.col("s2y") * F.col("s11") - F.col("s1y") * F.col("s12"), det)
-    solved = moments.select("*", b1.alias("b1"), b2.alias("b2"))
+    solved = moments.filter(F.col("n") > 0).select("*", b1.alias("b1"), b2.alias("b2"))
     mse = F.col("syy") - F.col("b1") * F.col("s1y") - F.col("b2") * F.col("s2y")
     return solved.select(
-        "series_id",
-        "n",
-        "b1",
-        "b2",
+        "series_id", "n_train", "n_all", "n", "b1", "b2",
         (F.col("my") - F.col("b1") * F.col("m1") - F.col("b2") * F.col("m2")).alias("const"),
         (mse * F.col("n")).alias("sse"),
         F.when(mse > 0, F.col("n") * F.ln(mse) + 6).alias("aic"),
+        F.col("recent.value").alias("tail"),
     )
 
 
-def seasonal_one_step(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """One-step predictions of every row that has the lags, with coefficients from the train rows."""
-    rows = seasonal_rows(df, order)
-    predicted = F.col("carried") + F.col("const") + F.col("b1") * F.col("z_1") + F.col("b2") * F.col("z_12")
-    return rows.join(seasonal_fit(rows), "series_id").select(
-        *df.columns, "split", "position", predicted.alias("predicted")
-    )
+def seasonal_fit(rows: DataFrame) -> DataFrame:
+    """Least squares of z on its lags 1 and 12 with a constant, from the train rows; AIC with 3 parameters."""
+    return _seasonal_models(rows).select("series_id", "n", "b1", "b2", "const", "sse", "aic")
 
 
-def seasonal_forecast(df: DataFrame, horizon: Column, order: list[str] | None = None) -> DataFrame:
-    """Forecasts 1..horizon steps past the train rows: (series_id, step, predicted).
+def _one_step() -> Column:
+    return F.col("carried") + F.col("const") + F.col("b1") * F.col("z_1") + F.col("b2") * F.col("z_12")
 
-    Each forecast feeds the next. The recursion runs over an array of the last 26 values
-    per series, as a column expression. ``horizon`` may refer to ``n_train`` and ``n_all``.
-    """
-    rows = seasonal_rows(df, order)
-    keep = 2 * SEASON + 2
-    # A row knows the size of its train part from the counts of its series.
-    sizes = rows.groupBy("series_id").agg(
-        F.count_if(F.col("split") == "train").alias("n_train"), F.count(F.lit(1)).alias("n_all")
-    )
-    tails = (
-        rows.filter(F.col("split") == "train")
-        .join(sizes, "series_id")
-        .filter(F.col("position") > F.col("n_train") - keep)
-        .groupBy("series_id", "n_train", "n_all")
-        .agg(F.sort_array(F.collect_list(F.struct("position", "value"))).alias("tail"))
-        .select("series_id", "n_train", "n_all", F.col("tail.value").alias("tail"))
-        .filter(F.size("tail") == keep)
-    )
-    joined = tails.join(seasonal_fit(rows), "series_id").withColumn("horizon", horizon.cast("int"))
+
+def _path(horizon: Column) -> Column:
+    """Forecasts 1..horizon of a model row as an array. Each one feeds the next."""
 
     def step(state, _):
         def y(k: int):
-            return F.element_at(state["tail"], -k)
+            return F.try_element_at(state["tail"], F.lit(-k))
 
         def z(k: int):
             return y(k) - y(k + 1) - y(k + SEASON) + y(k + SEASON + 1)
@@ -182,30 +170,38 @@ def seasonal_forecast(df: DataFrame, horizon: Column, order: list[str] | None =
             y(1) + y(SEASON) - y(SEASON + 1) + F.col("const") + F.col("b1") * z(1) + F.col("b2") * z(SEASON)
         )
         return F.struct(
-            F.concat(F.slice(state["tail"], 2, keep - 1), F.array(following)).alias("tail"),
+            F.concat(F.slice(state["tail"], 2, TAIL - 1), F.array(following)).alias("tail"),
             F.concat(state["out"], F.array(following)).alias("out"),
         )
 
-    start = F.struct(F.col("tail"), F.array().cast("array<double>").alias("out"))
-    forecasts = F.aggregate(F.sequence(F.lit(1), F.col("horizon")), start, step, lambda s: s["out"])
-    return (
-        joined.filter((F.col("horizon") >= 1) & F.col("b1").isNotNull())
-        .select("series_id", "n_train", F.posexplode(forecasts).alias("at", "predicted"))
-        .select("series_id", "n_train", (F.col("at") + 1).alias("step"), "predicted")
+    none = F.array().cast("array<double>")
+    start = F.struct(F.col("tail"), none.alias("out"))
+    h = horizon.cast("int")
+    return F.when(h >= 1, F.aggregate(F.sequence(F.lit(1), h), start, step, lambda s: s["out"])).otherwise(none)
+
+
+def seasonal_forecast(df: DataFrame, horizon: Column, order: list[str] | None = None) -> DataFrame:
+    """Forecasts 1..horizon steps past the train rows: (series_id, step, predicted).
+
+    The recursion runs over an array of the last values per series, as a column
+    expression. ``horizon`` may refer to ``n_train`` and ``n_all``.
+    """
+    models = _seasonal_models(seasonal_rows(df, order)).filter(F.col("b1").isNotNull())
+    return models.select("series_id", "n_train", F.posexplode(_path(horizon)).alias("at", "predicted")).select(
+        "series_id", "n_train", (F.col("at") + 1).alias("step"), "predicted"
     )
 
 
 def seasonal_report(df: DataFrame, order: list[str] | None = None) -> DataFrame:
     """Coefficients, AIC, one-step errors on the train rows and forecast errors on the test rows."""
-    one_step = seasonal_one_step(df, order)
-    ahead = seasonal_forecast(df, F.col("n_all") - F.col("n_train"), order).select(
-        "series_id", (F.col("n_train") + F.col("step")).alias("position"), F.col("predicted").alias("forecast")
-    )
-    both = one_step.join(ahead, ["series_id", "position"], "left").withColumn(
-        "predicted", F.when(F.col("split") == "train", F.col("predicted")).otherwise(F.col("forecast"))
+    rows = seasonal_rows(df, order)
+    kept = ["n", "b1", "b2", "const", "sse", "aic"]
+    models = _seasonal_models(rows).select("series_id", *kept, _path(F.col("n_all") - F.col("n_train")).alias("path"))
+    ahead = F.get("path", (F.col("position") - F.col("n_train") - 1).cast("int"))
+    both = rows.join(models, "series_id").withColumn(
+        "predicted", F.when(F.col("split") == "train", _one_step()).otherwise(ahead)
     )
-    fit = seasonal_fit(seasonal_rows(df, order))
-    return fit.join(_split_errors(both), "series_id")
+    return _split_errors(both, *kept)
 
 
 # --- Order search -----------------------------------------------------------------------

@@ -76,18 +76,14 @@ def _augmented(y: np.ndarray) -> tuple[float, int, int] | None:
     most = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
     if most < 0 or np.ptp(y) == 0:
         return None
+    # More lags only append columns, so one orthogonal basis gives the fit of every choice.
     target, design = _lagged(y, most)
-    best = None
-    for lags in range(most + 1):
-        x = design[:, : lags + 2]
-        fitted = x @ np.linalg.lstsq(x, target, rcond=None)[0]
-        sse = float(np.sum((target - fitted) ** 2))
-        if sse <= 0:
-            return None
-        score = len(target) * math.log(sse / len(target)) + 2 * x.shape[1]
-        if best is None or score < best[0]:
-            best = (score, lags)
-    lags = best[1]
+    explained = np.cumsum((np.linalg.qr(design)[0].T @ target) ** 2)[1:]
+    sse = target @ target - explained
+    if np.any(sse <= 0):
+        return None
+    scores = len(target) * np.log(sse / len(target)) + 2 * np.arange(2, most + 3)
+    lags = int(np.argmin(scores))
     target, x = _lagged(y, lags)
     free = len(target) - x.shape[1]
     if free <= 0:
@@ -101,32 +97,38 @@ def _augmented(y: np.ndarray) -> tuple[float, int, int] | None:
 def augmented_dickey_fuller(monthly: DataFrame) -> DataFrame:
     """Augmented test per series of a monthly frame.
 
-    A group is one series' months, which the calendar bounds; different series run in
-    parallel. For daily data use ``dickey_fuller``.
+    A series' months travel as one array, whose length the calendar bounds; batches of
+    series run in parallel. For daily data use ``dickey_fuller``.
     """
     schema = (
         "series_id string, statistic double, p_value double, used_lags int, n int, "
         "critical_5pct double, is_stationary boolean"
     )
+    ordered = F.sort_array(F.collect_list(F.struct("year", "month", "value")))
+    series = (
+        monthly.filter(F.col("value").isNotNull())
+        .groupBy("series_id")
+        .agg(ordered.alias("points"))
+        .select("series_id", F.col("points.value").alias("y"))
+    )
 
-    def test(pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.sort_values(["year", "month"])["value"].dropna().to_numpy(dtype=float)
-        found = _augmented(y)
-        row = {"series_id": pdf["series_id"].iloc[0], "is_stationary": False}
-        if found:
-            statistic, lags, n = found
-            b = CRITICAL_VALUES["5%"]
-            p = p_value(statistic)
-            row |= {
-                "statistic": statistic, "p_value": p, "used_lags": lags, "n": n,
-                "critical_5pct": b[0] + b[1] / n + b[2] / n**2 + b[3] / n**3,
-                "is_stationary": p <= 0.05,
-            }
-        names = ["series_id", "statistic", "p_value", "used_lags", "n", "critical_5pct", "is_stationary"]
-        return pd.DataFrame([[row.get(c) for c in names]], columns=names)
-
-    # Arrow must not read a missing statistic as a number.
-    return monthly.select("series_id", "year", "month", "value").groupBy("series_id").applyInPandas(test, schema)
+    def test(batches):
+        b = CRITICAL_VALUES["5%"]
+        for pdf in batches:
+            rows = []
+            for name, y in zip(pdf["series_id"], pdf["y"]):
+                found = _augmented(np.asarray(y, dtype=float))
+                if found is None:
+                    rows.append((name, None, None, None, None, None, False))
+                    continue
+                statistic, lags, n = found
+                p = p_value(statistic)
+                critical = b[0] + b[1] / n + b[2] / n**2 + b[3] / n**3
+                rows.append((name, statistic, p, lags, n, critical, p <= 0.05))
+            yield pd.DataFrame(rows, columns=names, dtype=object)
+
+    names = ["series_id", "statistic", "p_value", "used_lags", "n", "critical_5pct", "is_stationary"]
+    return series.mapInPandas(test, schema)
 
 
 def validation_report(monthly: DataFrame, rows: DataFrame | None = None) -> DataFrame:
