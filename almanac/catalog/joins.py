@@ -28,65 +28,74 @@ def monthly_with_covariates(spark, d):
     return settle(P.combined_monthly(spark, d), 6)
 
 
+def monthly_lookback_steps(panel: str, series: str) -> dict[str, str]:
+    """History features ``lk`` of every request in ``rq``, one join per lag."""
+    known = " + ".join(f"(case when p{k} is null then 0 else 1 end)" for k in (1, 2, 3))
+    return {
+        "cl": f"select series_id, month, avg(value) as m from {panel} group by 1, 2",
+        "ov": "select series_id, avg(m) as o from cl group by 1",
+        "base": f"""select q.request_id, q.{series} as series_id, q.year, q.month, f1.value as p1, f2.value as p2,
+            f3.value as p3, f12.value as p12, coalesce(c0.m, ov.o) as def, coalesce(c1.m, c0.m, ov.o) as nl1 from rq q
+            left join {panel} f1 on f1.series_id = q.{series} and f1.year * 12 + f1.month = q.year * 12 + q.month - 1
+            left join {panel} f2 on f2.series_id = q.{series} and f2.year * 12 + f2.month = q.year * 12 + q.month - 2
+            left join {panel} f3 on f3.series_id = q.{series} and f3.year * 12 + f3.month = q.year * 12 + q.month - 3
+            left join {panel} f12 on f12.series_id = q.{series} and f12.year = q.year - 1 and f12.month = q.month
+            left join cl c0 on c0.series_id = q.{series} and c0.month = q.month
+            left join cl c1 on c1.series_id = q.{series} and c1.month = (q.month + 10) % 12 + 1
+            left join ov on ov.series_id = q.{series}""",
+        "lk": f"""select request_id, base.series_id, base.year, base.month, coalesce(p1, nl1) as value_lag_1,
+            coalesce(p12, def) as value_lag_12, case when {known} >= 2
+            then (coalesce(p1, 0) + coalesce(p2, 0) + coalesce(p3, 0)) / ({known})
+            else coalesce((nl1 + c2.m + c3.m) / 3, def) end as value_ma_3, def as value_ma_12 from base
+            left join cl c2 on c2.series_id = base.series_id and c2.month = (base.month + 9) % 12 + 1
+            left join cl c3 on c3.series_id = base.series_id and c3.month = (base.month + 8) % 12 + 1""",
+    }
+
+
+_MONTHLY_SLOTS = ["value_lag_1", "value_lag_12", "value_ma_3", "value_ma_12"]
+
+
 @query("j3_monthly_lookback", check(
-    f"""select request_id, base.series_id, base.year, base.month, {r("coalesce(p1, nl1)", "value_lag_1", 2)},
-    {r("coalesce(p12, def)", "value_lag_12", 2)},
-    {r('''case when (case when p1 is null then 0 else 1 end) + (case when p2 is null then 0 else 1 end)
-      + (case when p3 is null then 0 else 1 end) >= 2
-      then (coalesce(p1, 0) + coalesce(p2, 0) + coalesce(p3, 0)) / ((case when p1 is null then 0 else 1 end)
-      + (case when p2 is null then 0 else 1 end) + (case when p3 is null then 0 else 1 end))
-      else coalesce((nl1 + c2.m + c3.m) / 3, def) end''', "value_ma_3", 2)},
-    {r("def", "value_ma_12", 2)} from base
-    left join cl c2 on c2.series_id = base.series_id and c2.month = (base.month + 9) % 12 + 1
-    left join cl c3 on c3.series_id = base.series_id and c3.month = (base.month + 8) % 12 + 1""",
-    "pm", "rq",
-    cl="select series_id, month, avg(value) as m from pm group by 1, 2",
-    ov="select series_id, avg(m) as o from cl group by 1",
-    base="""select q.request_id, q.priority as series_id, q.year, q.month, f1.value as p1, f2.value as p2,
-        f3.value as p3, f12.value as p12, coalesce(c0.m, ov.o) as def, coalesce(c1.m, c0.m, ov.o) as nl1 from rq q
-        left join pm f1 on f1.series_id = q.priority and f1.year * 12 + f1.month = q.year * 12 + q.month - 1
-        left join pm f2 on f2.series_id = q.priority and f2.year * 12 + f2.month = q.year * 12 + q.month - 2
-        left join pm f3 on f3.series_id = q.priority and f3.year * 12 + f3.month = q.year * 12 + q.month - 3
-        left join pm f12 on f12.series_id = q.priority and f12.year = q.year - 1 and f12.month = q.month
-        left join cl c0 on c0.series_id = q.priority and c0.month = q.month
-        left join cl c1 on c1.series_id = q.priority and c1.month = (q.month + 10) % 12 + 1
-        left join ov on ov.series_id = q.priority"""))
+    f"select request_id, series_id, year, month, {', '.join(r(c, c, 2) for c in _MONTHLY_SLOTS)} from lk",
+    "pm", "rq", **monthly_lookback_steps("pm", "priority")))
 def monthly_lookback(spark, d):
     requests = P.lookback_requests(spark, d).select("request_id", F.col("priority").alias("series_id"), "year", "month")
     out = lookback.monthly_lookback(requests, P.price_monthly(spark, d))
-    return settle(
-        out.select("request_id", "series_id", "year", "month", "value_lag_1", "value_lag_12", "value_ma_3", "value_ma_12"), 2
-    )
+    return settle(out.select("request_id", "series_id", "year", "month", *_MONTHLY_SLOTS), 2)
 
 
-_DAILY_LOOKBACK = check(
-    f"""select q.request_id, q.flag as series_id, q.date,
-    {r("coalesce(f1.value, vc.v, g.v)", "value_lag_1")}, {r("coalesce(f7.value, vc.v, g.v)", "value_lag_7")},
-    {r("coalesce(f30.value, vc.v, g.v)", "value_lag_30")},
-    {r("case when t.c >= 2 then t.m else coalesce(vc.v, g.v) end", "value_ma_7")},
-    {r("coalesce(f1.temperature, vc.t, g.t)", "temperature_lag_1")}, {r("coalesce(vc.t, g.t)", "temperature_ma_7")},
-    {r("coalesce(vc.h, g.h)", "humidity_lag_1")}, {r("coalesce(vc.w, g.w)", "wind_speed_lag_1")} from rq q
-    left join dd f1 on f1.series_id = q.flag and f1.date = q.date - 1
-    left join dd f7 on f7.series_id = q.flag and f7.date = q.date - 7
-    left join dd f30 on f30.series_id = q.flag and f30.date = q.date - 30
-    left join doy vc on vc.series_id = q.flag and vc.doy = dayofyear(q.date)
-    left join allrows g on g.series_id = q.flag
-    asof left join tail t on t.series_id = q.flag and q.date > t.date""",
-    "dd", "rq",
-    doy="""select series_id, dayofyear(date) as doy, avg(value) as v, avg(temperature) as t, avg(humidity) as h,
+DAILY_LOOKBACK_STEPS = {
+    "doy": """select series_id, dayofyear(date) as doy, avg(value) as v, avg(temperature) as t, avg(humidity) as h,
         avg(wind_speed) as w from dd group by 1, 2""",
-    allrows="""select series_id, avg(value) as v, avg(temperature) as t, avg(humidity) as h, avg(wind_speed) as w
+    "allrows": """select series_id, avg(value) as v, avg(temperature) as t, avg(humidity) as h, avg(wind_speed) as w
         from dd group by 1""",
-    tail="""select series_id, date, avg(value) over x as m, count(value) over x as c from dd
+    "tail": """select series_id, date, avg(value) over x as m, count(value) over x as c from dd
         window x as (partition by series_id order by date rows between 6 preceding and current row)""",
-)
+    "lk": """select q.request_id, q.flag as series_id, q.date, coalesce(f1.value, vc.v, g.v) as value_lag_1,
+        coalesce(f7.value, vc.v, g.v) as value_lag_7, coalesce(f30.value, vc.v, g.v) as value_lag_30,
+        case when t.c >= 2 then t.m else coalesce(vc.v, g.v) end as value_ma_7,
+        coalesce(f1.temperature, vc.t, g.t) as temperature_lag_1, coalesce(vc.t, g.t) as temperature_ma_7,
+        coalesce(vc.h, g.h) as humidity_lag_1, coalesce(vc.w, g.w) as wind_speed_lag_1 from rq q
+        left join dd f1 on f1.series_id = q.flag and f1.date = q.date - 1
+        left join dd f7 on f7.series_id = q.flag and f7.date = q.date - 7
+        left join dd f30 on f30.series_id = q.flag and f30.date = q.date - 30
+        left join doy vc on vc.series_id = q.flag and vc.doy = dayofyear(q.date)
+        left join allrows g on g.series_id = q.flag
+        asof left join tail t on t.series_id = q.flag and q.date > t.date""",
+}
+_DAILY_SLOTS = [
+    "value_lag_1", "value_lag_7", "value_lag_30", "value_ma_7", "temperature_lag_1", "temperature_ma_7",
+    "humidity_lag_1", "wind_speed_lag_1",
+]
 
 
-@query("j4_daily_lookback", _DAILY_LOOKBACK)
+@query("j4_daily_lookback", check(
+    f"select request_id, series_id, date, {', '.join(r(c, c) for c in _DAILY_SLOTS)} from lk", "dd", "rq",
+    **DAILY_LOOKBACK_STEPS))
 def daily_lookback(spark, d):
     requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "date")
     out = lookback.daily_lookback(requests, stored(P.combined_daily(spark, d), "daily"))
-    return settle(out.select("request_id", "series_id", "date", *[c for c in out.columns if "_lag_" in c or "_ma_" in c]))
+    return settle(out.select("request_id", "series_id", "date", *_DAILY_SLOTS))
 
 
 @query("j5_last_rows_before", check(

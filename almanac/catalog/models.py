@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from almanac.catalog import panels as P
+from almanac.catalog.joins import DAILY_LOOKBACK_STEPS, monthly_lookback_steps
 from almanac.catalog.panels import check, query, r, settle
 from almanac.catalog.projections import backtest_steps
 from almanac.catalog.rolling import daily_body
@@ -574,20 +575,8 @@ def feature_importance(spark, d):
     return settle(training.feature_importance(model, features, 10))
 
 
-@query("m23_batch_scoring_monthly")
-def batch_scoring_monthly(spark, d):
-    """Monthly requests scored with looked-up history, covariate normals and calendar features."""
-    monthly = stored(P.combined_monthly(spark, d).drop("date"), "monthly")
-    base_year = monthly.agg(F.min("year")).first()[0]
-    frame = X.monthly_features(monthly, base_year=base_year)
-    trained, _ = training.train_and_evaluate(
-        frame, X.feature_columns(frame), training.random_forest(trees=20, depth=5), base_year, windows.MONTHLY_ORDER
-    )
-    requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "year", "month")
-    return settle(score_monthly(requests, monthly, trained))
-
-
 def score_monthly(requests, monthly, trained):
+    """Each distinct cell is scored once, then joined back to the requests for it."""
     cells = requests.select("series_id", "year", "month").distinct()
     known = relate.covariate_lookup(lookback.monthly_lookback(cells, monthly), monthly)
     scored = training.score(
@@ -596,16 +585,97 @@ def score_monthly(requests, monthly, trained):
     return requests.join(scored, ["series_id", "year", "month"])
 
 
-@query("m24_batch_scoring_daily")
-def batch_scoring_daily(spark, d):
-    """Daily requests scored by a model that learned from the features a request can have."""
-    daily = stored(P.combined_daily(spark, d), "daily")
-    frame = X.daily_features(daily.drop("year", "month", "day"), X.SERVING_SPEC)
-    trained, _ = training.train_and_evaluate(
-        frame, X.SERVING_FEATURES, training.random_forest(trees=20, depth=5), C.BASE_YEAR, windows.DAILY_ORDER
-    )
-    requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "date")
+def score_daily(requests, daily, trained):
     cells = requests.select("series_id", "date").distinct()
     known = X.with_day_fields(lookback.daily_lookback(cells, daily), trained.base_year)
     scored = training.score(trained, known, ["series_id", "date"])
-    return settle(requests.join(scored, ["series_id", "date"]))
+    return requests.join(scored, ["series_id", "date"])
+
+
+def _score_monthly_requests(spark, d, estimator, features=None):
+    monthly = stored(P.combined_monthly(spark, d).drop("date"), "monthly")
+    base_year = monthly.agg(F.min("year")).first()[0]
+    frame = X.monthly_features(monthly, base_year=base_year)
+    trained, _ = training.train_and_evaluate(
+        frame, features or X.feature_columns(frame), estimator, base_year, windows.MONTHLY_ORDER
+    )
+    requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "year", "month")
+    return settle(score_monthly(requests, monthly, trained))
+
+
+def _score_daily_requests(spark, d, estimator, features):
+    daily = stored(P.combined_daily(spark, d), "daily")
+    frame = X.daily_features(daily.drop("year", "month", "day"), X.SERVING_SPEC)
+    trained, _ = training.train_and_evaluate(frame, features, estimator, C.BASE_YEAR, windows.DAILY_ORDER)
+    requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "date")
+    return settle(score_daily(requests, daily, trained))
+
+
+_MONTHLY_SCORED = ["value_lag_1", "value_lag_12", "value_ma_3", "month_sin", "month_cos", "trend", "temperature"]
+_DAILY_SCORED = ["value_lag_1", "value_lag_7", "value_ma_7", "temperature_lag_1", "doy_sin", "doy_cos", "day"]
+
+
+def _scored_steps(train: str, asked: str, features: list[str]) -> dict[str, str]:
+    """Requests join the fit as rows of value 0, whose residual is minus their prediction."""
+    columns = ", ".join(features)
+    return {
+        "ls": f"""select series_id, date, value, split, 0 as fold, {columns} from {train}
+            union all select series_id, date, 0, 'asked', 0, {columns} from {asked}""",
+        **least_squares_steps(features, "split = 'train'"),
+        "ans": "select distinct series_id, date, greatest(0.0, predicted - value) as predicted from res where split = 'asked'",
+    }
+
+
+_POSITIONED = """select *, case when row_number() over w <= count(*) over (partition by series_id)
+    - cast(ceil(0.2 * count(*) over (partition by series_id)) as bigint) then 'train' else 'test' end as split
+    from {} window w as (partition by series_id order by date)"""
+
+
+@query("m23_batch_scoring_monthly", check(
+    f"""select request_id, lk.series_id, year, month, {r("predicted", "predicted")} from lk
+    join ans on ans.series_id = lk.series_id and ans.date = make_date(lk.year, lk.month, 1)""",
+    "mm", "rq", **monthly_lookback_steps("mm", "flag"),
+    mf=f"""select *, make_date(year, month, 1) as date from (select series_id, year, month, value, temperature,
+        lag(value, 1) over w as value_lag_1, lag(value, 12) over w as value_lag_12, avg(value) over (partition by series_id
+        order by year, month rows between 3 preceding and 1 preceding) as value_ma_3, sin(2 * pi() * month / 12) as month_sin,
+        cos(2 * pi() * month / 12) as month_cos, (year - (select min(year) from mm)) * 12 + month - 1 as trend from mm
+        window w as (partition by series_id order by year, month)) where value_lag_12 is not null""",
+    tr=_POSITIONED.format("mf"),
+    nm="select series_id, month, avg(temperature) as temperature from mm group by 1, 2",
+    ask="""select distinct lk.series_id, make_date(lk.year, lk.month, 1) as date, value_lag_1, value_lag_12, value_ma_3,
+        sin(2 * pi() * lk.month / 12) as month_sin, cos(2 * pi() * lk.month / 12) as month_cos,
+        greatest(0, (lk.year - (select min(year) from mm)) * 12 + lk.month - 1) as trend, temperature from lk
+        join nm on nm.series_id = lk.series_id and nm.month = lk.month""",
+    **_scored_steps("tr", "ask", _MONTHLY_SCORED)))
+def batch_scoring_monthly(spark, d):
+    """Monthly requests scored with looked-up history, covariate normals and calendar features."""
+    return _score_monthly_requests(spark, d, training.linear(), _MONTHLY_SCORED)
+
+
+@query("m23_batch_scoring_monthly_forest")
+def batch_scoring_monthly_forest(spark, d):
+    """The same with all features and a forest."""
+    return _score_monthly_requests(spark, d, training.random_forest(trees=20, depth=5))
+
+
+@query("m24_batch_scoring_daily", check(
+    f"""select request_id, lk.series_id, lk.date, {r("predicted", "predicted")} from lk
+    join ans on ans.series_id = lk.series_id and ans.date = lk.date""", "dd", "rq", **DAILY_LOOKBACK_STEPS,
+    df=f"""select * from (select series_id, date, value, cast(day(date) as double) as day, lag(value, 1) over w as value_lag_1,
+        lag(value, 7) over w as value_lag_7, lag(value, 30) over w as value_lag_30, avg(value) over (partition by series_id
+        order by date rows between 7 preceding and 1 preceding) as value_ma_7, lag(temperature, 1) over w as temperature_lag_1,
+        sin(2 * pi() * dayofyear(date) / 365) as doy_sin, cos(2 * pi() * dayofyear(date) / 365) as doy_cos from dd
+        window w as (partition by series_id order by date)) where value_lag_30 is not null""",
+    tr=_POSITIONED.format("df"),
+    ask="""select distinct series_id, date, value_lag_1, value_lag_7, value_ma_7, temperature_lag_1,
+        sin(2 * pi() * dayofyear(date) / 365) as doy_sin, cos(2 * pi() * dayofyear(date) / 365) as doy_cos,
+        cast(day(date) as double) as day from lk""",
+    **_scored_steps("tr", "ask", _DAILY_SCORED)))
+def batch_scoring_daily(spark, d):
+    """Daily requests scored by a model that learned from features a request can have."""
+    return _score_daily_requests(spark, d, training.linear(), _DAILY_SCORED)
+
+
+@query("m24_batch_scoring_daily_forest")
+def batch_scoring_daily_forest(spark, d):
+    return _score_daily_requests(spark, d, training.random_forest(trees=20, depth=5), X.SERVING_FEATURES)

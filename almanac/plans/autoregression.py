@@ -192,16 +192,21 @@ def seasonal_forecast(df: DataFrame, horizon: Column, order: list[str] | None =
     )
 
 
-def seasonal_report(df: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Coefficients, AIC, one-step errors on the train rows and forecast errors on the test rows."""
+_FIT = ["n", "b1", "b2", "const", "sse", "aic"]
+
+
+def seasonal_predictions(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Each row with its model: one-step values on the train rows, forecasts from their end on the test rows."""
     rows = seasonal_rows(df, order)
-    kept = ["n", "b1", "b2", "const", "sse", "aic"]
-    models = _seasonal_models(rows).select("series_id", *kept, _path(F.col("n_all") - F.col("n_train")).alias("path"))
+    models = _seasonal_models(rows).select("series_id", *_FIT, _path(F.col("n_all") - F.col("n_train")).alias("path"))
     ahead = F.get("path", (F.col("position") - F.col("n_train") - 1).cast("int"))
-    both = rows.join(models, "series_id").withColumn(
-        "predicted", F.when(F.col("split") == "train", _one_step()).otherwise(ahead)
-    )
-    return _split_errors(both, *kept)
+    predicted = F.when(F.col("split") == "train", _one_step()).otherwise(ahead)
+    return rows.join(models, "series_id").select(*df.columns, "split", *_FIT, predicted.alias("predicted"))
+
+
+def seasonal_report(df: DataFrame, order: list[str] | None = None) -> DataFrame:
+    """Coefficients, AIC, one-step errors on the train rows and forecast errors on the test rows."""
+    return _split_errors(seasonal_predictions(df, order), *_FIT)
 
 
 # --- Order search -----------------------------------------------------------------------

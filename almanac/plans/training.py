@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import StandardScaler, UnivariateFeatureSelector, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.functions.scoring import accuracy_percent, non_negative
@@ -111,14 +111,16 @@ def evaluate(model: PipelineModel, split_frame: DataFrame) -> DataFrame:
 
 
 def train_and_evaluate(
-    frame: DataFrame, features: list[str], estimator: Estimator, base_year: int, order: list[str]
+    frame: DataFrame, features: list[str], estimator: Estimator, base_year: int, order: list[str],
+    split: Column | None = None,
 ) -> tuple[Trained, DataFrame]:
-    """Fit on the earlier rows of each series; errors by split.
+    """Fit on the train rows and report errors by split.
 
-    The split frame is persisted while boosting passes over it again and again; a lost
+    The earlier rows of each series train unless ``split`` decides otherwise, as
+    ``hashed_split`` does for a random hold-out. The split frame is persisted while boosting passes over it again and again; a lost
     partition is recomputed from the source tables.
     """
-    split_frame = chronological_split(frame, order).persist()
+    split_frame = (chronological_split(frame, order) if split is None else frame.withColumn("split", split)).persist()
     try:
         model = fit(split_frame.filter(F.col("split") == "train"), features, estimator)
         rows = {r["split"]: r for r in evaluate(model, split_frame).collect()}  # one row per split
@@ -214,6 +216,11 @@ def _chain(models: dict[str, PipelineModel], df: DataFrame) -> DataFrame:
     return out
 
 
+def _save_all(models: dict[str, PipelineModel], path: str) -> None:
+    for name, model in models.items():
+        model.write().overwrite().save(f"{path}/{name}")
+
+
 def average_predictions(df: DataFrame, columns: list[str], name: str = "predicted") -> DataFrame:
     total = sum((F.col(c) for c in columns[1:]), F.col(columns[0]))
     return df.withColumn(name, total / len(columns))
@@ -229,6 +236,13 @@ class Voting:
         scored = average_predictions(_chain(self.models, df), list(self.models))
         return scored.drop(*self.models)
 
+    def save(self, path: str) -> None:
+        _save_all(self.models, path)
+
+    @staticmethod
+    def load(path: str, names: list[str]) -> Voting:
+        return Voting({n: PipelineModel.load(f"{path}/{n}") for n in names})
+
 
 def fit_voting(train: DataFrame, features: list[str], estimators: dict[str, Estimator]) -> Voting:
     return Voting({name: fit(train, features, e) for name, e in estimators.items()})
@@ -244,6 +258,14 @@ class Stacking:
     def predict(self, df: DataFrame) -> DataFrame:
         return predict(self.meta, _chain(self.models, df)).drop(*self.models)
 
+    def save(self, path: str) -> None:
+        _save_all({**self.models, "meta": self.meta}, path)
+
+    @staticmethod
+    def load(path: str, names: list[str]) -> Stacking:
+        models = {n: PipelineModel.load(f"{path}/{n}") for n in names}
+        return Stacking(models, PipelineModel.load(f"{path}/meta"))
+
 
 def fit_stacking(
     train: DataFrame, features: list[str], estimators: dict[str, Estimator], order: list[str],
