@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["projections", "aggregates", "joins", "rolling", "ranked", "stored", "models"]
+MODULES = ["projections", "aggregates", "joins", "rolling", "ranked", "stored", "models", "arriving"]
 
 
 def load() -> tuple[dict, dict]:

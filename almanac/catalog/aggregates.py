@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from almanac.catalog import panels as P
 from almanac.catalog.panels import COVARIATES, check, query, r, settle
 from almanac.catalog.projections import backtest_steps
-from almanac.operators import distribution, metrics, rollup, summary
+from almanac.operators import distribution, metrics, quality, rollup, summary
 from almanac.plans import forecasts
 
 
@@ -156,7 +156,7 @@ def seasonal_ratio(spark, d):
     ou="""select st.series_id, count(*) filter (value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)) as outliers
         from dm d join st on d.series_id = st.series_id group by 1"""))
 def data_quality(spark, d):
-    out = summary.quality_report(P.delivered_monthly(spark, d))
+    out = quality.quality_report(P.delivered_monthly(spark, d))
     return settle(out.withColumns({c: F.col(c).cast("double") for c in ("outlier_percent", "completeness")}))
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.operators.relate import broadcast_if_small
+from almanac.operators.relate import BROADCAST_ROW_LIMIT, broadcast_if_small
 from almanac.sources.sinks import stored
 
 
@@ -46,14 +46,19 @@ def histogram(df: DataFrame, bins: int, value: str = "value") -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, probs: list[float], value: str = "value", slices: int = 64) -> DataFrame:
-    """Interpolated quantiles per series, exact, without gathering a series in one task.
+# Most distinct values of one series that a single task may hold.
+TASK_VALUE_LIMIT = 1_000_000
 
-    Equal values collapse to counters. Approximate quantiles of the counters cut each
-    series into slices of similar size; the slice totals tell which slices hold the
-    wanted ranks, and only those are sorted, slice by slice. The cuts steer the work
-    alone: any cuts give the same result. Counters and cuts are written out: the rows are
-    read and shuffled once, and a recomputed task sees the same cuts.
+
+def exact_quantiles(
+    df: DataFrame, probs: list[float], value: str = "value", slices: int = 64, task_limit: int = TASK_VALUE_LIMIT
+) -> DataFrame:
+    """Interpolated quantiles per series, exact, without gathering a large series in one task.
+
+    Equal values collapse to counters, which are written out: the rows are read and
+    shuffled once. When the largest series has few enough distinct values, the exact
+    percentile aggregate takes them from there; otherwise ``_sliced_quantiles`` spreads
+    each series over many tasks.
     """
     counts = stored(
         df.filter(F.col(value).isNotNull())
@@ -61,10 +66,27 @@ def exact_quantiles(df: DataFrame, probs: list[float], value: str = "value", sli
         .agg(F.count(F.lit(1)).alias("n")),
         "counts",
     )
+    largest = counts.groupBy("series_id").count().agg(F.max("count")).first()[0]
+    if (largest or 0) > task_limit:
+        return _sliced_quantiles(counts, probs, slices)
+    return counts.groupBy("series_id").agg(
+        F.sum("n").alias("n"), F.percentile("v", probs, F.col("n")).alias("quantiles")
+    )
+
+
+def _sliced_quantiles(counts: DataFrame, probs: list[float], slices: int) -> DataFrame:
+    """Quantiles of (series_id, v, n) counters, each series cut into slices.
+
+    Approximate quantiles of the counters cut a series into slices of similar size; the
+    slice totals tell which slices hold the wanted ranks, and only those are sorted, slice
+    by slice. The cuts steer the work alone: any cuts give the same result. They are
+    written out so that a recomputed task sees the same ones.
+    """
     at_shares = [i / slices for i in range(1, slices)] or [0.5]
     cuts = stored(counts.groupBy("series_id").agg(F.percentile_approx("v", at_shares).alias("cuts")), "cuts")
     below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
-    sliced = counts.join(broadcast_if_small(cuts), "series_id").select("series_id", "v", "n", below.alias("slice"))
+    # A row of cuts is as wide as ``slices`` columns.
+    sliced = counts.join(broadcast_if_small(cuts, BROADCAST_ROW_LIMIT // slices), "series_id").select("series_id", "v", "n", below.alias("slice"))
 
     in_order = Window.partitionBy("series_id").orderBy("slice")
     whole = Window.partitionBy("series_id")
@@ -104,7 +126,8 @@ def exact_quantiles(df: DataFrame, probs: list[float], value: str = "value", sli
     return found.select("series_id", F.col("total").alias("n"), F.array(*quantile).alias("quantiles"))
 
 
-def _fences(df: DataFrame, value: str) -> DataFrame:
+def iqr_fences(df: DataFrame, value: str = "value") -> DataFrame:
+    """Quartiles per series and the bounds 1.5 interquartile ranges beyond them."""
     q = exact_quantiles(df, [0.25, 0.5, 0.75], value)
     q1, q2, q3 = (F.col("quantiles")[i] for i in range(3))
     iqr = q3 - q1
@@ -120,7 +143,7 @@ def _fences(df: DataFrame, value: str) -> DataFrame:
 
 def iqr_outliers(df: DataFrame, value: str = "value") -> DataFrame:
     """Rows outside 1.5 interquartile ranges of their series' quartiles."""
-    fences = broadcast_if_small(_fences(df, value).select("series_id", "low_fence", "high_fence"))
+    fences = broadcast_if_small(iqr_fences(df, value).select("series_id", "low_fence", "high_fence"))
     return df.join(fences, "series_id").filter(
         (F.col(value) < F.col("low_fence")) | (F.col(value) > F.col("high_fence"))
     )
@@ -128,7 +151,7 @@ def iqr_outliers(df: DataFrame, value: str = "value") -> DataFrame:
 
 def box_plot(df: DataFrame, value: str = "value") -> DataFrame:
     """Quartiles, whiskers at the last value inside the fences, and the number beyond them."""
-    fences = _fences(df, value)
+    fences = iqr_fences(df, value)
     v = F.col(value)
     inside = v.between(F.col("low_fence"), F.col("high_fence"))
     return (

@@ -14,8 +14,8 @@ from almanac.functions.calendar import date_parts
 from almanac.functions.scoring import accuracy_percent, accuracy_with_fallback
 from almanac.sources.tables import covariate_columns
 
-# Most rows a side may have to be copied to every executor: one row per series, a few columns.
-BROADCAST_ROW_LIMIT = 500_000
+# Most rows a side of a few columns may have to be copied to every executor: some megabytes.
+BROADCAST_ROW_LIMIT = 100_000
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.functions.scoring import completeness_band
 from almanac.sources.tables import covariate_columns
 
 
@@ -170,56 +169,3 @@ def latest_same_month(monthly: DataFrame) -> DataFrame:
         F.max_by("value", "year").alias("latest_value"),
         F.avg("value").alias("mean_value"),
     )
-
-
-def quality_report(rows: DataFrame) -> DataFrame:
-    """Data-quality report of monthly rows as delivered: (series_id, year, month, value).
-
-    Identical rows collapse to a counter first. That yields the duplicate count, and the
-    exact percentile then weighs each distinct value by its counter.
-    """
-    fields = ["series_id", "year", "month", "value"]
-    # Grouping treats NULL values as equal, as the duplicate count needs.
-    distinct = rows.groupBy(*fields).agg(F.count(F.lit(1)).alias("copies"))
-    quartiles = distinct.groupBy("series_id").agg(
-        F.sum("copies").alias("total_records"),
-        (F.sum("copies") - F.count(F.lit(1))).alias("duplicates"),
-        F.percentile("value", [0.25, 0.5, 0.75], F.col("copies")).alias("q"),
-    )
-    basics = rows.groupBy("series_id").agg(
-        F.count_if(F.col("value").isNull()).alias("missing"),
-        F.min(F.struct("year", "month")).alias("first"),
-        F.max(F.struct("year", "month")).alias("last"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-        ((F.max("year") - F.min("year") + 1) * 12).alias("expected_months"),
-    )
-    iqr = F.col("q")[2] - F.col("q")[0]
-    fences = quartiles.select(
-        "series_id", (F.col("q")[0] - 1.5 * iqr).alias("low"), (F.col("q")[2] + 1.5 * iqr).alias("high")
-    )
-    outliers = (
-        distinct.join(fences, "series_id")
-        .groupBy("series_id")
-        .agg(
-            F.sum(
-                F.when((F.col("value") < F.col("low")) | (F.col("value") > F.col("high")), F.col("copies")).otherwise(0)
-            ).alias("outliers")
-        )
-    )
-    completeness = F.col("total_records") * 100.0 / F.col("expected_months")
-    return (
-        basics.join(quartiles, "series_id")
-        .join(outliers, "series_id")
-        .select(
-            "series_id", "total_records", "missing", "duplicates",
-            F.format_string("%d-%02d", F.col("first.year"), F.col("first.month")).alias("first_period"),
-            F.format_string("%d-%02d", F.col("last.year"), F.col("last.month")).alias("last_period"),
-            "mean", F.col("q")[1].alias("median"), "std", "min", "max", iqr.alias("iqr"),
-            "outliers", (F.col("outliers") * 100.0 / F.col("total_records")).alias("outlier_percent"),
-            "expected_months", completeness.alias("completeness"),
-            completeness_band(completeness).alias("status"),
-        )
-    )

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from almanac.operators.summary import quality_report, seasonal_ratio
+from almanac.operators.quality import quality_report
+from almanac.operators.summary import seasonal_ratio
 from almanac.operators.windows import MONTHLY_ORDER, series_window
 
 # Published critical-value surface (MacKinnon 2010), one variable, constant only:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from almanac.operators import correlation, distribution, metrics, relate, rollup, scaling, split, summary, topk
+from almanac.operators import correlation, distribution, metrics, quality, relate, rollup, scaling, split, summary, topk
 from almanac.operators import windows as W
 
 
@@ -168,7 +168,7 @@ def test_quality_report(spark):
     values = [10, 11, 12, 13, 14, 15, 16, 17, 18, 500, None, None]
     rows = [("a", 2000, i + 1, None if v is None else float(v)) for i, v in enumerate(values)]
     rows += [rows[0], rows[-1], rows[-1]]
-    row = summary.quality_report(spark.createDataFrame(rows, "series_id string, year int, month int, value double")).first()
+    row = quality.quality_report(spark.createDataFrame(rows, "series_id string, year int, month int, value double")).first()
     known = [v for *_, v in rows if v is not None]
     assert (row.total_records, row.missing, row.duplicates, row.outliers) == (15, 4, 3, 1)
     assert row.median == np.percentile(known, 50)
@@ -179,7 +179,7 @@ def test_quality_report(spark):
 
 def test_completeness_of_a_gappy_series(monthly):
     values = {(2000 + i // 12, i % 12 + 1): 1 for i in range(24) if i not in (5, 6)}
-    row = summary.quality_report(monthly({"a": values})).first()
+    row = quality.quality_report(monthly({"a": values})).first()
     assert float(row.completeness) == pytest.approx(22 / 24 * 100) and row.status == "good"
 
 
@@ -210,11 +210,11 @@ def hot_rows(spark, seed=0):
     return data, spark.createDataFrame(rows, "series_id string, value double").repartition(8)
 
 
-@pytest.mark.parametrize("slices", [1, 3, 64])
-def test_exact_quantiles_of_a_hot_series(spark, slices):
+@pytest.mark.parametrize("slices,limit", [(1, 0), (3, 0), (64, 0), (64, 10), (64, 1_000_000)])
+def test_exact_quantiles_of_a_hot_series(spark, slices, limit):
     data, df = hot_rows(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    out = by(distribution.exact_quantiles(df, probs, slices=slices), "series_id")
+    out = by(distribution.exact_quantiles(df, probs, slices=slices, task_limit=limit), "series_id")
     for k, values in data.items():
         assert out[(k,)].n == len(values)
         assert out[(k,)].quantiles == pytest.approx(list(np.quantile(values, probs)))
