@@ -6,7 +6,10 @@ gathers a series into one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.relate import BROADCAST_ROW_LIMIT, broadcast_if_small
@@ -46,84 +49,81 @@ def histogram(df: DataFrame, bins: int, value: str = "value") -> DataFrame:
     )
 
 
-# Most distinct values of one series that a single task may hold.
-TASK_VALUE_LIMIT = 1_000_000
-
-
 def exact_quantiles(
-    df: DataFrame, probs: list[float], value: str = "value", slices: int = 64, task_limit: int = TASK_VALUE_LIMIT
+    df: DataFrame, probs: list[float], value: str = "value", accuracy: int = 100_000, whole_below: int = 200_000
 ) -> DataFrame:
     """Interpolated quantiles per series, exact, without gathering a large series in one task.
 
-    Equal values collapse to counters, which are written out: the rows are read and
-    shuffled once. When the largest series has few enough distinct values, the exact
-    percentile aggregate takes them from there; otherwise ``_sliced_quantiles`` spreads
-    each series over many tasks.
+    A mergeable sketch per series narrows each quantile to a band of a few ``accuracy``-ths
+    of its rows. A second pass counts the rows below each band and keeps the values inside;
+    all other rows fold into one counter per task before the shuffle. Only the bands are
+    sorted. A series with fewer than ``whole_below`` rows, where the band would be narrower
+    than a few ranks, is its own band.
+
+    The bands are written out, so that a recomputed task sees the same ones. They steer the
+    work alone: should one miss its quantile, the job fails rather than answer wrongly.
     """
-    counts = stored(
-        df.filter(F.col(value).isNotNull())
-        .groupBy("series_id", F.col(value).alias("v"))
-        .agg(F.count(F.lit(1)).alias("n")),
-        "counts",
+    margin = 3.0 / accuracy
+    known = df.filter(F.col(value).isNotNull()).select("series_id", F.col(value).alias("v"))
+    shares = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
+    sketch = known.groupBy("series_id").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.min("v").alias("least"),
+        F.max("v").alias("most"),
+        F.percentile_approx("v", shares, accuracy).alias("at"),
     )
-    largest = counts.groupBy("series_id").count().agg(F.max("count")).first()[0]
-    if (largest or 0) > task_limit:
-        return _sliced_quantiles(counts, probs, slices)
-    return counts.groupBy("series_id").agg(
-        F.sum("n").alias("n"), F.percentile("v", probs, F.col("n")).alias("quantiles")
+    small = F.col("rows") < whole_below
+    k = range(len(probs))
+    bands = stored(
+        sketch.select(
+            "series_id",
+            *[F.when(small | F.lit(probs[i] <= margin), F.col("least")).otherwise(F.col("at")[i]).alias(f"from{i}") for i in k],
+            *[
+                F.when(small | F.lit(probs[i] >= 1 - margin), F.col("most"))
+                .otherwise(F.col("at")[len(probs) + i])
+                .alias(f"to{i}")
+                for i in k
+            ],
+        ),
+        "bands",
+    )
+    inside = [F.col("v").between(F.col(f"from{i}"), F.col(f"to{i}")) for i in k]
+    kept = known.join(broadcast_if_small(bands, BROADCAST_ROW_LIMIT // len(probs)), "series_id").groupBy(
+        "series_id", F.when(reduce(or_, inside), F.col("v")).alias("v")
+    ).agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.max(inside[i]).alias(f"in{i}") for i in k],
+        *[F.count_if(F.col("v") < F.col(f"from{i}")).alias(f"below{i}") for i in k],
     )
-
-
-def _sliced_quantiles(counts: DataFrame, probs: list[float], slices: int) -> DataFrame:
-    """Quantiles of (series_id, v, n) counters, each series cut into slices.
-
-    Approximate quantiles of the counters cut a series into slices of similar size; the
-    slice totals tell which slices hold the wanted ranks, and only those are sorted, slice
-    by slice. The cuts steer the work alone: any cuts give the same result. They are
-    written out so that a recomputed task sees the same ones.
-    """
-    at_shares = [i / slices for i in range(1, slices)] or [0.5]
-    cuts = stored(counts.groupBy("series_id").agg(F.percentile_approx("v", at_shares).alias("cuts")), "cuts")
-    below = F.size(F.filter("cuts", lambda c: c < F.col("v")))
-    # A row of cuts is as wide as ``slices`` columns.
-    sliced = counts.join(broadcast_if_small(cuts, BROADCAST_ROW_LIMIT // slices), "series_id").select("series_id", "v", "n", below.alias("slice"))
-
-    in_order = Window.partitionBy("series_id").orderBy("slice")
     whole = Window.partitionBy("series_id")
-    totals = sliced.groupBy("series_id", "slice").agg(F.sum("n").alias("held"))
-    # At most ``slices`` rows per series here.
-    ranked = totals.select(
-        "series_id",
-        "slice",
-        "held",
-        (F.sum("held").over(in_order) - F.col("held")).alias("before"),
-        F.sum("held").over(whole).alias("total"),
+    upward = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    # Rows of the series up to and including this value, as seen from band i.
+    counted = kept.select(
+        "series_id", "v", "n", F.sum("n").over(whole).alias("total"), *[f"in{i}" for i in k],
+        *[
+            (F.sum(F.when(F.col(f"in{i}"), F.col("n")).otherwise(0)).over(upward) + F.sum(f"below{i}").over(whole)).alias(f"through{i}")
+            for i in k
+        ],
     )
     position = [(F.col("total") - 1) * F.lit(p) for p in probs]
-    wanted = ranked.withColumn(
-        "ranks", F.array(*[f(p).cast("bigint") for p in position for f in (F.floor, F.ceil)])
-    ).filter(
-        F.exists("ranks", lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("held")))
-    )
-    within = Window.partitionBy("series_id", "slice").orderBy("v")
-    placed = sliced.join(broadcast_if_small(wanted), ["series_id", "slice"]).withColumn(
-        "through", F.sum("n").over(within) + F.col("before")
-    )
 
-    def at(i: int):
-        rank = F.col("ranks")[i]
-        return F.max(F.when((rank < F.col("through")) & (rank >= F.col("through") - F.col("n")), F.col("v")))
+    def at(i: int, rank: Column) -> Column:
+        through = F.col(f"through{i}")
+        return F.max(F.when(F.col(f"in{i}") & (rank < through) & (rank >= through - F.col("n")), F.col("v")))
 
-    found = placed.groupBy("series_id").agg(
+    found = counted.groupBy("series_id").agg(
         F.max("total").alias("total"),
-        *[at(2 * i).alias(f"lo{i}") for i in range(len(probs))],
-        *[at(2 * i + 1).alias(f"hi{i}") for i in range(len(probs))],
+        *[at(i, F.floor(position[i])).alias(f"lower{i}") for i in k],
+        *[at(i, F.ceil(position[i])).alias(f"upper{i}") for i in k],
     )
-    quantile = [
-        F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p))
-        for i, p in enumerate(position)
-    ]
-    return found.select("series_id", F.col("total").alias("n"), F.array(*quantile).alias("quantiles"))
+
+    def quantile(i: int) -> Column:
+        lower, upper = F.col(f"lower{i}"), F.col(f"upper{i}")
+        missed = F.raise_error(F.lit("a band missed its quantile; widen the margin")).cast("double")
+        share = position[i] - F.floor(position[i])
+        return F.when(lower.isNull() | upper.isNull(), missed).otherwise(lower + (upper - lower) * share)
+
+    return found.select("series_id", F.col("total").alias("n"), F.array(*[quantile(i) for i in k]).alias("quantiles"))
 
 
 def iqr_fences(df: DataFrame, value: str = "value") -> DataFrame:

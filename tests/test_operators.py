@@ -210,11 +210,11 @@ def hot_rows(spark, seed=0):
     return data, spark.createDataFrame(rows, "series_id string, value double").repartition(8)
 
 
-@pytest.mark.parametrize("slices,limit", [(1, 0), (3, 0), (64, 0), (64, 10), (64, 1_000_000)])
-def test_exact_quantiles_of_a_hot_series(spark, slices, limit):
+@pytest.mark.parametrize("accuracy,whole", [(100_000, 200_000), (100, 1000), (20, 200)])
+def test_exact_quantiles_of_a_hot_series(spark, accuracy, whole):
     data, df = hot_rows(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    out = by(distribution.exact_quantiles(df, probs, slices=slices, task_limit=limit), "series_id")
+    out = by(distribution.exact_quantiles(df, probs, accuracy=accuracy, whole_below=whole), "series_id")
     for k, values in data.items():
         assert out[(k,)].n == len(values)
         assert out[(k,)].quantiles == pytest.approx(list(np.quantile(values, probs)))
