@@ -476,7 +476,7 @@ def _split_frame(spark, d, variant):
 @query("m6_voting_ensemble")
 def voting_ensemble(spark, d):
     rows, features = _split_frame(spark, d, "ensemble")
-    rows = rows.persist()
+    rows = training.training_rows(rows)
     voting = training.fit_voting(rows.filter(F.col("split") == "train"), features, _small_estimators())
     return settle(metrics.regression_metrics(voting.predict(rows), ["split"], "value"))
 
@@ -484,7 +484,7 @@ def voting_ensemble(spark, d):
 @query("m7_stacking_ensemble")
 def stacking_ensemble(spark, d):
     rows, features = _split_frame(spark, d, "sequence")
-    rows = rows.persist()
+    rows = training.training_rows(rows)
     train = rows.filter(F.col("split") == "train")
     stacked = training.fit_stacking(train, features, _small_estimators(), windows.DAILY_ORDER, folds=5)
     return settle(metrics.regression_metrics(stacked.predict(rows), ["split"], "value"))
@@ -529,7 +529,7 @@ _WIDEST_FEATURES = [
 def feature_selection(spark, d):
     """The 50 best columns of the widest variant, with their scores on the train rows."""
     rows, features = _split_frame(spark, d, "advanced")
-    train = rows.filter(F.col("split") == "train").persist()
+    train = training.training_rows(rows.filter(F.col("split") == "train"))
     chosen = training.select_features(train, features, 50)
     scores = scaling.univariate_f_scores(train, features)
     return settle(scores.filter(F.col("feature").isin(chosen)))
@@ -592,7 +592,7 @@ def _metrics_row_sql(key: str, source: str) -> str:
     **_LINEAR, **least_squares_steps(LINEAR_FEATURES[:2], "split = 'train'", "z")))
 def train_and_register(spark, d):
     """Two models trained, saved and entered into the metrics table one after the other."""
-    frame = daily_frame(spark, d, "sequence").persist()
+    frame = training.training_rows(daily_frame(spark, d, "sequence"))
     previous = None
     for key, features in (("daily_linear", LINEAR_FEATURES), ("daily_linear_short", LINEAR_FEATURES[:2])):
         trained, _ = training.train_and_evaluate(frame, features, training.linear(), C.BASE_YEAR, windows.DAILY_ORDER)
@@ -630,6 +630,7 @@ def evaluate_stored(spark, d):
 @query("t3_feature_importance")
 def feature_importance(spark, d):
     rows, features = _split_frame(spark, d, "basic")
+    rows = training.training_rows(rows)
     model = training.fit(rows.filter(F.col("split") == "train"), features, training.random_forest(trees=10, depth=5))
     return settle(training.feature_importance(model, features, 10))
 

@@ -71,7 +71,7 @@ def train_monthly(spark: SparkSession, folder: str, models: dict[str, Make] | No
     """Train the monthly models and the seasonal one, save their bundles and start a new metrics table."""
     panel = spark.read.parquet(f"{folder}/monthly_combined").drop("date")
     base_year = panel.agg(F.min("year")).first()[0]
-    frame = X.monthly_features(panel, base_year=base_year).persist()
+    frame = training.training_rows(X.monthly_features(panel, base_year=base_year))
     rows = None
     for key, make in (models or MONTHLY_MODELS).items():
         trained, _ = training.train_and_evaluate(frame, X.feature_columns(frame), make(), base_year, MONTHLY_ORDER)
@@ -120,7 +120,7 @@ def train_ensembles(
         ("daily_ensemble", "ensemble", voting or VOTING), ("daily_stacking", "advanced", stacking or STACKING)
     ):
         frame = _daily_frame(spark, folder, variant)
-        rows = chronological_split(frame, DAILY_ORDER).persist()
+        rows = training.training_rows(chronological_split(frame, DAILY_ORDER))
         train = rows.filter(F.col("split") == "train")
         features = X.feature_columns(frame)
         estimators = {name: make() for name, make in members.items()}

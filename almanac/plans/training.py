@@ -19,7 +19,7 @@ from almanac.operators.metrics import regression_metrics
 from almanac.operators.split import chronological_split, contiguous_folds
 from almanac.plans.features import align_features
 from almanac.session import ensure_checkpoint_dir
-from almanac.sources.sinks import overwrite_metrics, read_metrics, upsert_metrics
+from almanac.sources.sinks import overwrite_metrics, read_metrics, stored, upsert_metrics
 
 LABEL = "value"
 SEED = 42
@@ -105,6 +105,15 @@ class Trained:
     metrics: dict[str, float | None]
 
 
+def training_rows(df: DataFrame) -> DataFrame:
+    """The rows of a fit, stored in evenly sized parts and persisted.
+
+    Fitting passes over them again and again, so their partitions should follow from their
+    size and not from the shuffle setting; a lost part is read again, not recomputed.
+    """
+    return stored(df.hint("rebalance"), "rows").persist()
+
+
 def evaluate(model: PipelineModel, split_frame: DataFrame) -> DataFrame:
     """Errors by split."""
     return regression_metrics(predict(model, split_frame), ["split"], actual=LABEL)
@@ -117,20 +126,20 @@ def train_and_evaluate(
     """Fit on the train rows and report errors by split.
 
     The earlier rows of each series train unless ``split`` decides otherwise, as
-    ``hashed_split`` does for a random hold-out. The split frame is persisted while boosting passes over it again and again; a lost
-    partition is recomputed from the source tables.
+    ``hashed_split`` does for a random hold-out.
     """
-    split_frame = (chronological_split(frame, order) if split is None else frame.withColumn("split", split)).persist()
+    rows = chronological_split(frame, order) if split is None else frame.withColumn("split", split)
+    split_frame = training_rows(rows)
     try:
         model = fit(split_frame.filter(F.col("split") == "train"), features, estimator)
-        rows = {r["split"]: r for r in evaluate(model, split_frame).collect()}  # one row per split
+        errors = {r["split"]: r for r in evaluate(model, split_frame).collect()}  # one row per split
     finally:
         split_frame.unpersist()
-    test = rows.get("test")
+    test = errors.get("test")
     metrics = {"mae": test["mae"], "rmse": test["rmse"], "r2_score": test["r2"]} if test else {}
     spark = frame.sparkSession
     report = spark.createDataFrame(
-        [(s, r["n"], r["mae"], r["rmse"], r["r2"]) for s, r in sorted(rows.items())],
+        [(s, r["n"], r["mae"], r["rmse"], r["r2"]) for s, r in sorted(errors.items())],
         "split string, n bigint, mae double, rmse double, r2 double",
     )
     return Trained(model, features, base_year, metrics), report
@@ -275,7 +284,7 @@ def fit_stacking(
 
     The base models are then fitted again on all train rows.
     """
-    folded = contiguous_folds(train, order, folds).persist()
+    folded = training_rows(contiguous_folds(train, order, folds))
     try:
         held_out = None
         for k in range(folds):
@@ -284,7 +293,7 @@ def fit_stacking(
             }
             part = _chain(models, folded.filter(F.col("fold") == k)).select(LABEL, *estimators)
             held_out = part if held_out is None else held_out.unionByName(part)
-        held_out = held_out.persist()
+        held_out = training_rows(held_out)
         meta = fit(held_out, list(estimators), ridge(held_out, alpha), scaled=False)
         held_out.unpersist()
         final = {name: fit(folded, features, e) for name, e in estimators.items()}

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators.metrics import error_columns
 from almanac.operators.split import contiguous_folds
-from almanac.plans.training import LABEL, assembled, fit, predict
+from almanac.plans.training import LABEL, assembled, fit, predict, training_rows
 from almanac.session import ensure_checkpoint_dir
 
 # Axes of the hold-out search (4 * 4 * 5 * 4 * 4 = 1280 combinations).
@@ -71,7 +71,7 @@ def hold_out_search(
     """
     spark = split_frame.sparkSession
     ensure_checkpoint_dir(spark)
-    frame = split_frame.persist()
+    frame = training_rows(split_frame)
     train = frame.filter(F.col("split") == "train")
 
     def run(params: dict[str, float]) -> tuple:
@@ -114,7 +114,7 @@ def cross_validated_search(
     builder = ParamGridBuilder()
     for name, values in grid.items():
         builder = builder.addGrid(estimator.getParam(name), values)
-    folded = contiguous_folds(train, order, folds).persist()
+    folded = training_rows(contiguous_folds(train, order, folds))
     search = CrossValidator(
         estimator=Pipeline(stages=[*assembled(features), estimator]),
         estimatorParamMaps=builder.build(),
@@ -139,7 +139,7 @@ def cross_validated_score(
     train: DataFrame, features: list[str], estimator: Estimator, order: list[str], folds: int = 5
 ) -> DataFrame:
     """R2 of each contiguous fold, and their mean and twice their deviation."""
-    folded = contiguous_folds(train, order, folds).persist()
+    folded = training_rows(contiguous_folds(train, order, folds))
     spark = train.sparkSession
     rows = []
     try:
