@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chat, licences, pii
+from almanac.llm import bpe, chat, decontaminate, licences, pii, quality
 from almanac.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return coded.mapInArrow(digest, schema)
 
 
+@query("op5_decontamination")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items."""
+    return decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op8_quality_classifier")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    """Score and decision for every document."""
+    docs = table(spark, folder, "documents")
+    return quality.score_documents(docs, quality.fit(docs))
+
+
 @query("op10_licence_scan")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and tags in every document."""

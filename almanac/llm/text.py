@@ -172,3 +172,14 @@ def map_texts(
                 yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     return frame.mapInArrow(run, ddl)
+
+
+def filter_texts(docs: DataFrame, text: str, keep: Callable[[pa.Array], np.ndarray], limit: int = PIECE_BYTES) -> DataFrame:
+    """The rows, with all their columns, whose texts ``keep`` marks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, text, limit):
+                yield piece.filter(pa.array(keep(piece.column(piece.schema.get_field_index(text))), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
