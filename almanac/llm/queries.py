@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chat, decontaminate, licences, pii, quality
+from almanac.llm import bpe, chat, decontaminate, licences, pii, quality, setjoin
 from almanac.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -140,6 +140,36 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs))
 
 
+@query(
+    "op9_ngram_jaccard_join",
+    r"""
+    with recursive split as (
+        select doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+        from documents
+    ), shingles as (
+        select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+            when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle
+        from split
+    ), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+    common as (
+        select a.doc_id as a, b.doc_id as b, count(*) as both
+        from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
+    ), links as (
+        select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+        where 100 * both >= 80 * (x.n + y.n - both)
+    ), reached as (
+        select doc_id as a, doc_id as b from documents
+        union select r.a, l.b from reached r join links l on r.b = l.a
+    )
+    select d.doc_id, coalesce(s.n, 0)::bigint as n_shingles, (select min(b) from reached where a = d.doc_id) as component_id
+    from documents d left join sizes s using (doc_id)""",
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """The class of linked documents that each document is in."""
+    return setjoin.link_classes(table(spark, folder, "documents"))
+
+
 @query("op10_licence_scan")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and tags in every document."""
