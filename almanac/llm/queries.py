@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chat, decontaminate, licences, pii, quality, setjoin
+from almanac.llm import bpe, chat, decontaminate, licences, pii, quality, setjoin, suffixes
 from almanac.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,13 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op6_suffix_array_dedup")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the byte strings that also start earlier."""
+    kept = suffixes.remove_repeats(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query("op8_quality_classifier")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Score and decision for every document."""
