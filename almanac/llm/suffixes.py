@@ -70,16 +70,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         none = np.zeros(0, np.int64)
         return none, np.zeros(0, np.uint64), none, none
     grams = T.mix(PrefixHash(data).of(np.arange(n), GRAM))
-    value = (grams >> np.uint64(32)).astype(np.uint32)
-    place = np.arange(n, dtype=np.int32)
-    span = 1
-    while span < PLACES:
-        # The least of twice the span; the earlier of equals.
-        step = min(span, PLACES - span)
-        later = value[step:] < value[:-step]
-        value = np.where(later, value[step:], value[:-step])
-        place = np.where(later, place[step:], place[:-step])
-        span += step
+    place = T.first_least((grams >> np.uint64(32)).astype(np.uint32), PLACES)
     owner = place[starts]
     # Windows of one anchor neighbour each other, except where rows meet.
     cut = np.r_[True, (owner[1:] != owner[:-1]) | (starts[1:] != starts[:-1] + 1)]

@@ -136,6 +136,19 @@ def combine(h: np.ndarray) -> int:
     return int(mix(np.array([out], np.uint64))[0])
 
 
+def first_least(values: np.ndarray, span: int) -> np.ndarray:
+    """For each run of ``span`` neighbouring values, the place of its least one, the first of equals."""
+    place = np.arange(len(values), dtype=np.int32)
+    done = 1
+    while done < span:
+        step = min(done, span - done)
+        later = values[step:] < values[:-step]
+        values = np.where(later, values[step:], values[:-step])
+        place = np.where(later, place[step:], place[:-step])
+        done += step
+    return place
+
+
 def words_of(texts: pa.Array, kind: np.ndarray = NOT_SPACE) -> Words:
     """Words of a text column after lower-casing A-Z."""
     data, offsets = as_bytes(texts)
