@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chat, decontaminate, licences, pii, quality, setjoin, suffixes
+from almanac.llm import bpe, chains, chat, decontaminate, licences, pii, quality, setjoin, suffixes
 from almanac.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,12 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op3_substring_chains")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages that a document shares, exactly or nearly, with another one."""
+    return chains.find_passages(table(spark, folder, "documents"))
+
+
 @query("op4_bpe_round_trip")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded with the word vocabulary and decoded again, as digests."""
