@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chains, chat, decontaminate, licences, pii, quality, setjoin, suffixes
+from almanac.llm import bpe, chains, chat, decontaminate, licences, pii, quality, search, setjoin, suffixes
 from almanac.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +146,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op7_bm25_top_k")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten best documents for every document whose id 100 divides, against all documents."""
+    docs = table(spark, folder, "documents")
+    asked = docs.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").alias("query_id"), "text")
+    return search.search(docs, asked)
+
+
 @query("op8_quality_classifier")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Score and decision for every document."""
