@@ -31,6 +31,8 @@ HASH_BITS = 18
 EPOCHS = 8
 VOTE_FEATURES = 4
 THRESHOLD = 0.5
+# The posterior from which the labellers' own verdict is enough.
+SURE = 0.9
 BAD, NONE, GOOD = 1, 0, -1
 
 # Frequent function words of the languages expected; ordinary prose is full of them.
@@ -291,6 +293,11 @@ def fit_scorer(
     return Scorer(weights.astype(np.float32), bias)
 
 
+def any_trait(posteriors: dict[str, np.ndarray]) -> np.ndarray:
+    """The probability that a document has at least one of the traits."""
+    return 1 - np.prod([1 - p for p in posteriors.values()], axis=0)
+
+
 @dataclass(frozen=True)
 class Classifier:
     """A label model for each trait, and the scorer that their posteriors trained."""
@@ -298,13 +305,13 @@ class Classifier:
     labels: dict[str, LabelModel]
     scorer: Scorer
 
-    def posteriors(self, votes: np.ndarray) -> dict[str, np.ndarray]:
-        return {t: m.posterior(votes[:, columns_of(t)]) for t, m in self.labels.items()}
-
-
-def any_trait(posteriors: dict[str, np.ndarray]) -> np.ndarray:
-    """The probability that a document has at least one of the traits."""
-    return 1 - np.prod([1 - p for p in posteriors.values()], axis=0)
+    def judge(self, p: Piece) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+        """Scores, rejections, and the posterior of each trait. Rejected is what the scorer finds bad,
+        and also what the labellers are sure of, where the scorer has seen too few cases of a kind."""
+        votes = votes_of(p.measures)
+        posteriors = {t: m.posterior(votes[:, columns_of(t)]) for t, m in self.labels.items()}
+        score = self.scorer.score(*features(p))
+        return score, (score >= THRESHOLD) | (any_trait(posteriors) >= SURE), posteriors
 
 
 def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Classifier | None:
@@ -352,17 +359,15 @@ def score_documents(docs: DataFrame, classifier: Classifier | None, key: str = "
     held = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def work(piece: pa.RecordBatch) -> dict:
-        p = measure(piece.column(1))
-        score = held.value.scorer.score(*features(p))
-        posteriors = held.value.posteriors(votes_of(p.measures))
-        return {key: piece.column(0), "score": score, "rejected": score >= THRESHOLD, **{f"p_{t}": x for t, x in posteriors.items()}}
+        score, rejected, posteriors = held.value.judge(measure(piece.column(1)))
+        return {key: piece.column(0), "score": score, "rejected": rejected, **{f"p_{t}": x for t, x in posteriors.items()}}
 
     return T.map_texts(docs, key, text, schema, work)
 
 
 def keep_good(docs: DataFrame, classifier: Classifier | None, text: str = "text") -> DataFrame:
-    """The documents that the scorer does not reject, with all their columns."""
+    """The documents that the classifier does not reject, with all their columns."""
     if classifier is None:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(classifier)
-    return T.filter_texts(docs, text, lambda texts: held.value.scorer.score(*features(measure(texts))) < THRESHOLD)
+    return T.filter_texts(docs, text, lambda texts: ~held.value.judge(measure(texts))[1])
