@@ -107,7 +107,7 @@ def last_rows_before(spark, d):
     requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "date")
     cells = requests.select("series_id", "date").distinct()
     tails = lookback.tail_mean(cells, P.quantity_daily(spark, d))
-    out = requests.join(tails, ["series_id", "date"])
+    out = lookback.rejoined(requests, tails, ["series_id", "date"])
     return settle(out.select("request_id", "series_id", "date", "tail_mean", "tail_n"))
 
 
@@ -192,14 +192,12 @@ def side_by_side(spark, d):
 
 
 @query("j9_parameter_grid", check(
-    """select s.series_id, s.n_rows, a.v as n_estimators, b.v as learning_rate, c.v as max_depth, e.v as subsample from
-    (select series_id, count(*) as n_rows from sm group by 1) s,
+    """select a.v as trees, b.v as rate, c.v as depth, f.v as leaf, e.v as subsample, n_rows from
     (select cast(unnest([100, 200, 300, 400]) as double) as v) a, (select cast(unnest([0.01, 0.05, 0.1, 0.15]) as double) as v) b,
-    (select cast(unnest([3, 4, 5, 6, 7]) as double) as v) c, (select cast(unnest([0.6, 0.8, 0.9, 1.0]) as double) as v) e,
-    (select unnest([3, 5, 7, 10]) as v) f""", "sm"))
+    (select cast(unnest([3, 4, 5, 6, 7]) as double) as v) c, (select cast(unnest([3, 5, 7, 10]) as double) as v) f,
+    (select cast(unnest([0.6, 0.8, 0.9, 1.0]) as double) as v) e, (select count(*) as n_rows from sm)""", "sm"))
 def parameter_grid(spark, d):
-    """The full search grid for every series, as a plan of fits with the rows each would see."""
-    sizes = P.supplier_monthly(spark, d).groupBy("series_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    plan = tuning.expand_grid(sizes, tuning.HOLD_OUT_GRID)
-    names = ["n_estimators", "learning_rate", "max_depth", "subsample"]
-    return plan.select("series_id", "n_rows", *[F.col("params")[n].alias(n) for n in names])
+    """The search grid, once, with the rows of the panel that each combination would be fitted on."""
+    size = P.supplier_monthly(spark, d).agg(F.count(F.lit(1)).alias("n_rows"))
+    plan = tuning.expand_grid(size, tuning.HOLD_OUT_GRID)
+    return plan.select(*[F.col("params")[n].alias(n) for n in tuning.HOLD_OUT_GRID], "n_rows")

@@ -328,12 +328,15 @@ def augmented_dickey_fuller(spark, d):
 
 
 @query("m22_validation_report", check(
-    f"""select df.series_id, {r("n_rows * 100.0 / months", "completeness")}, missing, outliers, {r("statistic", "statistic")},
-    statistic <= critical_5pct as is_stationary, {r("ratio", "ratio")}, ratio > 1.5 as is_seasonal,
-    case when statistic <= critical_5pct then 'ARIMA(p,0,q)' else 'difference first (d=1 or d=2)' end
-    || case when ratio > 1.5 then '; SARIMA with s=12' else '' end as recommendation
-    from df join qu on qu.series_id = df.series_id join ra on ra.series_id = df.series_id
-    join ou on ou.series_id = df.series_id""", "sm", **_DF,
+    f"""select qu.series_id, {r("n_rows * 100.0 / months", "completeness")}, missing, outliers, {r("t", "statistic")},
+    cast(ad.lags as int) as used_lags, t <= {_AT_5PCT} as is_stationary, {r("ratio", "ratio")}, coalesce(ratio > 1.5, false) as is_seasonal,
+    case when t <= {_AT_5PCT} then 'ARIMA(p,0,q)' when t is not null then 'difference first (d=1 or d=2)' end
+    || case when ratio > 1.5 then '; SARIMA with s=12' else '' end as recommendation,
+    case when n_rows = missing then 'no values' when t is null then 'too short, constant or exactly predictable' end as reason
+    from qu left join ad on ad.series_id = qu.series_id left join ra on ra.series_id = qu.series_id
+    left join ou on ou.series_id = qu.series_id""", "sm", **_augmented_steps(12),
+    ad="""select f.series_id, f.lags, b / sqrt(sse / (n - f.lags - 2) / sxx) as t from fits f
+        join best on best.series_id = f.series_id and best.lags = f.lags""",
     qu="""select series_id, count(*) as n_rows, count(*) - count(value) as missing, (max(year) - min(year) + 1) * 12 as months,
         quantile_cont(value, 0.25) as q1, quantile_cont(value, 0.75) as q3 from sm group by 1""",
     ou="""select sm.series_id, count(*) filter (value < q1 - 1.5 * (q3 - q1) or value > q3 + 1.5 * (q3 - q1)) as outliers
@@ -341,7 +344,7 @@ def augmented_dickey_fuller(spark, d):
     ra="""select series_id, max(m) / min(m) as ratio from (select series_id, month, avg(value) as m from sm group by 1, 2)
         group by 1"""))
 def validation_report(spark, d):
-    out = stationarity.validation_report(P.supplier_monthly(spark, d))
+    out = stationarity.validation_report(P.supplier_monthly(spark, d)).drop("p_value")
     return settle(out.withColumn("completeness", F.col("completeness").cast("double")))
 
 
@@ -539,13 +542,8 @@ def feature_selection(spark, d):
 def hold_out_grid(spark, d):
     rows, features = _split_frame(spark, d, "sequence")
 
-    def make(p):
-        return training.gradient_boosting(
-            trees=int(p["n_estimators"]), rate=p["learning_rate"], depth=int(p["max_depth"]), subsample=p["subsample"]
-        )
-
-    grid = {"n_estimators": [5], "learning_rate": [0.05, 0.1], "max_depth": [3, 4], "subsample": [0.8]}
-    found = tuning.top_results(tuning.hold_out_search(rows, features, make, grid))
+    grid = {"trees": [5], "rate": [0.05, 0.1], "depth": [3, 4], "leaf": [3, 10], "subsample": [0.8]}
+    found = tuning.top_results(tuning.hold_out_search(rows, features, tuning.boosting, grid))
     return settle(found.withColumn("params", F.to_json("params")))
 
 

@@ -1,19 +1,24 @@
 """Histograms, exact quantiles, outliers and box-plot figures over row-level data.
 
 These take raw rows, where one series may hold a large share of everything, so no step
-gathers a series into one task.
+gathers a series into one task. Values that are not finite count as missing. Joins with the few
+figures of each series are left to AQE, which broadcasts what is small and splits what is skewed.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from almanac.operators.relate import BROADCAST_ROW_LIMIT, broadcast_if_small
-from almanac.sources.sinks import stored
+from almanac.operators.relate import join_series
+
+# Slots of a counting round: what a window over a series' slots may hold.
+SLOTS = 4096
+
+
+def finite(c: Column) -> Column:
+    """Whether a value is a number: not NULL, not NaN, not infinite."""
+    return F.coalesce(F.abs(c) < F.lit(float("inf")), F.lit(False))
 
 
 def histogram(df: DataFrame, bins: int, value: str = "value") -> DataFrame:
@@ -21,7 +26,7 @@ def histogram(df: DataFrame, bins: int, value: str = "value") -> DataFrame:
 
     The last bin is closed on the right. A constant series gets a range of one around it.
     """
-    known = df.filter(F.col(value).isNotNull())
+    known = df.filter(finite(F.col(value)))
     lo, hi = F.col("lo"), F.col("hi")
     bounds = (
         known.groupBy("series_id")
@@ -35,12 +40,14 @@ def histogram(df: DataFrame, bins: int, value: str = "value") -> DataFrame:
     width = (hi - lo) / bins
     position = F.least(F.lit(bins - 1), F.floor((F.col(value) - lo) / width)).cast("int")
     counted = (
-        known.join(broadcast_if_small(bounds), "series_id")
+        join_series(known, bounds)
         .groupBy("series_id", position.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
     slots = bounds.select("*", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return slots.join(counted, ["series_id", "bin"], "left").select(
+    filled = counted.withColumnsRenamed({"series_id": "s", "bin": "b"})
+    same = F.col("series_id").eqNullSafe(F.col("s")) & (F.col("bin") == F.col("b"))
+    return slots.join(filled, same, "left").select(
         "series_id",
         "bin",
         (lo + F.col("bin") * width).alias("left_edge"),
@@ -50,85 +57,65 @@ def histogram(df: DataFrame, bins: int, value: str = "value") -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, probs: list[float], value: str = "value", accuracy: int = 100_000, whole_below: int = 200_000
+    df: DataFrame, probs: list[float], value: str = "value", weight: str | None = None, slots: int = SLOTS, rounds: int = 2
 ) -> DataFrame:
-    """Interpolated quantiles per series, exact, without gathering a large series in one task.
+    """Interpolated quantiles per series, exact, without gathering a series in one task.
 
-    A mergeable sketch per series narrows each quantile to a band of a few ``accuracy``-ths
-    of its rows. A second pass counts the rows below each band and keeps the values inside;
-    all other rows fold into one counter per task before the shuffle. Only the bands are
-    sorted. A series with fewer than ``whole_below`` rows, where the band would be narrower
-    than a few ranks, is its own band.
+    Equal values fold into counters before the shuffle. Every quantile lies between two ranks.
+    A round counts the values of a series in ``slots`` equal-width slots, and each rank moves on to
+    the slot that holds it, whose least and greatest values bound the next round. After the
+    rounds, the distinct values in a rank's last slot are put in order. No step depends on
+    measured sizes, and no window holds more than a series' slots or the values of one slot.
 
-    The bands are written out, so that a recomputed task sees the same ones. They steer the
-    work alone: should one miss its quantile, the job fails rather than answer wrongly.
+    ``weight`` names a column that says how often a row counts. The result has the count ``n`` and
+    an array ``quantiles``; a series without values has no row.
     """
-    margin = 3.0 / accuracy
-    known = df.filter(F.col(value).isNotNull()).select("series_id", F.col(value).alias("v"))
-    shares = [max(p - margin, 0.0) for p in probs] + [min(p + margin, 1.0) for p in probs]
-    sketch = known.groupBy("series_id").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("v").alias("least"),
-        F.max("v").alias("most"),
-        F.percentile_approx("v", shares, accuracy).alias("at"),
-    )
-    small = F.col("rows") < whole_below
-    k = range(len(probs))
-    bands = stored(
-        sketch.select(
-            "series_id",
-            *[F.when(small | F.lit(probs[i] <= margin), F.col("least")).otherwise(F.col("at")[i]).alias(f"from{i}") for i in k],
-            *[
-                F.when(small | F.lit(probs[i] >= 1 - margin), F.col("most"))
-                .otherwise(F.col("at")[len(probs) + i])
-                .alias(f"to{i}")
-                for i in k
-            ],
-        ),
-        "bands",
-    )
-    inside = [F.col("v").between(F.col(f"from{i}"), F.col(f"to{i}")) for i in k]
-    kept = known.join(broadcast_if_small(bands, BROADCAST_ROW_LIMIT // len(probs)), "series_id").groupBy(
-        "series_id", F.when(reduce(or_, inside), F.col("v")).alias("v")
-    ).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.max(inside[i]).alias(f"in{i}") for i in k],
-        *[F.count_if(F.col("v") < F.col(f"from{i}")).alias(f"below{i}") for i in k],
-    )
-    whole = Window.partitionBy("series_id")
-    upward = whole.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    # Rows of the series up to and including this value, as seen from band i.
-    counted = kept.select(
-        "series_id", "v", "n", F.sum("n").over(whole).alias("total"), *[f"in{i}" for i in k],
-        *[
-            (F.sum(F.when(F.col(f"in{i}"), F.col("n")).otherwise(0)).over(upward) + F.sum(f"below{i}").over(whole)).alias(f"through{i}")
-            for i in k
-        ],
-    )
-    position = [(F.col("total") - 1) * F.lit(p) for p in probs]
-
-    def at(i: int, rank: Column) -> Column:
-        through = F.col(f"through{i}")
-        return F.max(F.when(F.col(f"in{i}") & (rank < through) & (rank >= through - F.col("n")), F.col("v")))
-
-    found = counted.groupBy("series_id").agg(
-        F.max("total").alias("total"),
-        *[at(i, F.floor(position[i])).alias(f"lower{i}") for i in k],
-        *[at(i, F.ceil(position[i])).alias(f"upper{i}") for i in k],
+    times = F.lit(1) if weight is None else F.col(weight)
+    # Inside a struct, rows without a series join each other.
+    known = df.filter(finite(F.col(value)))
+    weights = known.groupBy(F.struct("series_id").alias("series_id"), F.col(value).cast("double").alias("v")).agg(F.sum(times).alias("c"))
+    span = weights.groupBy("series_id").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    position = [(F.col("n") - 1) * F.lit(p) for p in probs]
+    ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in position for f in (F.floor, F.ceil)]))
+    # Where each rank is looked for, and how many values stand before that range.
+    sought = span.select("series_id", F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"))
+    for _ in range(rounds):
+        # The ranks of a range are sought together; all have one in the first round.
+        ranges = sought.groupBy("series_id", "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))
+        inside = weights.join(ranges, "series_id").where(F.col("v").between(F.col("lo"), F.col("hi")))
+        share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
+        slot = F.least(F.lit(slots - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slots))
+        counted = inside.groupBy("series_id", F.col("lo").alias("from"), slot.alias("slot")).agg(
+            F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+            F.first("before").alias("before"), F.first("ranks").alias("ranks"),
+        )
+        upward = Window.partitionBy("series_id", "from").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.withColumn("through", F.col("before") + F.sum("c").over(upward))
+        sought = placed.select(
+            "series_id", "lo", "hi", (F.col("through") - F.col("c")).alias("before"), "through", F.explode("ranks").alias("rank")
+        ).where((F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("before")))
+    ranges = sought.groupBy("series_id", "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))
+    inside = weights.join(ranges, "series_id").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    upward = Window.partitionBy("series_id", "lo").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    through = F.col("before") + F.sum("c").over(upward)
+    found = (
+        inside.withColumn("through", through)
+        .select("series_id", "v", "c", "through", F.explode("ranks").alias("rank"))
+        .where((F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("through") - F.col("c")))
+        .groupBy("series_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
     )
 
-    def quantile(i: int) -> Column:
-        lower, upper = F.col(f"lower{i}"), F.col(f"upper{i}")
-        missed = F.raise_error(F.lit("a band missed its quantile; widen the margin")).cast("double")
-        share = position[i] - F.floor(position[i])
-        return F.when(lower.isNull() | upper.isNull(), missed).otherwise(lower + (upper - lower) * share)
+    def quantile(x: Column) -> Column:
+        lower, upper = (F.col("at")[f(x).cast("long")] for f in (F.floor, F.ceil))
+        return lower + (upper - lower) * (x - F.floor(x))
 
-    return found.select("series_id", F.col("total").alias("n"), F.array(*[quantile(i) for i in k]).alias("quantiles"))
+    return found.join(span.select("series_id", "n"), "series_id").select("series_id.series_id", "n", F.array(*[quantile(x) for x in position]).alias("quantiles"))
 
 
-def iqr_fences(df: DataFrame, value: str = "value") -> DataFrame:
+def iqr_fences(df: DataFrame, value: str = "value", weight: str | None = None) -> DataFrame:
     """Quartiles per series and the bounds 1.5 interquartile ranges beyond them."""
-    q = exact_quantiles(df, [0.25, 0.5, 0.75], value)
+    q = exact_quantiles(df, [0.25, 0.5, 0.75], value, weight)
     q1, q2, q3 = (F.col("quantiles")[i] for i in range(3))
     iqr = q3 - q1
     return q.select(
@@ -143,10 +130,9 @@ def iqr_fences(df: DataFrame, value: str = "value") -> DataFrame:
 
 def iqr_outliers(df: DataFrame, value: str = "value") -> DataFrame:
     """Rows outside 1.5 interquartile ranges of their series' quartiles."""
-    fences = broadcast_if_small(iqr_fences(df, value).select("series_id", "low_fence", "high_fence"))
-    return df.join(fences, "series_id").filter(
-        (F.col(value) < F.col("low_fence")) | (F.col(value) > F.col("high_fence"))
-    )
+    fences = iqr_fences(df, value).select("series_id", "low_fence", "high_fence")
+    outside = (F.col(value) < F.col("low_fence")) | (F.col(value) > F.col("high_fence"))
+    return df.filter(finite(F.col(value))).transform(join_series, fences).filter(outside).drop("low_fence", "high_fence")
 
 
 def box_plot(df: DataFrame, value: str = "value") -> DataFrame:
@@ -155,8 +141,8 @@ def box_plot(df: DataFrame, value: str = "value") -> DataFrame:
     v = F.col(value)
     inside = v.between(F.col("low_fence"), F.col("high_fence"))
     return (
-        df.filter(v.isNotNull())
-        .join(broadcast_if_small(fences), "series_id")
+        df.filter(finite(v))
+        .transform(join_series, fences)
         .groupBy("series_id")
         .agg(
             F.first("q1").alias("q1"),

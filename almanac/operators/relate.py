@@ -1,8 +1,7 @@
 """Joins between observations, covariates and lookups.
 
-Sides are never hinted blindly: which side is small depends on the number of series, so
-AQE decides from measured sizes, and ``broadcast_if_small`` measures where a row-level
-table would otherwise be shuffled on a hot key.
+Sides are never hinted: which side is small depends on the number of series, so AQE decides
+from measured sizes.
 """
 
 from __future__ import annotations
@@ -14,21 +13,11 @@ from almanac.functions.calendar import date_parts
 from almanac.functions.scoring import accuracy_percent, accuracy_with_fallback
 from almanac.sources.tables import covariate_columns
 
-# Most rows a side of a few columns may have to be copied to every executor: some megabytes.
-BROADCAST_ROW_LIMIT = 100_000
 
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Mark ``df`` for broadcast after counting that it is small, else return it as it is.
-
-    Beyond the limit the join shuffles, and AQE splits the partitions of a hot key.
-    The count reads no more than ``max_rows + 1`` rows of the persisted result.
-    """
-    kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    kept.unpersist()
-    return df
+def join_series(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """Join on the series, rows without one meeting each other."""
+    own = right.withColumnRenamed("series_id", "right_series")
+    return left.join(own, left["series_id"].eqNullSafe(own["right_series"]), how).drop("right_series")
 
 
 def daily_with_covariates(daily: DataFrame, covariates: DataFrame | None = None) -> DataFrame:

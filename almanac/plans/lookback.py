@@ -6,6 +6,9 @@ asked. The history features of those periods are computed once and joined back.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,13 @@ DAILY_OFFSETS = [1, 7, 30]
 TAIL_ROWS = 7
 
 
+def rejoined(requests: DataFrame, features: DataFrame, keys: list[str]) -> DataFrame:
+    """Requests with the features of their cell; each stays once, also if a part of its key is NULL."""
+    cells = features.withColumnsRenamed({k: f"cell_{k}" for k in keys})
+    same = reduce(and_, [requests[k].eqNullSafe(cells[f"cell_{k}"]) for k in keys])
+    return requests.join(cells, same, "left").drop(*[f"cell_{k}" for k in keys])
+
+
 def _shifted_month(month: Column, back: int) -> Column:
     """Month of year ``back`` months earlier, 1..12."""
     return F.pmod(month - 1 - back, F.lit(12)) + 1
@@ -79,7 +89,7 @@ def monthly_lookback(requests: DataFrame, monthly: DataFrame) -> DataFrame:
         ma_3.alias("value_ma_3"),
         default.alias("value_ma_12"),
     )
-    return requests.join(features, ["series_id", "year", "month"])
+    return rejoined(requests, features, ["series_id", "year", "month"])
 
 
 def _day_normals(daily: DataFrame, columns: list[str]) -> DataFrame:
@@ -166,4 +176,4 @@ def daily_lookback(requests: DataFrame, daily: DataFrame) -> DataFrame:
         out.append(F.coalesce("temperature_prev", normal("temperature")).alias("temperature_lag_1"))
         out.append(normal("temperature").alias("temperature_ma_7"))
     out += [normal(c).alias(f"{c}_lag_1") for c in covariates if c != "temperature"]
-    return requests.join(known.select("series_id", "date", *out), ["series_id", "date"])
+    return rejoined(requests, known.select("series_id", "date", *out), ["series_id", "date"])

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.operators.quality import quality_report
+from almanac.operators.relate import join_series
 from almanac.operators.summary import seasonal_ratio
 from almanac.operators.windows import MONTHLY_ORDER, series_window
 
@@ -135,15 +136,21 @@ def augmented_dickey_fuller(monthly: DataFrame) -> DataFrame:
 def validation_report(monthly: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Quality, stationarity and seasonality of each series, and the model these suggest.
 
-    ``rows`` are the monthly rows as delivered, when they differ from ``monthly``.
+    Stationarity is the augmented test's. Every series has a row; where nothing could be tested,
+    ``reason`` says why and the figures are NULL. ``monthly`` has one row per series and month, as
+    the roll-ups make it; a second one is an error. ``rows`` are the monthly rows as delivered,
+    when they differ from ``monthly``.
     """
-    quality = quality_report(monthly if rows is None else rows).select(
-        "series_id", "completeness", "missing", "outliers"
+    single = monthly.groupBy("series_id", "year", "month").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n"))
+    twice = F.raise_error(F.lit("a series has several rows for one month")).cast("double")
+    panel = single.select("series_id", "year", "month", F.when(F.col("n") > 1, twice).otherwise(F.col("value")).alias("value"))
+    quality = quality_report(panel if rows is None else rows, panel=rows is None).select(
+        "series_id", "completeness", "missing", "outliers", (F.col("total_records") - F.col("missing")).alias("known")
     )
-    stationary = dickey_fuller(monthly).select("series_id", "statistic", "is_stationary")
-    seasonal = seasonal_ratio(monthly).select("series_id", "ratio", "is_seasonal")
+    stationary = augmented_dickey_fuller(panel).select("series_id", "statistic", "p_value", "used_lags", "is_stationary")
+    seasonal = seasonal_ratio(panel).select("series_id", "ratio", "is_seasonal")
+    report = join_series(join_series(quality, stationary, "left"), seasonal, "left")
+    reason = F.when(F.col("known") == 0, "no values").when(F.col("statistic").isNull(), "too short, constant or exactly predictable")
     base = F.when(F.col("is_stationary"), "ARIMA(p,0,q)").otherwise("difference first (d=1 or d=2)")
     advice = F.when(F.col("is_seasonal"), F.concat(base, F.lit("; SARIMA with s=12"))).otherwise(base)
-    return (
-        quality.join(stationary, "series_id").join(seasonal, "series_id").withColumn("recommendation", advice)
-    )
+    return report.withColumn("recommendation", F.when(reason.isNull(), advice)).withColumn("reason", reason).drop("known")

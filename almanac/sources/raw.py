@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 # Timestamp layout of a raw daily observation.
 RAW_TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
 
-# What counts as a number. The cast alone would also accept a trailing type letter ("1.5d").
-NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?|inf(inity)?)\s*$"
+# What counts as a number. The cast alone would also accept a trailing type letter ("1.5d"),
+# infinities and NaN, which no statistic here has a use for.
+NUMBER_PATTERN = r"(?i)^\s*[+-]?(\d+\.?\d*(e[+-]?\d+)?|\.\d+(e[+-]?\d+)?)\s*$"
 
 # Payload field -> covariate name, fixed by the archive's response format.
 PAYLOAD_FIELDS = {

@@ -177,6 +177,16 @@ def test_quality_report(spark):
     assert row.status == "excellent"
 
 
+def test_quality_report_keeps_every_series(spark):
+    rows = [(None, 2000, 1, 5.0), ("nulls", 2000, 1, None), ("one", 2000, 1, 2.0), ("odd", 2000, 1, float("inf")), ("odd", 2000, 2, 1.0)]
+    df = spark.createDataFrame(rows, "series_id string, year int, month int, value double")
+    for panel in (False, True):
+        out = {r.series_id: r for r in quality.quality_report(df, panel).collect()}
+        assert set(out) == {None, "nulls", "one", "odd"}
+        assert (out[None].median, out["nulls"].median, out["odd"].median) == (5.0, None, 1.0)
+        assert (out["odd"].missing, out["nulls"].missing, out["one"].std) == (1, 1, None)
+
+
 def test_completeness_of_a_gappy_series(monthly):
     values = {(2000 + i // 12, i % 12 + 1): 1 for i in range(24) if i not in (5, 6)}
     row = quality.quality_report(monthly({"a": values})).first()
@@ -210,16 +220,37 @@ def hot_rows(spark, seed=0):
     return data, spark.createDataFrame(rows, "series_id string, value double").repartition(8)
 
 
-@pytest.mark.parametrize("accuracy,whole", [(100_000, 200_000), (100, 1000), (20, 200)])
-def test_exact_quantiles_of_a_hot_series(spark, accuracy, whole):
+@pytest.mark.parametrize("slots,rounds", [(4096, 2), (4, 2), (3, 1)])
+def test_exact_quantiles_of_a_hot_series(spark, slots, rounds):
     data, df = hot_rows(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    out = by(distribution.exact_quantiles(df, probs, accuracy=accuracy, whole_below=whole), "series_id")
+    out = by(distribution.exact_quantiles(df, probs, slots=slots, rounds=rounds), "series_id")
     for k, values in data.items():
         assert out[(k,)].n == len(values)
         assert out[(k,)].quantiles == pytest.approx(list(np.quantile(values, probs)))
 
 
+def test_exact_quantiles_of_a_million_rows_in_one_series(spark):
+    df = spark.range(1_000_000).selectExpr(
+        "if(id % 10 = 0, concat('s', id % 70), 'hot') as series_id",
+        "if(id % 3 = 0, 1e12 * cast(pmod(hash(id), 1000) = 0 as int), round(pmod(hash(id, 1), 900000) / 7, 3)) as value",
+    )
+    wanted = by(df.groupBy("series_id").agg(F.percentile("value", [0.25, 0.5, 0.9995]).alias("q")), "series_id")
+    out = by(distribution.exact_quantiles(df, [0.25, 0.5, 0.9995]), "series_id")
+    assert set(out) == set(wanted)
+    assert all(out[k].quantiles == pytest.approx(wanted[k].q) for k in wanted)
+
+
+def test_weighted_quantiles_and_values_that_are_not_finite(spark):
+    rows = [("a", 1.0, 3), ("a", 2.0, 1), ("a", float("nan"), 5), ("a", float("inf"), 2), ("a", None, 4), ("b", float("nan"), 1)]
+    df = spark.createDataFrame(rows, "series_id string, value double, times int")
+    out = distribution.exact_quantiles(df, [0.5, 1.0], weight="times").collect()
+    assert [(r.series_id, r.n, r.quantiles) for r in out] == [("a", 4, [1.0, 2.0])]
+    bins = distribution.histogram(df, 2).orderBy("bin").collect()
+    assert [(r.series_id, r.n, r.left_edge) for r in bins] == [("a", 1, 1.0), ("a", 1, 1.5)]
+    assert distribution.iqr_outliers(df).count() == 0 and distribution.box_plot(df).count() == 1
+
+
 def test_outliers_and_box_plot(spark):
     data, df = hot_rows(spark, 1)
     box = by(distribution.box_plot(df), "series_id")
@@ -304,13 +335,6 @@ def test_first_per_key_with_a_hot_user(spark):
     assert hot == expected
 
 
-def test_broadcast_only_when_small(spark):
-    small, large = spark.range(3), spark.range(50)
-    joined = spark.range(10).join(relate.broadcast_if_small(small, 10), "id")
-    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
-    assert relate.broadcast_if_small(large, 10) is large
-
-
 def test_fallback_merge(spark):
     schema = "model_key string, mae double, rmse double, r2_score double, accuracy_percent double"
     registry = spark.createDataFrame([("a", "A"), ("b", "B"), ("c", "C"), ("e", "E")], "model_key string, name string")

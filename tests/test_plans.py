@@ -109,6 +109,17 @@ def test_requests_are_not_dropped_or_doubled(spark, monthly):
     assert lookback.monthly_lookback(many, monthly({"a": range(24)})).count() == 52
 
 
+def test_requests_with_missing_keys_stay(spark, monthly, daily):
+    rows = [(1, "a", 2001, 3), (2, None, 2001, 3), (3, "a", None, 3), (4, "unknown", 2001, 3), (5, None, None, None), (5, None, None, None)]
+    asked = spark.createDataFrame(rows, "request_id long, series_id string, year int, month int")
+    out = lookback.monthly_lookback(asked, monthly({"a": range(24)}))
+    assert sorted(r.request_id for r in out.collect()) == [1, 2, 3, 4, 5, 5]
+    assert out.columns[:4] == asked.columns
+    days = [(1, "a", dt.date(2020, 1, 9)), (2, None, dt.date(2020, 1, 9)), (3, "a", None), (4, None, None)]
+    asked = spark.createDataFrame(days, "request_id long, series_id string, date date")
+    assert sorted(r.request_id for r in lookback.daily_lookback(asked, daily({"a": list(range(20))})).collect()) == [1, 2, 3, 4]
+
+
 def test_daily_lookback(spark, daily):
     history = daily({"a": list(range(40))}).withColumn("temperature", F.col("value") + 100).withColumn("humidity", F.lit(50.0)).withColumn("wind_speed", F.lit(2.0))
     days = [dt.date(2020, 2, 10), dt.date(2020, 1, 2), dt.date(2020, 1, 5), dt.date(2021, 1, 5), dt.date(2021, 7, 1)]
@@ -269,11 +280,29 @@ def test_p_value_agrees_with_the_critical_values():
 
 
 def test_validation_report(monthly):
-    seasonal = [10 + 9 * math.sin(i * 2 * math.pi / 12) + (i * 7 % 5) for i in range(72)]
+    noise = np.random.default_rng(5).normal(size=72)
+    seasonal = [12 + 9 * math.sin(i * 2 * math.pi / 12) + noise[i] for i in range(72)]
     row = stationarity.validation_report(monthly({"a": seasonal})).first()
     assert row.is_seasonal and row.completeness == 100 and row.recommendation.endswith("SARIMA with s=12")
 
 
+def test_validation_report_keeps_every_series(spark, monthly):
+    noise = np.random.default_rng(3).normal(size=60) + 10
+    df = monthly({"a": noise, "one": [3], "flat": [2] * 30, "nulls": [None] * 14, "two": [1, 2]})
+    df = df.unionByName(spark.createDataFrame([(None, 2000, 1, 1.0)], df.schema))
+    out = {r.series_id: r for r in stationarity.validation_report(df).collect()}
+    assert set(out) == {"a", "one", "flat", "nulls", "two", None}
+    assert out["a"].reason is None and out["a"].p_value < 0.05 and out["a"].is_stationary
+    assert out["nulls"].reason == "no values" and out["nulls"].recommendation is None
+    assert {out[k].reason for k in ("one", "flat", "two", None)} == {"too short, constant or exactly predictable"}
+
+
+def test_validation_report_refuses_several_rows_for_a_month(monthly):
+    df = monthly({"a": list(range(30))})
+    with pytest.raises(Exception, match="several rows for one month"):
+        stationarity.validation_report(df.unionByName(df.limit(1))).collect()
+
+
 # --- Trained models ---------------------------------------------------------------------
 
 
@@ -359,7 +388,12 @@ def test_selection_and_importance_find_the_signal(spark, frame):
 
 def test_grids(spark):
     assert len(tuning.combinations(tuning.HOLD_OUT_GRID)) == 1280
-    assert len(tuning.combinations(tuning.CROSS_VALIDATED_GRID)) == 64
+    # Every axis is an argument of the estimator and reaches it.
+    made = tuning.boosting({k: v[-1] for k, v in tuning.HOLD_OUT_GRID.items()})
+    held = [made.getMaxIter(), made.getStepSize(), made.getMaxDepth(), made.getMinInstancesPerNode(), made.getSubsamplingRate()]
+    assert held == [v[-1] for v in tuning.HOLD_OUT_GRID.values()]
+    with pytest.raises(TypeError):
+        tuning.boosting({"unknown": 1})
     out = tuning.expand_grid(spark.range(2), {"a": [1, 2], "b": [0.5]}).collect()
     assert len(out) == 4 and out[0].params == {"a": 1.0, "b": 0.5}
 
