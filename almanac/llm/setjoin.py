@@ -5,8 +5,9 @@ are one node from the start. The join works in these steps, none of which drops
 
 1. Sets are ordered by hash. Two linked sets share at least ``slack`` of the first tokens of both.
    Tokens are counted over all sets; a set with too few shared tokens among its first has no link.
-2. For the remaining sets, the first tokens are put in order of their frequency, and an index lists
-   the sets of each of the rarest. Linked sets meet in at least one list.
+   Of those left, the same count over whole sets leaves the ones that can have a link at all.
+2. The tokens of the remaining sets are put in order of their frequency, and an index lists the
+   sets of each of the rarest. Linked sets meet in at least one list.
 3. Every set is compared with the least set of each of its lists. That gives links, and families:
    sets that are similar, linked or not.
 4. The lists are cut into blocks, one for each family, with bounds of size and of position. A set
@@ -26,7 +27,7 @@ disregards nulls. Other columns stay behind.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -74,7 +75,8 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def slack(n: int) -> int:
-    """How many shared tokens the beginnings of two linked sets are extended to hold."""
+    """How many shared tokens the beginnings of two linked sets are extended to hold. More of them
+    rule out more sets that only share a passage, and take more tokens to the first step."""
     return max(1, n // 8)
 
 
@@ -88,13 +90,16 @@ def slack_sql(n: str, percent: int) -> Column:
     return F.expr(f"greatest(1L, (({percent} * {n} + 99) div 100) div 8)")
 
 
-def _spread(docs: DataFrame, key: str, text: str, percent: int, buckets: int) -> DataFrame:
-    """Rows of documents (bucket below 0: key, n, node) and of tokens by bucket (tokens, nodes), the
-    latter of the sets' beginnings. A token that several sets of a task share is handed on
-    once, without a node, and counted on the spot (rows with a node and a count)."""
-    frame = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    kind = frame.schema["key"].dataType.simpleString()
-    ddl = f"bucket int, key {kind}, n long, node long, shared long, tokens binary, nodes binary"
+def least_sql(n: str, percent: int) -> Column:
+    return F.expr(f"({percent} * {n} + 99) div 100")
+
+
+def _spread(frame: DataFrame, key_kind: str, read: Callable, buckets: int) -> DataFrame:
+    """Rows of documents (bucket below 0: key, n, node) and of tokens by bucket (tokens, nodes).
+    ``read`` takes a batch and gives pieces of it: keys, set sizes, nodes, and each node's tokens.
+    A token that several sets of a task share is handed on once, without a node, and counted on
+    the spot (rows with a node and a count)."""
+    ddl = f"bucket int, key {key_kind}, n long, node long, shared long, tokens binary, nodes binary"
     schema = T.arrow_schema(ddl)
 
     def rows(**columns) -> pa.RecordBatch:
@@ -133,13 +138,11 @@ def _spread(docs: DataFrame, key: str, text: str, percent: int, buckets: int) ->
         held: list[tuple[np.ndarray, np.ndarray]] = []
         total = 0
         for batch in batches:
-            for piece in T.pieces(batch):
-                sets = shingle_sets(piece.column(1))
-                nodes = np.array([node_of(x) if len(x) else 0 for x in sets], np.int64)
-                yield rows(bucket=-1 - (nodes % buckets), key=piece.column(0), n=[len(x) for x in sets], node=nodes)
-                for x, node in zip(sets, nodes.tolist(), strict=True):
+            for keys, sizes, nodes, tokens in read(batch):
+                if keys is not None:
+                    yield rows(bucket=-1 - (nodes % buckets), key=keys, n=sizes, node=nodes)
+                for x, node in zip(tokens, nodes.tolist(), strict=True):
                     if len(x):
-                        x = x[: beginning(len(x), percent)]
                         held.append((x, np.full(len(x), node)))
                         total += len(x)
                 if total > FLUSH_TOKENS:
@@ -151,12 +154,12 @@ def _spread(docs: DataFrame, key: str, text: str, percent: int, buckets: int) ->
     return frame.mapInArrow(run, ddl)
 
 
-def _seen(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """Documents (key, n, node) and counts (node, shared): how many tokens of a set's beginning other
-    sets' beginnings also hold. A count may be too high where hashes cut to fewer bits meet."""
-    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = _spread(docs, key, text, percent, buckets)
-    ddl = f"key {spread.schema['key'].dataType.simpleString()}, n long, node long, shared long"
+def _counted(frame: DataFrame, key_kind: str, read: Callable) -> DataFrame:
+    """Documents (key, n, node) and counts (node, shared): how many tokens of a set other sets also
+    hold. A count may be too high where hashes cut to fewer bits meet."""
+    buckets = 4 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = _spread(frame, key_kind, read, buckets)
+    ddl = f"key {key_kind}, n long, node long, shared long"
     schema = T.arrow_schema(ddl)
 
     def count(table: pa.Table) -> pa.Table:
@@ -175,7 +178,33 @@ def _seen(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
         n = len(who)
         return pa.table({"key": pa.nulls(n, schema.field("key").type), "n": pa.nulls(n, pa.int64()), "node": who, "shared": times.astype(np.int64)}, schema=schema)
 
-    return stored(spread.groupBy("bucket").applyInArrow(count, ddl), "seen")
+    return spread.groupBy("bucket").applyInArrow(count, ddl)
+
+
+def _seen(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
+    """All documents, and the counts of the beginnings of their sets."""
+    frame = docs.select(docs[key].alias("key"), docs[text].alias("text"))
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for piece in T.pieces(batch):
+            sets = shingle_sets(piece.column(1))
+            nodes = np.array([node_of(x) if len(x) else 0 for x in sets], np.int64)
+            yield piece.column(0), [len(x) for x in sets], nodes, [x[: beginning(len(x), percent)] for x in sets]
+
+    return stored(_counted(frame, frame.schema["key"].dataType.simpleString(), read), "seen")
+
+
+def _supported(sets: DataFrame, percent: int) -> DataFrame:
+    """The sets of which enough tokens occur in other sets, too, for a link."""
+
+    def read(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for at in range(0, batch.num_rows, 1000):
+            part = batch.slice(at, 1000)
+            yield None, None, part.column(0).to_numpy(), [np.frombuffer(x.as_buffer(), np.uint64) for x in part.column(1)]
+
+    counts = _counted(sets.select("node", "tokens"), "long", read).groupBy("node").agg(F.sum("shared").alias("shared"))
+    enough = counts.join(sets.select("node", "n"), "node").where(100 * F.col("shared") >= percent * F.col("n")).select("node")
+    return stored(sets.join(enough, "node"), "sets")
 
 
 def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
@@ -198,27 +227,22 @@ def _sets(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
 
 
 def _index(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, node, n, rest): the lists of the rarest tokens; ``rest`` counts the tokens of the set's
-    beginning from this one on, in order of frequency."""
+    """(token, node, n, rest): the lists of the rarest tokens; ``rest`` counts the set's tokens from
+    this one on, in order of frequency."""
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 node, n = part.column(0).to_numpy(), part.column(1).to_numpy()
-                heads = [np.frombuffer(x.as_buffer(), np.int64)[: beginning(k, percent)] for x, k in zip(part.column(2), n.tolist(), strict=True)]
-                sizes = [len(x) for x in heads]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(heads) if heads else np.zeros(0, np.int64)), pa.array(np.repeat(node, sizes)), pa.array(np.repeat(n, sizes))],
-                    names=["token", "node", "n"],
-                )
+                tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in part.column(2)])
+                yield pa.RecordBatch.from_arrays([pa.array(tokens), pa.array(np.repeat(node, n)), pa.array(np.repeat(n, n))], names=["token", "node", "n"])
 
-    heads = sets.select("node", "n", "tokens").mapInArrow(explode, "token long, node long, n long")
-    often = heads.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = heads.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    whole = sets.select("node", "n", "tokens").mapInArrow(explode, "token long, node long, n long")
+    often = whole.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = whole.join(often, "token").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("shared"))
     # The tokens that no other set has come first; what is left of the prefix lies in ``shared``.
-    need = slack_sql("n", percent)
-    kept = F.size("shared") - need + 1
+    kept = F.size("shared") - least_sql("n", percent) + 1
     return stored(
         shared.where(kept > 0)
         .select("node", "n", F.size("shared").alias("k"), F.posexplode(F.slice("shared", F.lit(1), kept.cast("int"))).alias("at", "entry"))
@@ -318,7 +342,7 @@ def link_classes(
     nodes = documents.where("n > 0").groupBy("node", "n").agg(F.min("key").alias("key"))
     counts = seen.where("n is null").groupBy("node").agg(F.sum("shared").alias("shared"))
     wanted = nodes.join(counts, "node").where(F.col("shared") >= slack_sql("n", percent)).select("key", "node")
-    sets = _sets(docs, key, text, wanted)
+    sets = _supported(_sets(docs, key, text, wanted), percent)
     index = _index(sets, percent)
 
     leaders = index.groupBy("token").agg(F.min("node").alias("b"))
@@ -343,7 +367,7 @@ def link_classes(
         # The smaller family asks the larger one.
         .where(F.struct("x.family_size", "x.family") < F.struct(F.col("y.family_size").alias("family_size"), F.col("y.family").alias("family")))
         .where((100 * F.col("high") >= percent * F.col("x.n")) & (percent * F.col("low") <= 100 * F.col("x.n")))
-        .where(F.least("x.rest", "most_rest") >= slack_sql("x.n", percent))
+        .where(F.least("x.rest", "most_rest") >= least_sql("x.n", percent))
         .select("x.node", "x.class", "y.family")
         .distinct()
     )
