@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -37,7 +39,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
     The cluster names its shared folder in ``spark.checkpoint.dir``. Only a local
     session, where driver and executors are one machine, may fall back to a
-    temporary folder.
+    temporary folder, which goes when the program ends.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base is None:
@@ -48,6 +50,7 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         app_id = spark.sparkContext.applicationId
         if app_id not in _local_base:
             _local_base[app_id] = tempfile.mkdtemp(prefix="almanac-")
+            atexit.register(shutil.rmtree, _local_base[app_id], ignore_errors=True)
         base = _local_base[app_id]
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 

@@ -26,15 +26,27 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by: li
     out.save(path)
 
 
+# Removes the shuffle files of a query when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, purpose: str) -> DataFrame:
     """The frame as a table in the shared folder.
 
     For a panel that several branches of a job read: it is computed once, whatever columns
-    each branch needs, and a lost executor costs a re-read instead of a re-run.
+    each branch needs, and a lost executor costs a re-read instead of a re-run. The shuffle
+    files behind it go as soon as the table stands, so that a job of several steps holds
+    those of one step at a time.
     """
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.parquet(path)
 
 
 def upsert_metrics(stored: DataFrame, fresh: DataFrame, key: str | list[str] = "model_key") -> DataFrame:
