@@ -369,12 +369,12 @@ def find_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     whole = copies.select("doc", "digest", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
 
     order = F.concat(_sortable("doc", docs.schema[key].dataType.typeName()), F.lit(":"), F.col("digest"))
-    grams = _repeated_grams(marked.select(node.alias("node"), "text"))
+    grams = stored(_repeated_grams(marked.select(node.alias("node"), "text")), "grams")
     wanted = first.select(F.col("doc").alias("d"), F.col("digest").alias("g"), node.alias("node")).join(grams, "node")
     ready = marked.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g"))).select("node", order.alias("key"), "text", "grams")
     found = _findings(_surroundings(ready))
     named = found.join(first.select(node.alias("node"), "doc", "digest"), "node").select("doc", "digest", "start", "end")
-    spans = named.unionAll(whole).groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = stored(named.unionAll(whole).groupBy("doc", "digest").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
     spans = spans.select(F.col("doc").alias("d"), F.col("digest").alias("g"), "spans")
     joined = marked.join(spans, F.col("doc").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("g")), "left")
     return joined.select(F.col("doc").alias(key), "text", "spans")
