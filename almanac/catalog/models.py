@@ -18,10 +18,10 @@ from almanac.catalog.projections import backtest_steps
 from almanac.catalog.rolling import daily_body
 from almanac.catalog.stored import FORECAST_STEPS
 from almanac.functions import calendar as C
-from almanac.operators import distribution, metrics, relate, rollup, scaling, split, windows
+from almanac.operators import distribution, metrics, rollup, scaling, split, windows
 from almanac.plans import autoregression as A
 from almanac.plans import features as X
-from almanac.plans import forecasts, lookback, stationarity, training, tuning
+from almanac.plans import forecasts, scoring, stationarity, training, tuning
 from almanac.session import shared_dir
 from almanac.sources.sinks import stored
 
@@ -633,23 +633,6 @@ def feature_importance(spark, d):
     return settle(training.feature_importance(model, features, 10))
 
 
-def score_monthly(requests, monthly, trained):
-    """Each distinct cell is scored once, then joined back to the requests for it."""
-    cells = requests.select("series_id", "year", "month").distinct()
-    known = relate.covariate_lookup(lookback.monthly_lookback(cells, monthly), monthly)
-    scored = training.score(
-        trained, X.request_features(known, monthly.columns, trained.base_year), ["series_id", "year", "month"]
-    )
-    return requests.join(scored, ["series_id", "year", "month"])
-
-
-def score_daily(requests, daily, trained):
-    cells = requests.select("series_id", "date").distinct()
-    known = X.with_day_fields(lookback.daily_lookback(cells, daily), trained.base_year)
-    scored = training.score(trained, known, ["series_id", "date"])
-    return requests.join(scored, ["series_id", "date"])
-
-
 def _score_monthly_requests(spark, d, estimator, features=None):
     monthly = stored(P.combined_monthly(spark, d).drop("date"), "monthly")
     base_year = monthly.agg(F.min("year")).first()[0]
@@ -658,7 +641,7 @@ def _score_monthly_requests(spark, d, estimator, features=None):
         frame, features or X.feature_columns(frame), estimator, base_year, windows.MONTHLY_ORDER
     )
     requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "year", "month")
-    return settle(score_monthly(requests, monthly, trained))
+    return settle(scoring.score_monthly(requests, monthly, trained))
 
 
 def _score_daily_requests(spark, d, estimator, features):
@@ -666,7 +649,7 @@ def _score_daily_requests(spark, d, estimator, features):
     frame = X.daily_features(daily.drop("year", "month", "day"), X.SERVING_SPEC)
     trained, _ = training.train_and_evaluate(frame, features, estimator, C.BASE_YEAR, windows.DAILY_ORDER)
     requests = P.lookback_requests(spark, d).select("request_id", F.col("flag").alias("series_id"), "date")
-    return settle(score_daily(requests, daily, trained))
+    return settle(scoring.score_daily(requests, daily, trained))
 
 
 _MONTHLY_SCORED = ["value_lag_1", "value_lag_12", "value_ma_3", "month_sin", "month_cos", "trend", "temperature"]

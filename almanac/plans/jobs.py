@@ -104,6 +104,7 @@ def train_daily(spark: SparkSession, folder: str, models: dict[str, tuple[str, M
     for key, (variant, make) in (models or DAILY_MODELS).items():
         frame = _daily_frame(spark, folder, variant)
         trained, _ = training.train_and_evaluate(frame, X.feature_columns(frame), make(), BASE_YEAR, DAILY_ORDER)
+        trained.variant = variant
         training.save_bundle(trained, f"{folder}/models/{key}", spark)
         row = training.metrics_row(spark, key, trained.metrics)
         fresh = row if fresh is None else fresh.unionByName(row)

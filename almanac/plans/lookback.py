@@ -92,7 +92,7 @@ def monthly_lookback(requests: DataFrame, monthly: DataFrame) -> DataFrame:
     return rejoined(requests, features, ["series_id", "year", "month"])
 
 
-def _day_normals(daily: DataFrame, columns: list[str]) -> DataFrame:
+def day_normals(daily: DataFrame, columns: list[str]) -> DataFrame:
     """One row per series: per column, a map of day-of-year means and the mean of all rows."""
     by_day = daily.groupBy("series_id", F.dayofyear("date").alias("doy")).agg(
         *[F.sum(c).alias(f"{c}_sum") for c in columns], *[F.count(c).alias(f"{c}_n") for c in columns]
@@ -109,6 +109,11 @@ def _day_normals(daily: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def day_normal(column: str) -> Column:
+    """The normal of a row's day of year, else the mean of all rows, else 0 (after a join of ``day_normals``)."""
+    return F.coalesce(F.try_element_at(f"{column}_normals", F.dayofyear("date")), F.col(f"{column}_mean"), F.lit(0.0))
+
+
 def tail_mean(cells: DataFrame, daily: DataFrame, rows: int = TAIL_ROWS) -> DataFrame:
     """Mean and count of the last ``rows`` observations strictly before each cell (series_id, date).
 
@@ -163,13 +168,9 @@ def daily_lookback(requests: DataFrame, daily: DataFrame) -> DataFrame:
     known = (
         cells.join(ahead, ["series_id", "date"], "left")
         .join(tail_mean(cells, daily), ["series_id", "date"], "left")
-        .join(_day_normals(daily, columns), "series_id", "left")
+        .join(day_normals(daily, columns), "series_id", "left")
     )
-    doy = F.dayofyear("date")
-
-    def normal(c: str) -> Column:
-        return F.coalesce(F.try_element_at(f"{c}_normals", doy), F.col(f"{c}_mean"), F.lit(0.0))
-
+    normal = day_normal
     out = [F.coalesce(f"prev{k}", normal("value")).alias(f"value_lag_{k}") for k in DAILY_OFFSETS]
     out.append(F.when(F.col("tail_n") >= 2, F.col("tail_mean")).otherwise(normal("value")).alias("value_ma_7"))
     if with_temperature:

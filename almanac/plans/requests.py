@@ -13,7 +13,9 @@ DAILY_MODELS = [
     "daily_gradient_boosting",
     "daily_random_forest",
     "daily_xgboost",
+    "daily_xgboost_simple",
     "daily_xgb_tuned",
+    "daily_ensemble",
     "daily_stacking",
 ]
 

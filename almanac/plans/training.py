@@ -19,10 +19,13 @@ from almanac.operators.metrics import regression_metrics
 from almanac.operators.split import chronological_split, contiguous_folds
 from almanac.plans.features import align_features
 from almanac.session import ensure_checkpoint_dir
-from almanac.sources.sinks import overwrite_metrics, read_metrics, stored, upsert_metrics
+from almanac.sources.sinks import overwrite_metrics, read_metrics, upsert_metrics
 
 LABEL = "value"
 SEED = 42
+# Rows of one part of a training table.
+ROWS_PER_PART = 20_000
+TREES = (GBTRegressor, RandomForestRegressor)
 
 
 def gradient_boosting(
@@ -83,8 +86,11 @@ def assembled(features: list[str], scaled: bool = True) -> list:
     ]
 
 
-def fit(train: DataFrame, features: list[str], estimator: Estimator, scaled: bool = True) -> PipelineModel:
+def fit(train: DataFrame, features: list[str], estimator: Estimator, scaled: bool | None = None) -> PipelineModel:
+    """The fitted stages. Features are standardised unless the estimator is of trees, which only
+    compare values."""
     ensure_checkpoint_dir(train.sparkSession)
+    scaled = not isinstance(estimator, TREES) if scaled is None else scaled
     return Pipeline(stages=[*assembled(features, scaled), estimator]).fit(train)
 
 
@@ -103,15 +109,21 @@ class Trained:
     features: list[str]
     base_year: int
     metrics: dict[str, float | None]
+    # The variant of daily features, if it is one of ``DAILY_SPECS``.
+    variant: str | None = None
 
 
-def training_rows(df: DataFrame) -> DataFrame:
-    """The rows of a fit, stored in evenly sized parts and persisted.
+def training_rows(df: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFrame:
+    """The rows of a fit, in parts of about ``rows_per_part`` and persisted; the caller releases them.
 
-    Fitting passes over them again and again, so their partitions should follow from their
-    size and not from the shuffle setting; a lost part is read again, not recomputed.
+    Fitting passes over them again and again, and trees draw their samples part by part. So the
+    parts follow from the rows' keys and their number, and rows stand in the order of their
+    keys: a fit gives the same model whatever the shuffle setting, and a lost part is made again
+    as it was.
     """
-    return stored(df.hint("rebalance"), "rows").persist()
+    keys = [c for c in ("series_id", "date", "year", "month") if c in df.columns]
+    parts = max(1, -(-df.count() // rows_per_part))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys).persist()
 
 
 def evaluate(model: PipelineModel, split_frame: DataFrame) -> DataFrame:
@@ -145,21 +157,23 @@ def train_and_evaluate(
     return Trained(model, features, base_year, metrics), report
 
 
+INFO_SCHEMA = "features array<string>, base_year int, mae double, rmse double, r2_score double, variant string"
+
+
 def save_bundle(trained: Trained, path: str, spark: SparkSession) -> None:
     """The fitted stages and, beside them, a one-row table of features, base year and metrics."""
     trained.model.write().overwrite().save(f"{path}/model")
     m = trained.metrics
     spark.createDataFrame(
-        [(trained.features, trained.base_year, m.get("mae"), m.get("rmse"), m.get("r2_score"))],
-        "features array<string>, base_year int, mae double, rmse double, r2_score double",
+        [(trained.features, trained.base_year, m.get("mae"), m.get("rmse"), m.get("r2_score"), trained.variant)],
+        INFO_SCHEMA,
     ).write.mode("overwrite").json(f"{path}/info")
 
 
 def load_bundle(path: str, spark: SparkSession) -> Trained:
-    schema = "features array<string>, base_year int, mae double, rmse double, r2_score double"
-    info = spark.read.schema(schema).json(f"{path}/info").first()
+    info = spark.read.schema(INFO_SCHEMA).json(f"{path}/info").first()
     metrics = {k: info[k] for k in ("mae", "rmse", "r2_score")}
-    return Trained(PipelineModel.load(f"{path}/model"), list(info["features"]), info["base_year"], metrics)
+    return Trained(PipelineModel.load(f"{path}/model"), list(info["features"]), info["base_year"], metrics, info["variant"])
 
 
 def metrics_row(spark: SparkSession, key: str, metrics: dict[str, float | None]) -> DataFrame:
@@ -305,8 +319,12 @@ def fit_stacking(
 # --- Scoring ----------------------------------------------------------------------------
 
 
-def score(trained: Trained, requests: DataFrame, keep: list[str]) -> DataFrame:
-    """Predict request rows that carry the history features; a feature they lack counts as 0."""
+def score(trained: Trained, requests: DataFrame, keep: list[str], strict: bool = False) -> DataFrame:
+    """Predict request rows that carry the history features. A feature they lack counts as 0, or is
+    an error if ``strict``."""
+    lacking = [c for c in trained.features if c not in requests.columns]
+    if strict and lacking:
+        raise ValueError(f"requests lack the features {', '.join(lacking)}")
     extra = [c for c in keep if c not in trained.features]
     shared = [c for c in keep if c in trained.features]
     frame = requests.select(

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from almanac.operators.split import hashed_split
 from almanac.operators.windows import MONTHLY_ORDER
-from almanac.plans import jobs, training
+from almanac.plans import jobs, scoring, training
+from almanac.plans import features as X
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +67,51 @@ def test_random_hold_out(spark, folder):
     _, report = training.train_and_evaluate(frame, ["year", "month"], small_forest(), 2001, MONTHLY_ORDER, split)
     sizes = {r.split: r.n for r in report.collect()}
     assert sum(sizes.values()) == 96 and 5 < sizes["test"] < 40
+
+
+def test_requests_are_checked_routed_scored_and_kept(spark, folder, tmp_path):
+    jobs.train_monthly(spark, folder, {"gradient_boosting_weather": training.linear, "random_forest_weather": small_forest})
+    jobs.train_daily(spark, folder, {"daily_random_forest": ("basic", training.linear), "daily_xgboost": ("simple", training.linear)})
+    rows = [
+        (1, "a", 2005, 3, None, "gradient_boosting_weather"), (2, "a", 2005, 3, None, "random_forest_weather"),
+        (3, "b", 2005, 1, 9, "daily_random_forest"), (4, "b", 2005, 1, 9, "daily_xgboost"), (5, "b", 2005, 1, 10, "daily_random_forest"),
+        (6, "a", 1900, 1, None, "sarimax"), (7, "a", 2005, 2, 30, "daily_xgboost"), (8, "a", 2005, 2, None, "unknown"),
+        (9, "new", 2005, 2, None, "gradient_boosting_weather"), (10, None, 2005, 2, None, "gradient_boosting_weather"),
+        (11, "a", 2005, 2, None, "sarimax"), (11, "a", 2005, 2, None, "sarimax"), (12, "a", None, None, None, None),
+    ]
+    asked = spark.createDataFrame(rows, "request_id long, series_id string, year int, month int, day int, model_key string")
+    out = {}
+    for r in scoring.score_requests(spark, asked, folder, F.lit(7).cast("long")).collect():
+        out.setdefault(r.request_id, []).append(r)
+    assert {k: len(v) for k, v in out.items()} == {**dict.fromkeys(range(1, 13), 1), 11: 2}
+    scored = {k for k, v in out.items() if v[0].predicted is not None}
+    assert scored == {1, 2, 3, 4, 5, 9}
+    assert all((r.predicted is None) != (r.reason is None) for v in out.values() for r in v)
+    assert out[11][0].reason == "model is not stored" and out[10][0].reason == "no series named"
+    assert out[1][0].predicted != out[2][0].predicted and out[3][0].predicted != out[4][0].predicted
+    # Both series have a level of their own, which the daily models know from the lags.
+    assert abs(out[3][0].predicted - 30) < 6
+    history = spark.read.parquet(f"{folder}/history")
+    assert history.count() == 6 and history.where("user_id = 7").count() == 6
+
+
+def test_every_daily_variant_has_its_features_at_serving_time(spark, folder):
+    daily = spark.read.parquet(f"{folder}/daily_combined").drop("year", "month", "day")
+    last = daily.groupBy("series_id").agg(F.max("date").alias("date"))
+    cells = last.select("series_id", F.explode(F.sequence(F.date_add("date", 1), F.date_add("date", 9))).alias("date"))
+    for variant, spec in X.DAILY_SPECS.items():
+        trained = X.feature_columns(X.daily_features(daily, spec))
+        asked = scoring.daily_request_features(cells, daily, spec, 2001)
+        assert set(trained) <= set(asked.columns), variant
+        assert asked.count() == 18
+    # A day that has been observed gets the features that it had in training.
+    known = daily.where("date = '2004-06-01'").select("series_id", "date")
+    a = scoring.daily_request_features(known, daily, X.DAILY_SPECS["advanced"], 2001)
+    b = X.daily_features(daily, X.DAILY_SPECS["advanced"], 2001).join(known, ["series_id", "date"]).select(*a.columns)
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_a_missing_feature_is_an_error(spark, folder):
+    trained = training.Trained(None, ["value_lag_1", "unheard_of"], 2001, {})
+    with pytest.raises(ValueError, match="unheard_of"):
+        training.score(trained, spark.range(1).withColumn("value_lag_1", F.lit(1.0)), ["id"], strict=True)

@@ -380,6 +380,21 @@ def test_boosting_is_repeatable(spark, frame):
     assert runs[0] == runs[1]
 
 
+def test_trees_do_not_depend_on_the_shuffle_setting(spark, frame):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    runs = []
+    try:
+        for n in ("4", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            rows = training.training_rows(frame.repartition("x1"), rows_per_part=100)
+            fitted = training.fit(rows, ["x1", "x2"], training.random_forest(trees=4, depth=4, features="all"))
+            runs.append(by(training.predict(fitted, frame), "series_id", "date"))
+            rows.unpersist()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert runs[0] == runs[1]
+
+
 def test_selection_and_importance_find_the_signal(spark, frame):
     assert training.select_features(frame, ["x2", "x1"], 1) == ["x1"]
     model = training.fit(frame, ["x2", "x1"], training.random_forest(trees=5, depth=3, features="all"))
