@@ -392,6 +392,40 @@ def gradient_boosting(spark, d):
     return _report(spark, d, training.gradient_boosting(trees=10, rate=0.1, depth=4))
 
 
+# The best split of the panel's months by squared error, and the mean on either side of it.
+_SINGLE_SPLIT = check(
+    f"""select distinct m.month, {r("case when m.month <= b.t then b.low else b.high end", "predicted")}
+    from (select distinct month from sm) m, best b""",
+    "sm",
+    cuts="""select t, sum(value) filter (month <= t) as sl, count(*) filter (month <= t) as nl,
+        sum(value) filter (month > t) as sr, count(*) filter (month > t) as nr
+        from (select month, value from sm where value is not null), (select unnest(range(1, 12)) as t) group by t""",
+    best="""select arg_max(t, sl * sl / nl + sr * sr / nr) as t, arg_max(sl / nl, sl * sl / nl + sr * sr / nr) as low,
+        arg_max(sr / nr, sl * sl / nl + sr * sr / nr) as high from cuts""",
+)
+
+
+def _single_split(spark, d, estimator):
+    """What a tree of depth one, fitted on the month alone, predicts for each month."""
+    panel = P.supplier_monthly(spark, d).filter(F.col("value").isNotNull())
+    rows = training.training_rows(panel)
+    model = training.fit(rows, ["month"], estimator)
+    rows.unpersist()
+    return settle(training.predict(model, panel.select("month").distinct()))
+
+
+@query("m3_single_split", _SINGLE_SPLIT)
+def boosted_single_split(spark, d):
+    """Boosting with one tree of one split."""
+    return _single_split(spark, d, training.gradient_boosting(trees=1, depth=1, leaf=1, subsample=1.0))
+
+
+@query("m4_single_split", _SINGLE_SPLIT)
+def forest_single_split(spark, d):
+    """A forest of one tree of one split, which sees every row."""
+    return _single_split(spark, d, training.random_forest(trees=1, depth=1, leaf=1, features="all", bootstrap=False))
+
+
 # Columns that determine a unique least-squares solution, which a check can reproduce.
 LINEAR_FEATURES = ["value_lag_1", "value_lag_7", "temperature", "humidity", "doy_sin", "doy_cos"]
 

@@ -41,11 +41,11 @@ def gradient_boosting(
 
 
 def random_forest(
-    trees: int = 300, depth: int = 8, leaf: int = 4, features: str = "sqrt", seed: int = SEED
+    trees: int = 300, depth: int = 8, leaf: int = 4, features: str = "sqrt", seed: int = SEED, bootstrap: bool = True
 ) -> RandomForestRegressor:
     return RandomForestRegressor(
         labelCol=LABEL, featuresCol="features", numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf,
-        featureSubsetStrategy=features, seed=seed,
+        featureSubsetStrategy=features, seed=seed, bootstrap=bootstrap,
     )
 
 
