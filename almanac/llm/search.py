@@ -34,7 +34,7 @@ K = 10
 K1, B = 1.2, 0.75
 BLOCK = 32
 # Most bytes of text in a shard, and of query text in a block of queries.
-SHARD_BYTES = 24 << 20
+SHARD_BYTES = 12 << 20
 QUERY_BYTES = 16 << 20
 # The most frequent terms by which a shard's documents are ordered.
 SORT_TERMS = 24
