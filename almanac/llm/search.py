@@ -33,6 +33,8 @@ from almanac.llm import text as T
 K = 10
 K1, B = 1.2, 0.75
 BLOCK = 32
+# Blocks that are scored at first; each further step takes four times as many.
+FIRST_BLOCKS = 4
 # Most bytes of text in a shard, and of query text in a block of queries.
 SHARD_BYTES = 12 << 20
 QUERY_BYTES = 16 << 20
@@ -101,7 +103,7 @@ class Shard:
         place[self.order] = np.arange(before)
         row = place[row]
         by = np.argsort(term * max(before, 1) + row, kind="stable")
-        term, self.row, often, length = term[by], row[by], often[by], length[self.order]
+        term, self.row, often, length = term[by], row[by].astype(np.int32), often[by], length[self.order]
         norm = K1 * (1 - B + B * length / max(average, 1e-9))
         self.score = idf[term] * often * (K1 + 1) / (often + norm[self.row])
         self.blocks = -(-before // BLOCK)
@@ -120,24 +122,22 @@ class Shard:
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        worst, done, step = -np.inf, 0, 2
+        worst, done, step = -np.inf, 0, FIRST_BLOCKS
         while done < len(order) and bound[order[done]] >= worst - SLACK * abs(worst):
             # More and more blocks at a time, but none whose bound is below the k-th score.
             picked = order[done : done + step]
             picked = picked[bound[picked] >= worst - SLACK * abs(worst)]
             done += step
-            step *= 2
+            step *= 4
             chosen = np.zeros(self.blocks, bool)
             chosen[picked] = True
             mine = entries[chosen[block]]
             at = ranges(self.first[mine], self.after[mine])
-            # Only the picked blocks' documents get a slot.
-            slot = np.cumsum(chosen) - 1
-            total = np.bincount(slot[self.row[at] // BLOCK] * BLOCK + self.row[at] % BLOCK, self.score[at], minlength=len(picked) * BLOCK)
-            hit = np.flatnonzero(total > 0)
+            total = np.bincount(self.row[at], self.score[at], minlength=self.rows)
+            hit = np.flatnonzero(total)
             if len(scores) >= k:
                 hit = hit[total[hit] >= worst]
-            places = np.concatenate((places, np.flatnonzero(chosen)[hit // BLOCK] * BLOCK + hit % BLOCK))
+            places = np.concatenate((places, hit))
             scores = np.concatenate((scores, total[hit]))
             best = np.lexsort((rank[places], -scores))[:k]
             places, scores = places[best], scores[best]
