@@ -31,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,14 +158,18 @@ def _spread(frame: DataFrame, key_kind: str, read: Callable, buckets: int) -> Da
 def _counted(frame: DataFrame, key_kind: str, read: Callable) -> DataFrame:
     """Documents (key, n, node) and counts (node, shared): how many tokens of a set other sets also
     hold. A count may be too high where hashes cut to fewer bits meet."""
-    buckets = 4 * int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets, parts = 4 * width, max(1, width // 4)
     spread = _spread(frame, key_kind, read, buckets)
-    ddl = f"key {key_kind}, n long, node long, shared long"
+    ddl = f"part int, key {key_kind}, n long, node long, shared long, nodes binary, counts binary"
     schema = T.arrow_schema(ddl)
 
     def count(table: pa.Table) -> pa.Table:
+        """The counts of a bucket, packed for each part of the nodes."""
         if table.column("bucket")[0].as_py() < 0:
-            return table.select(["key", "n", "node", "shared"]).cast(schema)
+            part = pa.array(table.column("node").to_numpy() % parts, pa.int32())
+            none = pa.nulls(table.num_rows, pa.binary())
+            return pa.table([part, *[table.column(c) for c in ("key", "n", "node", "shared")], none, none], schema=schema)
         tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("tokens")])
         nodes = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("nodes")])
         order = np.lexsort((nodes, tokens))
@@ -175,10 +180,32 @@ def _counted(frame: DataFrame, key_kind: str, read: Callable) -> DataFrame:
         first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
         shared = np.repeat(np.logical_or.reduceat(several, first), np.diff(np.r_[first, len(tokens)]))
         who, times = np.unique(nodes[shared & new & (nodes != 0)], return_counts=True)
-        n = len(who)
-        return pa.table({"key": pa.nulls(n, schema.field("key").type), "n": pa.nulls(n, pa.int64()), "node": who, "shared": times.astype(np.int64)}, schema=schema)
-
-    return spread.groupBy("bucket").applyInArrow(count, ddl)
+        part = who % parts
+        order = np.argsort(part, kind="stable")
+        cuts = np.searchsorted(part[order], np.arange(parts + 1))
+        who, times = who[order], times[order].astype(np.int64)
+        used = np.flatnonzero(np.diff(cuts))
+        pack = lambda x: pa.array([x[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary())
+        none = [pa.nulls(len(used), f.type) for f in list(schema)[1:5]]
+        return pa.table([pa.array(used, pa.int32()), *none, pack(who), pack(times)], schema=schema)
+
+    out = f"key {key_kind}, n long, node long, shared long"
+    out_schema = T.arrow_schema(out)
+
+    def total(table: pa.Table) -> pa.Table:
+        """The documents of a part, and one count for each of its nodes."""
+        documents = table.filter(pc.is_valid(table.column("n"))).select(["key", "n", "node", "shared"])
+        single = table.filter(pc.is_valid(table.column("shared")))
+        packed = table.filter(pc.is_valid(table.column("nodes")))
+        unpack = lambda c: [np.frombuffer(x.as_buffer(), np.int64) for x in packed.column(c)]
+        who = np.concatenate([single.column("node").to_numpy(), *unpack("nodes")])
+        times = np.concatenate([single.column("shared").to_numpy(), *unpack("counts")])
+        node, at = np.unique(who, return_inverse=True)
+        n = len(node)
+        counts = [pa.nulls(n, out_schema.field("key").type), pa.nulls(n, pa.int64()), pa.array(node, pa.int64()), pa.array(np.bincount(at, times, n), pa.int64(), safe=False)]
+        return pa.concat_tables([documents.cast(out_schema), pa.table(counts, schema=out_schema)])
+
+    return spread.groupBy("bucket").applyInArrow(count, ddl).groupBy("part").applyInArrow(total, out)
 
 
 def _seen(docs: DataFrame, key: str, text: str, percent: int) -> DataFrame:
