@@ -169,16 +169,16 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
         from documents
     ), shingles as (
-        select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))
+        select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
             when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as shingle
         from split
     ), sizes as (select doc_id, count(*) as n from shingles group by doc_id),
     common as (
-        select a.doc_id as a, b.doc_id as b, count(*) as both
+        select a.doc_id as a, b.doc_id as b, count(*) as n_common
         from shingles a join shingles b on a.shingle = b.shingle and a.doc_id <> b.doc_id group by all
     ), links as (
         select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
-        where 100 * both >= 80 * (x.n + y.n - both)
+        where 100 * n_common >= 80 * (x.n + y.n - n_common)
     ), reached as (
         select doc_id as a, doc_id as b from documents
         union select r.a, l.b from reached r join links l on r.b = l.a

@@ -5,7 +5,6 @@ import pytest
 
 from almanac.llm import setjoin as S
 from almanac.llm.graph import components
-from almanac.llm.queries import QUERIES
 
 
 def brute(rows, percent=S.PERCENT):
@@ -122,9 +121,3 @@ def test_components_of_paths_and_stars(spark):
         x, y = top(a), top(b)
         at[max(x, y)] = min(x, y)
     assert got == {i: top(i) for e in edges if e[0] != e[1] for i in e}
-
-
-def test_query_against_brute_force(spark):
-    folder = "/root/testdata/sf0.001"
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
-    assert result(QUERIES["op9_ngram_jaccard_join"](spark, folder)) == brute(rows)
