@@ -97,7 +97,7 @@ def _spread(docs: DataFrame, buckets: int) -> DataFrame:
         several = np.repeat(size > 1, size)
         n = int(several.sum())
         if n:
-            yield rows(n, bucket=-1 - (grams[several] % np.uint64(buckets)).astype(np.int32), node=nodes[several], gram=grams[several].view(np.int64))
+            yield rows(n, bucket=-1 - (nodes[several] % buckets), node=nodes[several], gram=grams[several].view(np.int64))
         grams, nodes = grams[first], np.where(several, 0, nodes)[first]
         bucket = (grams % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
