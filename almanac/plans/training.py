@@ -117,11 +117,11 @@ def training_rows(df: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataFram
     """The rows of a fit, in parts of about ``rows_per_part`` and persisted; the caller releases them.
 
     Fitting passes over them again and again, and trees draw their samples part by part. So the
-    parts follow from the rows' keys and their number, and rows stand in the order of their
+    parts follow from the rows' keys (all columns, where there are none) and their number, and rows stand in the order of their
     keys: a fit gives the same model whatever the shuffle setting, and a lost part is made again
     as it was.
     """
-    keys = [c for c in ("series_id", "date", "year", "month") if c in df.columns]
+    keys = [c for c in ("series_id", "date", "year", "month") if c in df.columns] or df.columns
     parts = max(1, -(-df.count() // rows_per_part))
     return df.repartition(parts, *keys).sortWithinPartitions(*keys).persist()
 
