@@ -29,7 +29,7 @@ from tokenizers import Tokenizer
 from almanac.llm import text as T
 
 # Most bytes of text that share one pair index.
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 5 << 20
 END = "</w>"
 # What the tokenizer takes for white space.
 _SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
