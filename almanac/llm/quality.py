@@ -2,11 +2,15 @@
 
 Overlapping heuristic labellers vote on every document: bad, good, or no opinion. Expectation
 maximisation over all documents' vote patterns estimates how accurate each labeller is, without
-any given labels, for three traits: noise, repetition and toxicity. The posteriors train one hashed linear
+any given labels, for three traits: noise, repetition and toxicity. Toxicity is read from listed
+words: a short English list, and words of any language that ``learn_marks`` takes from a bounded sample
+of given labels (at most ``LABEL_ROWS``); learned words count where a text has two kinds of them.
+The posteriors train one hashed linear
 scorer (logistic regression on hashed words, signs and votes), which then scores every document.
 
 What is gathered from the corpus: counts of vote patterns (at most 3 ** labellers rows, in fact a
-few hundred), and a sample of at most ``SAMPLE_ROWS`` documents' hashed features for the scorer.
+few hundred), a sample of at most ``SAMPLE_ROWS`` documents' hashed features for the scorer, and at
+most ``MARKS`` learned words.
 Votes, pattern counts and scores cover all rows.
 
 A null or empty text has no words and counts as poor quality. Repeated rows are scored alike, each
@@ -28,6 +32,12 @@ from almanac.llm import text as T
 # Most documents the linear scorer is fitted on.
 SAMPLE_ROWS = 12_000
 HASH_BITS = 18
+# Most given labels that words are learned from, and most words learned.
+LABEL_ROWS = 20_000
+MARKS = 4_096
+# A learned word stands in so many toxic documents, in such a share of all toxic ones, and toxic ones
+# are such a share of the documents that have it.
+MARK_DOCUMENTS, MARK_SPREAD, MARK_PURITY = 4, 0.01, 0.8
 EPOCHS = 8
 VOTE_FEATURES = 4
 THRESHOLD = 0.5
@@ -80,6 +90,13 @@ def per_row(flags: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def _listed(h: np.ndarray, rows: np.ndarray, bounds: np.ndarray, sorted_set: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of each row are listed, and how many distinct ones."""
+    found = contained(h, sorted_set)
+    distinct = np.unique(np.stack((rows[found].astype(np.uint64), h[found])), axis=1)[0].astype(np.int64)
+    return per_row(found, bounds), np.bincount(distinct, minlength=len(bounds) - 1)
+
+
 @dataclass
 class Piece:
     """What the labellers and the scorer look at, for the rows of a piece."""
@@ -89,7 +106,8 @@ class Piece:
     measures: dict[str, np.ndarray]
 
 
-def measure(texts: pa.Array) -> Piece:
+def measure(texts: pa.Array, marks: np.ndarray | None = None) -> Piece:
+    """``marks`` holds the sorted hashes of learned words."""
     data, offsets = T.as_bytes(texts)
     words = T.Words(T.lowered(data), offsets, T.ALNUM)
     h = words.hashes()
@@ -111,10 +129,11 @@ def measure(texts: pa.Array) -> Piece:
     new = np.ones(len(h), bool)
     new[1:] = (h[by_word][1:] != h[by_word][:-1]) | (rows[by_word][1:] != rows[by_word][:-1])
     distinct = np.bincount(rows[by_word][new], minlength=len(n))
-    insult = contained(h, _INSULT)
-    hits = per_row(insult, words.bounds)
-    # Distinct insults of each row.
-    marked = np.unique(np.stack((rows[insult].astype(np.uint64), h[insult])), axis=1)[0].astype(np.int64)
+    hits, kinds = _listed(h, rows, words.bounds, _INSULT)
+    if marks is not None and len(marks):
+        more, more_kinds = _listed(h, rows, words.bounds, marks)
+        # One learned word alone may be chance.
+        hits, kinds = hits + np.where(more_kinds > 1, more, 0), kinds + np.where(more_kinds > 1, more_kinds, 0)
     measures = {
         "n_words": n,
         "sign_share": per_row(_RARE_SIGN[data], offsets) / np.maximum(seen, 1),
@@ -126,7 +145,7 @@ def measure(texts: pa.Array) -> Piece:
         "line_repeat_share": np.bincount(line_rows[order][again], minlength=len(n)) / n_lines,
         "word_length": per_row(words.inside, offsets) / some,
         "insults": hits,
-        "insult_kinds": np.bincount(marked, minlength=len(n)),
+        "insult_kinds": kinds,
         "insult_share": hits / some,
     }
     return Piece(words, h, measures)
@@ -304,6 +323,7 @@ class Classifier:
 
     labels: dict[str, LabelModel]
     scorer: Scorer
+    marks: np.ndarray | None = None
 
     def judge(self, p: Piece) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         """Scores, rejections, and the posterior of each trait. Rejected is what the scorer finds bad,
@@ -314,13 +334,42 @@ class Classifier:
         return score, (score >= THRESHOLD) | (any_trait(posteriors) >= SURE), posteriors
 
 
-def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7) -> Classifier | None:
-    """Labels from the votes on all documents; the scorer from at most ``sample_rows`` of them.
-    None for an empty table."""
+def learn_marks(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_rows: int = LABEL_ROWS) -> np.ndarray:
+    """Sorted hashes of words that stand out in documents labelled toxic, whatever their language, from
+    the ``label_rows`` labels of least key hash; (key, quality, toxic). Documents of poor quality that
+    are not toxic count for neither side."""
+    given = labels.where((F.col("toxic") == 1) | (F.col("quality") == 1)).groupBy(labels[key].alias("labelled")).agg(F.max("toxic").alias("toxic"))
+    given = given.where(F.col("labelled").isNotNull()).orderBy(F.xxhash64("labelled"), "labelled").limit(label_rows)
+    frame = docs.join(F.broadcast(given), docs[key] == given["labelled"]).select(given["toxic"].cast("long").alias("doc_id"), docs[text].alias("text"))
+
+    def words_in(piece: pa.RecordBatch) -> dict:
+        toxic = piece.column(0).to_numpy().astype(bool)
+        words = T.words_of(piece.column(1), T.ALNUM)
+        h, rows = words.hashes(), words.rows()
+        order = np.lexsort((h, rows))
+        h, rows = h[order], rows[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])][: len(h)]
+        found, at = np.unique(h[new], return_inverse=True)
+        n = np.bincount(at, minlength=len(found))
+        bad = np.bincount(at, weights=toxic[rows[new]], minlength=len(found)).astype(np.int64)
+        # The word 0 stands for the documents themselves.
+        return {"word": np.r_[0, found.view(np.int64)], "bad": np.r_[toxic.sum(), bad], "n": np.r_[len(toxic), n]}
+
+    counted = T.map_texts(frame, "doc_id", "text", "word long, bad long, n long", words_in).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    stood = counted.where((F.col("bad") >= MARK_DOCUMENTS) & ((F.col("word") == 0) | (F.col("bad") >= MARK_PURITY * F.col("n"))))
+    top = stood.orderBy(F.col("word") != 0, F.desc("bad"), "word").limit(MARKS + 1).collect()
+    least = MARK_SPREAD * sum(r["bad"] for r in top if r["word"] == 0)
+    found = np.array([r["word"] for r in top if r["word"] != 0 and r["bad"] >= least], np.int64).view(np.uint64)
+    return np.setdiff1d(found, _INSULT)
+
+
+def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, seed: int = 7, marks: np.ndarray | None = None) -> Classifier | None:
+    """Labels from the votes on all documents; the scorer from at most ``sample_rows`` of them; ``marks``
+    from ``learn_marks``. None for an empty table."""
     frame = docs.select(F.lit(0).alias("doc_id"), docs[text].alias("text"))
 
     def patterns(piece: pa.RecordBatch) -> dict:
-        found, n = np.unique(votes_of(measure(piece.column(1)).measures), axis=0, return_counts=True)
+        found, n = np.unique(votes_of(measure(piece.column(1), marks).measures), axis=0, return_counts=True)
         return {"votes": [row.tobytes() for row in found], "n": n}
 
     counted = T.map_texts(frame, "doc_id", "text", "votes binary, n long", patterns).groupBy("votes").agg(F.sum("n").alias("n")).orderBy("votes").collect()
@@ -336,7 +385,7 @@ def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, see
         labels[trait] = fit_labels(own, np.bincount(at.ravel(), weights=counts))
 
     def learn(piece: pa.RecordBatch) -> dict:
-        p = measure(piece.column(1))
+        p = measure(piece.column(1), marks)
         offsets, ids = features(p)
         return {
             "votes": [row.tobytes() for row in votes_of(p.measures)],
@@ -348,7 +397,7 @@ def fit(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS, see
     rows = [np.frombuffer(bytes(r["ids"]), np.int32) for r in sample]
     seen = np.frombuffer(b"".join(bytes(r["votes"]) for r in sample), np.int8).reshape(-1, width)
     target = any_trait({t: m.posterior(seen[:, columns_of(t)]) for t, m in labels.items()})
-    return Classifier(labels, fit_scorer(rows, target))
+    return Classifier(labels, fit_scorer(rows, target), marks)
 
 
 def score_documents(docs: DataFrame, classifier: Classifier | None, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -359,7 +408,7 @@ def score_documents(docs: DataFrame, classifier: Classifier | None, key: str = "
     held = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def work(piece: pa.RecordBatch) -> dict:
-        score, rejected, posteriors = held.value.judge(measure(piece.column(1)))
+        score, rejected, posteriors = held.value.judge(measure(piece.column(1), held.value.marks))
         return {key: piece.column(0), "score": score, "rejected": rejected, **{f"p_{t}": x for t, x in posteriors.items()}}
 
     return T.map_texts(docs, key, text, schema, work)
@@ -370,4 +419,4 @@ def keep_good(docs: DataFrame, classifier: Classifier | None, text: str = "text"
     if classifier is None:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(classifier)
-    return T.filter_texts(docs, text, lambda texts: ~held.value.judge(measure(texts))[1])
+    return T.filter_texts(docs, text, lambda texts: ~held.value.judge(measure(texts, held.value.marks))[1])

@@ -86,3 +86,23 @@ def test_held_out_labels(spark):
     assert poor.rejected.mean() > 0.95
     # About a third of the toxic labels stand on texts without any insult.
     assert toxic.rejected.mean() > 0.6
+
+
+def test_toxic_documents_of_every_language_go(spark):
+    """Odd labels, which no word was learned from."""
+    rows = QUERIES["op8_quality_classifier"](spark, FOLDER)
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select("doc_id", "lang")
+    both = rows.join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").join(docs, "doc_id").toPandas()
+    odd = both[(both.doc_id % 2 == 1) & (both.quality == 1)]
+    share = odd[odd.toxic == 1].groupby("lang").rejected.mean()
+    print(share.to_dict(), odd[odd.toxic == 1].groupby("lang").size().to_dict(), odd[odd.toxic == 0].rejected.sum(), (odd.toxic == 0).sum())
+    assert share["en"] > 0.95 and share["de"] > 0.9 and share["fr"] > 0.9 and share["es"] > 0.25
+    assert odd[odd.toxic == 0].rejected.mean() < 0.005
+
+
+def test_marks_of_no_labels(spark, documents):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = documents(["a text of words"] * 3 + [None])
+    marks = Q.learn_marks(docs, none)
+    assert len(marks) == 0
+    assert Q.score_documents(docs, Q.fit(docs, marks=marks)).count() == 4
