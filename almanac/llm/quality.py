@@ -163,6 +163,11 @@ def _share(bad: str, m: dict[str, np.ndarray], over: float, under: float) -> np.
     return np.where(m["n_words"] < FEW_WORDS, NONE, _vote(m[bad] > over, m[bad] < under))
 
 
+def _rare(m: dict[str, np.ndarray]) -> np.ndarray:
+    """One or two kinds of listed words, each time among more than a thousand others: chance or quotation."""
+    return (m["insult_kinds"] < 3) & (m["insult_share"] < 0.001)
+
+
 # Labellers by trait: measures in, votes out. Thresholds are parameters of the heuristics.
 LABELLERS = {
     "noisy": {
@@ -178,9 +183,9 @@ LABELLERS = {
         "lines": lambda m: _vote(m["line_repeat_share"] > 0.4, m["line_repeat_share"] < 0.2),
     },
     "toxic": {
-        "insult": lambda m: _vote(m["insults"] > 0, m["insults"] == 0),
-        "insult_kinds": lambda m: _vote(m["insult_kinds"] > 1, m["insult_kinds"] == 0),
-        "insult_share": lambda m: _vote(m["insult_share"] > 0.002, m["insult_share"] == 0),
+        "insult": lambda m: _vote((m["insults"] > 0) & ~_rare(m), m["insults"] == 0),
+        "insult_kinds": lambda m: _vote((m["insult_kinds"] > 1) & ~_rare(m), _rare(m)),
+        "insult_share": lambda m: _vote(m["insult_share"] > 0.002, _rare(m)),
     },
 }
 TRAITS = list(LABELLERS)
@@ -327,11 +332,13 @@ class Classifier:
 
     def judge(self, p: Piece) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
         """Scores, rejections, and the posterior of each trait. Rejected is what the scorer finds bad,
-        and also what the labellers are sure of, where the scorer has seen too few cases of a kind."""
+        and also what the labellers are sure of, where the scorer has seen too few cases of a kind. All
+        labellers of toxicity look at listed words, so that of one such word they can't be sure."""
         votes = votes_of(p.measures)
         posteriors = {t: m.posterior(votes[:, columns_of(t)]) for t, m in self.labels.items()}
         score = self.scorer.score(*features(p))
-        return score, (score >= THRESHOLD) | (any_trait(posteriors) >= SURE), posteriors
+        sure = posteriors | {"toxic": np.where(p.measures["insult_kinds"] > 1, posteriors["toxic"], 0.0)}
+        return score, (score >= THRESHOLD) | (any_trait(sure) >= SURE), posteriors
 
 
 def learn_marks(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_rows: int = LABEL_ROWS) -> np.ndarray:

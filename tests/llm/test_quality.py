@@ -106,3 +106,20 @@ def test_marks_of_no_labels(spark, documents):
     marks = Q.learn_marks(docs, none)
     assert len(marks) == 0
     assert Q.score_documents(docs, Q.fit(docs, marks=marks)).count() == 4
+
+
+def test_one_listed_word_does_not_reject_a_long_document(documents):
+    made = corpus(random.Random(2))
+    model = Q.fit(documents([t for _, t in made]))
+    r = random.Random(3)
+    vocabulary = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(12_000)]
+    for n in (1_500, 5_000, 20_000):
+        texts = []
+        for listed in (["garbage"], ["trash"], ["loser"], ["vermin"], ["idiot"], ["scum"], []):
+            w = [r.choice(Q.FUNCTION_WORDS[:40] if r.random() < 0.4 else vocabulary) for _ in range(n)]
+            w[n // 2 : n // 2 + 1] = listed or ["x"]
+            texts.append(" ".join(w))
+        _, rejected, posteriors = model.judge(Q.measure(pa.array(texts)))
+        assert (posteriors["toxic"] < 0.1).all() and not rejected.any()
+    short = Q.measure(pa.array(["you garbage trash loser " * 5]))
+    assert model.judge(short)[1].all()
