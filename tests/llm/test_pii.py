@@ -91,3 +91,18 @@ def test_query_against_brute_force(spark):
 
 def test_empty_table(documents):
     assert pii.find_private(documents([])).count() == 0 and pii.redact(documents([])).count() == 0
+
+
+def test_account_numbers_end_where_their_country_says(documents):
+    numbers = ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947", "GB82 WEST 1234 5698 7654 32"]
+    after = [" BIC COBADEFF", " EUR 500", " I wait", " 3 days", " 12 A", " GB82 WEST 1234 5698 7654 32"]
+    texts = [f"to {n}{a}" for n, a in zip(numbers, after)]
+    found = {x.doc_id: [s.match for s in x.spans if s.kind == "iban"] for x in pii.find_private(documents(texts)).collect()}
+    assert [found[i] for i in range(6)] == [[n] for n in numbers[:5]] + [[numbers[5]] * 2]
+    wrong = ["DE89370400440532013001 EUR 500", "xDE89370400440532013000", "DE89370400440532013000X"]
+    assert all(not x.spans or all(s.kind != "iban" for s in x.spans) for x in pii.find_private(documents(wrong)).collect())
+
+
+def test_long_secrets_go_whole(documents):
+    text = 'token = "' + "aB3/" * 150 + '" end'
+    assert [x.text for x in pii.redact(documents([text])).collect()] == ['[SECRET]" end']
