@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chains, chat, decontaminate, licences, pii, quality, search, setjoin, suffixes
+from almanac.llm import bpe, chains, chat, decontaminate, fingerprints, licences, pii, quality, search, setjoin, suffixes
 from almanac.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,19 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     """Licence phrases and tags in every document."""
     found = licences.scan_licences(table(spark, folder, "documents"))
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels", "expressions")})
+
+
+@query("op13_document_fingerprints")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every document and of its text with the second half taken from the next one."""
+    both = fingerprints.edited_documents(table(spark, folder, "documents"))
+    own = F.col("fingerprint")
+    return both.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        fingerprints.likeness(own, F.col("edited_fingerprint")).alias("near_edited"),
+        fingerprints.likeness(own, F.col("next_fingerprint")).alias("near_next"),
+    )
