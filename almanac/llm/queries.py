@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chains, chat, decontaminate, fingerprints, licences, pii, quality, search, setjoin, suffixes
+from almanac.llm import bpe, chains, chat, decontaminate, fingerprints, interaction, licences, pii, quality, search, setjoin, suffixes
 from almanac.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,45 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels", "expressions")})
 
 
+@query(
+    "op12_filter_audit",
+    r"""
+    with said as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text from documents),
+    split as (select *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by text) as first from said),
+    marked as (
+        select doc_id, part,
+            (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+            + 4 * (100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text))::int
+            + 8 * regexp_matches(text, '[#$%&*|]')::int + 16 * (doc_id > first)::int as mask
+        from split
+    ), known as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+    counts as (
+        select part, mask, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+        from marked left join known using (doc_id) group by all
+    ), letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l, unnest([1, 2, 4, 8, 16]) as b),
+    orders as (
+        select a.l || b.l || c.l || d.l || e.l as filter_order, [a.b, b.b, c.b, d.b, e.b] as bits
+        from letters a, letters b, letters c, letters d, letters e where a.b + b.b + c.b + d.b + e.b = 31
+            and len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5
+    ), steps as (
+        select filter_order, s::int as step, bits[s] as bit, coalesce(list_sum(bits[1:s - 1]), 0)::int as before
+        from orders, range(1, 6) r(s)
+    )
+    select part, filter_order, step,
+        coalesce(sum(n) filter (mask & (before + bit) = 0), 0)::bigint as kept,
+        coalesce(sum(n) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as removed,
+        coalesce(sum(n) filter (mask & before > 0 and mask & bit > 0), 0)::bigint as redundant,
+        coalesce(sum(n) filter (mask = bit), 0)::bigint as unique_fails,
+        coalesce(sum(good) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as good_lost,
+        coalesce(sum(toxic) filter (mask & before = 0 and mask & bit > 0), 0)::bigint as toxic_lost,
+        coalesce(sum(n * (120 // greatest(bit_count(mask::int), 1))) filter (mask & bit > 0), 0)::bigint as shapley
+    from counts, steps group by part, filter_order, step""",
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """What five filters remove from the documents of each language, in every order."""
+    return interaction.audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op13_document_fingerprints")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprints of every document and of its text with the second half taken from the next one."""
