@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from almanac.llm import bpe, chains, chat, decontaminate, fingerprints, interaction, licences, pii, quality, search, setjoin, suffixes
+from almanac.llm import bpe, chains, chat, compression, decontaminate, fingerprints, interaction, licences, pii, quality, search, setjoin, suffixes
 from almanac.llm import text as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -200,6 +200,52 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumns({c: F.array_join(c, ",") for c in ("base_labels", "labels", "expressions")})
 
 
+def _rounds_in_sql() -> str:
+    """The plain rounds, one table after the other; parts of the tables' vectors have eight components."""
+    apart = "list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    mean = ", ".join(f"floor(sum(x[{i}]) / count(*))::bigint" for i in range(1, 9))
+    steps = ""
+    for i in range(compression.ROUNDS + 1):
+        steps += f"""
+        a{i} as materialized (
+            select vec_id, p, any_value(label) as label, any_value(x) as x, min({apart} * 16 + e) as best from parts join b{i} using (p) group by vec_id, p
+        ),"""
+        if i < compression.ROUNDS:
+            steps += f"""
+        m{i} as (select p, best % 16 as e, [{mean}] as mean from a{i} group by 1, 2),
+        b{i + 1} as materialized (select p, e, coalesce(mean, c) as c from b{i} left join m{i} using (p, e)),"""
+    last = f"{compression.ROUNDS}"
+    return f"""
+    with kept as (
+        select vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::double)::bigint) as v from embeddings
+        where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), parts as materialized (select vec_id, label, p, v[p * 8 + 1:p * 8 + 8] as x from kept, range(8) t(p)),
+    b0 as materialized (
+        select p, row_number() over (partition by p order by vec_id) - 1 as e, x as c from parts
+        where vec_id in (select vec_id from kept order by vec_id limit 16)
+    ),{steps}
+    coded as (
+        select vec_id, any_value(label) as label, string_agg(printf('%02x', (best % 16)::int), '' order by p) as code, sum(best // 16)::bigint as error
+        from a{last} group by vec_id
+    ), books as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from b{last})
+    select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from coded, books"""
+
+
+@query("op11_vector_codes", _rounds_in_sql())
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's product code, with the errors of its label and the codebooks' digest."""
+    fitted = compression.fit(table(spark, folder, "embeddings"))
+    books = ",".join(str(x) for part in fitted.books.entries for x in part.ravel().tolist())
+    coded = compression.label_errors(compression.encode(fitted))
+    return coded.select(
+        F.col("key").alias("vec_id"),
+        F.lower(F.hex("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(hashlib.sha256(books.encode()).hexdigest()).alias("codebooks_sha256"),
+    )
+
+
 @query(
     "op12_filter_audit",
     r"""
