@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.relate import join_series
+from almanac.sources.sinks import stored
 
 # Slots of a counting round: what a window over a series' slots may hold.
 SLOTS = 4096
@@ -56,16 +57,41 @@ def histogram(df: DataFrame, bins: int, value: str = "value") -> DataFrame:
     )
 
 
-def exact_quantiles(
-    df: DataFrame, probs: list[float], value: str = "value", weight: str | None = None, slots: int = SLOTS, rounds: int = 2
-) -> DataFrame:
+def _magnitude(v: Column) -> Column:
+    """An integer that never falls where the value rises, the same for values within a factor of four of each other."""
+    steps = F.floor(F.log2(F.abs(v)) / 2) + 600
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * steps).cast("long")
+
+
+def _counted_slots(weights: DataFrame, sought: DataFrame, slot: Column) -> DataFrame:
+    """The ranks of ``sought`` with the slot that holds each, in place of the range that held them."""
+    # The ranks of a range are sought together.
+    ranges = sought.groupBy("series_id", "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))
+    inside = weights.join(ranges, "series_id").where(F.col("v").between(F.col("lo"), F.col("hi")))
+    counted = inside.groupBy("series_id", F.col("lo").alias("from"), slot.alias("slot")).agg(
+        F.sum("c").alias("c"), F.count(F.lit(1)).alias("held"), F.min("v").alias("lo"), F.max("v").alias("hi"),
+        F.first("before").alias("before"), F.first("ranks").alias("ranks"),
+    )
+    upward = Window.partitionBy("series_id", "from").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("through", F.col("before") + F.sum("c").over(upward))
+    start = (F.col("through") - F.col("c")).alias("before")
+    return (
+        placed.select("series_id", "lo", "hi", start, "through", "held", F.explode("ranks").alias("rank"))
+        .where((F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("before")))
+        .select("series_id", "rank", "lo", "hi", "before", "held")
+    )
+
+
+def exact_quantiles(df: DataFrame, probs: list[float], value: str = "value", weight: str | None = None, slots: int = SLOTS) -> DataFrame:
     """Interpolated quantiles per series, exact, without gathering a series in one task.
 
-    Equal values fold into counters before the shuffle. Every quantile lies between two ranks.
-    A round counts the values of a series in ``slots`` equal-width slots, and each rank moves on to
-    the slot that holds it, whose least and greatest values bound the next round. After the
-    rounds, the distinct values in a rank's last slot are put in order. No step depends on
-    measured sizes, and no window holds more than a series' slots or the values of one slot.
+    Equal values fold into counters, which are stored. Every quantile lies between two ranks, and
+    each rank is sought in a range of values. While a range holds more than ``slots`` distinct ones, a round
+    counts them in slots and the rank moves on to the slot that holds it: first in slots by
+    sign and magnitude, so that no outlier can empty the others, then in ``slots`` of equal width between the range's
+    least and greatest value. Within a magnitude a round leaves no more than one in ``slots`` of the
+    possible numbers, so that a handful of rounds ends it for any values. Then the
+    values of a rank's range are put in order. No window holds more than ``slots`` rows.
 
     ``weight`` names a column that says how often a row counts. The result has the count ``n`` and
     an array ``quantiles``; a series without values has no row.
@@ -73,27 +99,22 @@ def exact_quantiles(
     times = F.lit(1) if weight is None else F.col(weight)
     # Inside a struct, rows without a series join each other.
     known = df.filter(finite(F.col(value)))
-    weights = known.groupBy(F.struct("series_id").alias("series_id"), F.col(value).cast("double").alias("v")).agg(F.sum(times).alias("c"))
-    span = weights.groupBy("series_id").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    folded = known.groupBy(F.struct("series_id").alias("series_id"), F.col(value).cast("double").alias("v")).agg(F.sum(times).alias("c"))
+    weights = stored(folded, "weights")
+    span = weights.groupBy("series_id").agg(F.sum("c").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.count(F.lit(1)).alias("held"))
     position = [(F.col("n") - 1) * F.lit(p) for p in probs]
     ranks = F.array_distinct(F.array(*[f(x).cast("long") for x in position for f in (F.floor, F.ceil)]))
-    # Where each rank is looked for, and how many values stand before that range.
-    sought = span.select("series_id", F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"))
-    for _ in range(rounds):
-        # The ranks of a range are sought together; all have one in the first round.
-        ranges = sought.groupBy("series_id", "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))
-        inside = weights.join(ranges, "series_id").where(F.col("v").between(F.col("lo"), F.col("hi")))
-        share = F.try_divide(F.col("v") - F.col("lo"), F.col("hi") - F.col("lo"))
-        slot = F.least(F.lit(slots - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slots))
-        counted = inside.groupBy("series_id", F.col("lo").alias("from"), slot.alias("slot")).agg(
-            F.sum("c").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"),
-            F.first("before").alias("before"), F.first("ranks").alias("ranks"),
-        )
-        upward = Window.partitionBy("series_id", "from").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
-        placed = counted.withColumn("through", F.col("before") + F.sum("c").over(upward))
-        sought = placed.select(
-            "series_id", "lo", "hi", (F.col("through") - F.col("c")).alias("before"), "through", F.explode("ranks").alias("rank")
-        ).where((F.col("rank") < F.col("through")) & (F.col("rank") >= F.col("before")))
+    sought = span.select("series_id", F.explode(ranks).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), "held")
+    # Halved, the difference of any two numbers is a number.
+    share = F.try_divide(F.col("v") / 2 - F.col("lo") / 2, F.col("hi") / 2 - F.col("lo") / 2)
+    by_width = F.least(F.lit(slots - 1), F.floor(F.coalesce(share, F.lit(0.0)) * slots))
+    slot = _magnitude(F.col("v"))
+    large = F.col("held") > slots
+    while not sought.where(large).isEmpty():
+        moved = _counted_slots(weights, sought.where(large), slot)
+        # A few rows for each series.
+        sought = stored(sought.where(~large).unionByName(moved), "sought")
+        slot = by_width
     ranges = sought.groupBy("series_id", "lo", "hi", "before").agg(F.collect_list("rank").alias("ranks"))
     inside = weights.join(ranges, "series_id").where(F.col("v").between(F.col("lo"), F.col("hi")))
     upward = Window.partitionBy("series_id", "lo").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)

@@ -25,7 +25,6 @@ def quality_report(rows: DataFrame, panel: bool = False) -> DataFrame:
     v, copies = F.col("v"), F.col("copies")
     known = F.sum(F.when(v.isNotNull(), copies).otherwise(0))
     mean = F.try_divide(F.sum(v * copies), known)
-    square = F.sum(v * v * copies) - known * mean * mean
     figures = distinct.groupBy("series_id").agg(
         F.sum(copies).alias("total_records"),
         F.sum(F.when(v.isNull(), copies).otherwise(0)).alias("missing"),
@@ -34,7 +33,7 @@ def quality_report(rows: DataFrame, panel: bool = False) -> DataFrame:
         F.max(F.struct("year", "month")).alias("last"),
         ((F.max("year") - F.min("year") + 1) * 12).alias("expected_months"),
         mean.alias("mean"),
-        F.sqrt(F.try_divide(F.greatest(square, F.lit(0.0)), F.nullif(known - 1, F.lit(0)))).alias("std"),
+        known.alias("known"),
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         *([F.percentile(v, [0.25, 0.5, 0.75], copies).alias("q")] if panel else []),
@@ -46,9 +45,14 @@ def quality_report(rows: DataFrame, panel: bool = False) -> DataFrame:
     q1, median, q3 = (F.col("q")[i] for i in range(3))
     marked = join_series(distinct.select("series_id", "v", "copies"), figures)
     outside = (v < q1 - 1.5 * (q3 - q1)) | (v > q3 + 1.5 * (q3 - q1))
-    outliers = marked.groupBy("series_id").agg(F.sum(F.when(outside, copies).otherwise(0)).alias("outliers"))
+    # The spread is taken from the mean, which the first pass gave: sums of squares would cancel.
+    apart = F.sum(copies * (v - F.col("mean")) * (v - F.col("mean")))
+    second = marked.groupBy("series_id").agg(
+        F.sum(F.when(outside, copies).otherwise(0)).alias("outliers"),
+        F.sqrt(F.when(F.max("known") > 1, apart / (F.max("known") - 1))).alias("std"),
+    )
     completeness = F.col("total_records") * 100.0 / F.col("expected_months")
-    return join_series(figures, outliers).select(
+    return join_series(figures, second).select(
         "series_id", "total_records", "missing", "duplicates",
         F.format_string("%d-%02d", F.col("first.year"), F.col("first.month")).alias("first_period"),
         F.format_string("%d-%02d", F.col("last.year"), F.col("last.month")).alias("last_period"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from almanac.operators import correlation, distribution, metrics, quality, relate, rollup, scaling, split, summary, topk
 from almanac.operators import windows as W
+from almanac.sources import sinks
 
 
 def by(df, *keys):
@@ -187,6 +188,15 @@ def test_quality_report_keeps_every_series(spark):
         assert (out["odd"].missing, out["nulls"].missing, out["one"].std) == (1, 1, None)
 
 
+def test_spread_of_nothing_and_of_large_values(spark):
+    rows = [("none", 2000, m, None) for m in (1, 2, 2)] + [("large", 2000, m, 1e9 + m / 8) for m in range(1, 13)]
+    df = spark.createDataFrame(rows, "series_id string, year int, month int, value double")
+    for panel in (False, True):
+        out = {r.series_id: r for r in quality.quality_report(df, panel).collect()}
+        assert (out["none"].std, out["none"].mean, out["none"].outliers) == (None, None, 0)
+        assert out["large"].std == pytest.approx(np.std([m / 8 for m in range(1, 13)], ddof=1), rel=1e-12)
+
+
 def test_completeness_of_a_gappy_series(monthly):
     values = {(2000 + i // 12, i % 12 + 1): 1 for i in range(24) if i not in (5, 6)}
     row = quality.quality_report(monthly({"a": values})).first()
@@ -220,16 +230,37 @@ def hot_rows(spark, seed=0):
     return data, spark.createDataFrame(rows, "series_id string, value double").repartition(8)
 
 
-@pytest.mark.parametrize("slots,rounds", [(4096, 2), (4, 2), (3, 1)])
-def test_exact_quantiles_of_a_hot_series(spark, slots, rounds):
+@pytest.mark.parametrize("slots", [4096, 100, 3])
+def test_exact_quantiles_of_a_hot_series(spark, slots):
     data, df = hot_rows(spark)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.99, 1.0]
-    out = by(distribution.exact_quantiles(df, probs, slots=slots, rounds=rounds), "series_id")
+    out = by(distribution.exact_quantiles(df, probs, slots=slots), "series_id")
     for k, values in data.items():
         assert out[(k,)].n == len(values)
         assert out[(k,)].quantiles == pytest.approx(list(np.quantile(values, probs)))
 
 
+def test_exact_quantiles_over_all_magnitudes(spark, monkeypatch):
+    """Outliers of 1e300 and values next to nothing leave no range with more values than a window may hold."""
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.uniform(0, 1, 30_000), [1e300, -1e300, 1e-300, -1e-300, 0.0], -(10.0 ** rng.uniform(-300, 300, 3000)), 1 + np.arange(9000) * 2.0**-52])
+    df = spark.createDataFrame([("a", float(v)) for v in values], "series_id string, value double").repartition(6)
+    probs = [0.0, 0.01, 0.05, 0.3, 0.5, 0.75, 0.9, 0.9999, 1.0]
+    held = []
+
+    def storing(frame, purpose):
+        if purpose == "sought":
+            held.append(frame.agg(F.max("held")).first()[0])
+        return sinks.stored(frame, purpose)
+
+    monkeypatch.setattr(distribution, "stored", storing)
+    row = distribution.exact_quantiles(df, probs, slots=200).first()
+    with np.errstate(over="ignore"):
+        wanted = np.quantile(values, probs)
+    assert row.quantiles == pytest.approx(list(wanted), rel=1e-12)
+    assert held[-1] <= 200 and len(held) <= 8
+
+
 def test_exact_quantiles_of_a_million_rows_in_one_series(spark):
     df = spark.range(1_000_000).selectExpr(
         "if(id % 10 = 0, concat('s', id % 70), 'hot') as series_id",
