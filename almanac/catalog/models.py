@@ -21,7 +21,7 @@ from almanac.functions import calendar as C
 from almanac.operators import distribution, metrics, rollup, scaling, split, windows
 from almanac.plans import autoregression as A
 from almanac.plans import features as X
-from almanac.plans import forecasts, scoring, stationarity, training, tuning
+from almanac.plans import arma, forecasts, sarima, scoring, stationarity, training, tuning
 from almanac.session import shared_dir
 from almanac.sources.sinks import stored
 
@@ -134,6 +134,56 @@ def difference_ar1_predictions(spark, d):
     return settle(A.ar1_predictions(P.quantity_monthly(spark, d)))
 
 
+def _arma_steps() -> dict[str, str]:
+    """Both least-squares stages of ARIMA(1,1,1), the first by taking one lag after the other out of the rest."""
+    per, ds = "over (partition by series_id)", [f"d{k}" for k in range(1, arma.LONG + 1)]
+    lags = ", ".join(f"lag(d0, {k}) over w as d{k}" for k in range(1, arma.LONG + 1))
+    steps = {
+        "hp": """select *, row_number() over w as pos, count(*) over (partition by series_id) as n,
+            value - lag(value, 1) over w as d0, lag(value, 1) over w as prev from sm
+            window w as (partition by series_id order by year, month)""",
+        "hs": f"""select *, case when pos <= n - cast(ceil(0.2 * n) as bigint) then 'train' else 'test' end as split, {lags}
+            from hp window w as (partition by series_id order by pos)""",
+        "h0": f"""select series_id, pos, {', '.join(f'{c} - avg({c}) {per} as {c}' for c in ['d0', *ds])}
+            from hs where split = 'train' and {ds[-1]} is not null""",
+    }
+    for k in range(1, arma.LONG + 1):
+        rest = ", ".join(f"{c} - d{k} * sum({c} * d{k}) {per} / sum(d{k} * d{k}) {per} as {c}" for c in ["d0", *ds[k:]])
+        steps[f"h{k}"] = f"select series_id, pos, {rest} from h{k - 1}"
+    return steps | {
+        "hl": f"""select h.series_id, h.pos, hs.d0 as y, hs.d1 as x1, lag(h.d0) over (partition by h.series_id order by h.pos) as x2
+            from h{arma.LONG} h join hs on hs.series_id = h.series_id and hs.pos = h.pos""",
+        "hm": """select series_id, count(*) as n, avg(y) as my, avg(x1) as m1, avg(x2) as m2, var_pop(x1) as s11, var_pop(x2) as s22,
+            covar_pop(x1, x2) as s12, covar_pop(x1, y) as s1y, covar_pop(x2, y) as s2y from hl where x2 is not null group by 1""",
+        "hk": f"""select *, (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) as phi, greatest(-{arma.THETA_MOST}, least({arma.THETA_MOST},
+            (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12))) as theta from hm""",
+        "hf": "select *, my - phi * m1 - theta * m2 as c from hk",
+        "rec": """select series_id, 2 as pos, cast(0 as double) as e from hf union all
+            select rec.series_id, rec.pos + 1, d0 - c - phi * d1 - theta * e from rec
+            join hs on hs.series_id = rec.series_id and hs.pos = rec.pos + 1 join hf on hf.series_id = rec.series_id where split = 'train'""",
+        "hx": """select hf.series_id, max(rec.pos) as nt, arg_max(e, rec.pos) as le, arg_max(value, rec.pos) as lv, arg_max(d0, rec.pos) as ld
+            from hf join rec on rec.series_id = hf.series_id join hs on hs.series_id = hf.series_id and hs.pos = rec.pos group by 1""",
+        "pr": """select hs.series_id, year, month, value, split, hf.n as mn, phi, theta, c, case when split = 'train' then case when hs.pos > 2 then value - e end
+            else lv + (hs.pos - nt) * (c / (1 - phi)) + (c + phi * ld + theta * le - c / (1 - phi)) * (1 - phi ** (hs.pos - nt)) / (1 - phi) end
+            as predicted from hs join hf on hf.series_id = hs.series_id join hx on hx.series_id = hs.series_id
+            left join rec on rec.series_id = hs.series_id and rec.pos = hs.pos""",
+    }
+
+
+@query("m18_arima_fit", check(
+    f"select series_id, n, {r('phi', 'phi')}, {r('theta', 'theta')}, {r('c', 'const')} from hf", "sm", **_arma_steps()
+).replace("with ", "with recursive ", 1))
+def arima_fit(spark, d):
+    return settle(arma.arma_fit(arma.arma_rows(P.supplier_monthly(spark, d))))
+
+
+@query("m18_arima_report", check(
+    _split_metrics_sql("pr", f"any_value(mn) as n, {r('any_value(phi)', 'phi')}, {r('any_value(theta)', 'theta')}, {r('any_value(c)', 'const')}"),
+    "sm", **_arma_steps()).replace("with ", "with recursive ", 1))
+def arima_report(spark, d):
+    return settle(arma.arma_report(P.supplier_monthly(spark, d)))
+
+
 _SEASONAL = {
     "lg": """select *, row_number() over w as pos, count(*) over (partition by series_id) as n,
         value - lag(value, 1) over w as d1, value - lag(value, 12) over w as d12 from sm
@@ -201,6 +251,41 @@ def seasonal_forecast(spark, d):
     return settle(A.seasonal_forecast(P.supplier_monthly(spark, d), F.lit(24)))
 
 
+# Any parameters will do to compare the recursion; these are phi, PHI, theta, THETA.
+_GIVEN = [0.3, 0.2, -0.6, -0.5]
+_Z = "value - lag(value, 1) over w - lag(value, 12) over w + lag(value, 13) over w"
+
+
+@query("m19_sarima_innovations", check(
+    f"""select series_id, pos as position, {r("h[1]", "innovation")} from rec where pos > {sarima.SKIP + 13}""", "sm",
+    sz=f"""select *, row_number() over w as pos, count(*) over (partition by series_id) as n, {_Z} as z from sm
+        window w as (partition by series_id order by year, month)""",
+    sl="""select *, lag(z, 1) over w as z1, lag(z, 12) over w as z12, lag(z, 13) over w as z13 from sz
+        window w as (partition by series_id order by pos)""",
+    # The newest innovation first; thirteen are looked back at.
+    rec=f"""select series_id, {sarima.SKIP + 13} as pos, list_transform(range(13), lambda i: 0::double) as h from (select distinct series_id from sl)
+        union all select rec.series_id, rec.pos + 1, list_prepend(z - {_GIVEN[0]} * z1 - {_GIVEN[1]} * z12 + {_GIVEN[0] * _GIVEN[1]} * z13
+            - {_GIVEN[2]} * h[1] - {_GIVEN[3]} * h[12] - {_GIVEN[2] * _GIVEN[3]} * h[13], h[1:12])
+        from rec join sl on sl.series_id = rec.series_id and sl.pos = rec.pos + 1 where sl.pos <= n - cast(ceil(0.2 * n) as bigint)"""
+).replace("with ", "with recursive ", 1))
+def sarima_innovations(spark, d):
+    """Innovations of SARIMA(1,1,1)(1,1,1,12) under given parameters: what the fit makes small."""
+    return settle(sarima.sarima_innovations(P.supplier_monthly(spark, d), _GIVEN))
+
+
+@query("m19_sarima_report")
+def sarima_report(spark, d):
+    report = sarima.sarima_report(P.supplier_monthly(spark, d))
+    first = ["phi", "seasonal_phi", "theta", "seasonal_theta"]
+    return settle(report.withColumns({c: F.get(c, F.lit(0)) for c in first}), sse=2)
+
+
+@query("m20_sarima_orders")
+def sarima_orders(spark, d):
+    """The orders of each series' best seasonal model, by a stepwise search."""
+    return settle(sarima.best_orders(sarima.order_search(P.supplier_monthly(spark, d))))
+
+
 def _order_steps(d: int, x: str) -> dict[str, str]:
     """AIC of AR(0..5) by taking one lag after the other out of the rest: the residual of the
     value after p lags is that of AR(p)."""
