@@ -167,8 +167,8 @@ def flagged(docs: DataFrame, key: str = "doc_id", text: str = "text", part: str
                 tags = piece.column(3)
                 alone = ~may_repeat(held.value, tags.to_numpy(), cells) if cells else np.zeros(len(tags), bool)
                 # The text goes on only where it may be a repeat.
-                texts = pa.array(piece.column(2), pa.string())
-                kept = pa.compute.if_else(pa.array(alone), pa.scalar(None, pa.string()), texts)
+                texts = piece.column(2)
+                kept = texts.take(pa.array(np.arange(len(texts)), mask=alone)).cast(pa.string())
                 columns = [piece.column(0), piece.column(1), tags, pa.array(own_flags(texts), pa.int32()), kept]
                 yield pa.RecordBatch.from_arrays(columns, schema=schema)
 

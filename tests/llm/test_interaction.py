@@ -90,6 +90,16 @@ def test_odd_texts_and_empty_tables(spark, odd_documents):
     assert run(spark, [], LABELS).count() == 0
 
 
+def test_batches_of_several_pieces(spark):
+    """More text in a task than is worked on at once, repeats and unique texts mixed."""
+    rows = [(i, f"{LONG} {i % 70} " * 120, "x") for i in range(100)]
+    assert sum(len(t) for _, t, _ in rows) > 2 * I.T.PIECE_BYTES
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1)
+    got = {r.mask: r.n for r in I.flagged(docs).groupBy("mask").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    own = sum(1 << "ABCD".index(c) for c in flags(rows[0][1]))
+    assert got == {own: 70, own | I.REPEATED: 30}
+
+
 def test_the_sketch_clears_unique_texts_and_no_repeat(spark, monkeypatch):
     monkeypatch.setattr(I, "HELD", 300)
     r = np.random.default_rng(3)
