@@ -21,7 +21,7 @@ from almanac.functions import calendar as C
 from almanac.operators import distribution, metrics, rollup, scaling, split, windows
 from almanac.plans import autoregression as A
 from almanac.plans import features as X
-from almanac.plans import arma, forecasts, sarima, scoring, stationarity, training, tuning
+from almanac.plans import arma, forecasts, sarima, scoring, second_order, stationarity, training, tuning
 from almanac.session import shared_dir
 from almanac.sources.sinks import stored
 
@@ -566,6 +566,47 @@ def subsampled_boosting(spark, d):
     return _report(spark, d, training.subsampled_boosting(trees=10, depth=4), "simple")
 
 
+@query("m5_second_order_boosting")
+def second_order_boosting(spark, d):
+    """Errors by split of second-order boosting with penalties, rows and columns drawn per tree."""
+    rows, features = _split_frame(spark, d, "simple")
+    fold = F.when(F.col("split") == "train", 0).otherwise(second_order.HELD_OUT)
+    data = second_order.bin_rows(rows, features, fold, ["series_id", "date"])
+    spec = second_order.Boosted(trees=10, rate=0.1, depth=5, subsample=0.8, columns=0.8, gamma=0.2, alpha=0.1, penalty=1.0)
+    _, errors = second_order.fit_together(data, [spec])
+    named = F.when(F.col("fold") == 0, "train").otherwise("test")
+    return settle(errors.select(named.alias("split"), "n", "mae", "rmse", "r2"))
+
+
+# Penalties of the tree that is checked: gamma, alpha, lambda.
+_GAMMA, _ALPHA, _LAMBDA, _RATE = 0.2, 40.0, 500.0, 0.3
+
+
+def _shrunk_sql(g: str) -> str:
+    return f"sign({g}) * greatest(abs({g}) - {_ALPHA}, 0)"
+
+
+@query("m5_second_order_split", check(
+    f"""select distinct m.month, {r(f"mu - {_RATE} * case when m.month <= b.t then wl else wr end", "predicted")}
+    from (select distinct month from sm) m, best b, base""",
+    "sm",
+    base="select avg(value) as mu from sm where value is not null",
+    grad="select month, mu - value as g from sm, base where value is not null",
+    cuts="""select t, sum(g) filter (month <= t) as gl, count(*) filter (month <= t) as nl,
+        sum(g) filter (month > t) as gr, count(*) filter (month > t) as nr from grad, (select unnest(range(1, 12)) as t) group by t""",
+    gains=f"""select *, (({_shrunk_sql("gl")}) ** 2 / (nl + {_LAMBDA}) + ({_shrunk_sql("gr")}) ** 2 / (nr + {_LAMBDA})
+        - ({_shrunk_sql("gl + gr")}) ** 2 / (nl + nr + {_LAMBDA})) / 2 - {_GAMMA} as gain from cuts""",
+    best=f"""select t, ({_shrunk_sql("gl")}) / (nl + {_LAMBDA}) as wl, ({_shrunk_sql("gr")}) / (nr + {_LAMBDA}) as wr
+        from gains order by gain desc, t limit 1"""))
+def second_order_split(spark, d):
+    """What one penalised cut on the month alone predicts for each month."""
+    panel = P.supplier_monthly(spark, d)
+    data = second_order.bin_rows(panel, ["month"], F.lit(0), ["series_id", "year", "month"])
+    spec = second_order.Boosted(trees=1, rate=_RATE, depth=1, subsample=1.0, columns=1.0, gamma=_GAMMA, alpha=_ALPHA, penalty=_LAMBDA)
+    (model,), _ = second_order.fit_together(data, [spec])
+    return settle(second_order.predict(model, panel.select("month").distinct()))
+
+
 @query("m6_average_of_predictions", check(
     f"""select series_id, year, month, {r("actual", "actual")}, {r("(base + greatest(0.0, case when nr >= 5 and ny >= 2 "
       "then base + slope * (year - my) else base * (1 + 0.004 * (year - 2020)) end) + lag12) / 3", "predicted")} from te""",
@@ -659,21 +700,20 @@ def feature_selection(spark, d):
 
 @query("m11_hold_out_grid")
 def hold_out_grid(spark, d):
+    """All combinations of the search's axes, at a hundredth of its trees: 320 fits grow together, four stages each."""
     rows, features = _split_frame(spark, d, "sequence")
-
-    grid = {"trees": [5], "rate": [0.05, 0.1], "depth": [3, 4], "leaf": [3, 10], "subsample": [0.8]}
-    found = tuning.top_results(tuning.hold_out_search(rows, features, tuning.boosting, grid))
+    grid = tuning.HOLD_OUT_GRID | {"trees": [n // 100 for n in tuning.HOLD_OUT_GRID["trees"]]}
+    found = tuning.staged_hold_out_search(rows, features, grid, ["series_id", "date"])
     return settle(found.withColumn("params", F.to_json("params")))
 
 
 @query("m12_cross_validated_grid")
 def cross_validated_grid(spark, d):
+    """All combinations of the six axes over three folds, at a hundredth of the search's trees."""
     rows, features = _split_frame(spark, d, "tuned")
     train = rows.filter(F.col("split") == "train")
-    grid = {"maxDepth": [2, 3], "stepSize": [0.1]}
-    found, _ = tuning.cross_validated_search(
-        train, features, training.subsampled_boosting(trees=4), grid, windows.DAILY_ORDER, folds=3
-    )
+    grid = tuning.CROSS_VALIDATED_GRID | {"trees": [n // 100 for n in tuning.CROSS_VALIDATED_GRID["trees"]]}
+    found = tuning.staged_cross_validated_search(train, features, grid, windows.DAILY_ORDER)
     return settle(found.withColumn("params", F.to_json("params")))
 
 

@@ -11,11 +11,12 @@ from pyspark.ml import Pipeline
 from pyspark.ml.base import Estimator
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from almanac.operators.metrics import error_columns
 from almanac.operators.split import contiguous_folds
+from almanac.plans import second_order
 from almanac.plans.training import LABEL, assembled, fit, gradient_boosting, predict, training_rows
 from almanac.session import ensure_checkpoint_dir
 
@@ -29,6 +30,16 @@ HOLD_OUT_GRID = {
     "subsample": [0.6, 0.8, 0.9, 1.0],
 }
 
+# Axes of the cross-validated search; these values are fixed too.
+CROSS_VALIDATED_GRID = {
+    "trees": [200, 300],
+    "depth": [6, 8],
+    "rate": [0.05, 0.1],
+    "leaf": [3, 5],
+    "subsample": [0.8, 0.9],
+    "columns": [0.8, 0.9],
+}
+
 
 def boosting(params: dict[str, float]) -> Estimator:
     """Boosted trees with one combination of a grid; an axis they don't have is an error."""
@@ -154,3 +165,58 @@ def cross_validated_score(
     return scores.select("fold", "r2", F.lit(None).cast("double").alias("margin")).unionByName(
         summary.select(F.lit(None).cast("int").alias("fold"), F.col("mean_r2").alias("r2"), "margin")
     )
+
+
+# --- Staged searches: all combinations grow in the same passes ----------------------------
+
+
+def _specs(grid: dict[str, list[float]], fold: int | None = None) -> list[second_order.Boosted]:
+    """One model for each combination of the axes but ``trees``, as large as the largest there."""
+    rest = {k: v for k, v in grid.items() if k != "trees"}
+    whole = {"depth"}
+    return [
+        second_order.Boosted(trees=max(grid["trees"]), fold=fold, **{k: int(v) if k in whole else float(v) for k, v in c.items()})
+        for c in combinations(rest)
+    ]
+
+
+def _params(specs: list[second_order.Boosted], grid: dict[str, list[float]]) -> Column:
+    """The parameters of a row's model and number of trees, as a map."""
+    names = [k for k in grid if k != "trees"]
+    values = F.array(*[F.array(*[F.lit(float(getattr(s, k))) for k in names]) for s in specs])
+    own = F.get(values, F.col("model"))
+    entries = [x for i, k in enumerate(names) for x in (F.lit(k), F.get(own, F.lit(i)))]
+    return F.create_map(F.lit("trees"), F.col("trees").cast("double"), *entries)
+
+
+def staged_hold_out_search(split_frame: DataFrame, features: list[str], grid: dict[str, list[float]], keys: list[str]) -> DataFrame:
+    """Errors of every combination on the train and test rows; best test R2 first.
+
+    Combinations that differ in ``trees`` alone are stages of one fit, and all fits grow in the same passes over
+    rows that are binned once.
+    """
+    fold = F.when(F.col("split") == "train", 0).otherwise(second_order.HELD_OUT)
+    data = second_order.bin_rows(split_frame, features, fold, keys, LABEL)
+    specs = _specs(grid)
+    _, errors = second_order.fit_together(data, specs, [int(n) for n in grid["trees"]])
+    of = lambda f, c: F.max(F.when(F.col("fold") == f, F.col(c)))
+    rows = errors.groupBy("trees", "model").agg(
+        of(0, "r2").alias("train_r2"), *[of(second_order.HELD_OUT, c).alias(f"test_{c}") for c in ("r2", "mae", "rmse")]
+    )
+    return rows.select(_params(specs, grid).alias("params"), "train_r2", "test_r2", "test_mae", "test_rmse").orderBy(F.desc_nulls_last("test_r2"))
+
+
+def staged_cross_validated_search(
+    train: DataFrame, features: list[str], grid: dict[str, list[float]], order: list[str], folds: int = 3
+) -> DataFrame:
+    """(params, mean_r2) over contiguous folds for every combination, best first.
+
+    The models of all folds grow together over one table; each leaves its own fold out and is judged on it.
+    """
+    data = second_order.bin_rows(contiguous_folds(train, order, folds), features, F.col("fold"), ["series_id", *order], LABEL)
+    specs = [s for k in range(folds) for s in _specs(grid, k)]
+    _, errors = second_order.fit_together(data, specs, [int(n) for n in grid["trees"]])
+    count = len(specs) // folds
+    judged = errors.filter(F.col("fold") == F.floor(F.col("model") / count))
+    mean = judged.groupBy("trees", (F.col("model") % count).alias("model")).agg(F.avg("r2").alias("mean_r2"))
+    return mean.select(_params(specs[:count], grid).alias("params"), "mean_r2").orderBy(F.desc_nulls_last("mean_r2"))
