@@ -143,4 +143,4 @@ def history_append(spark, d):
     sinks.append_history(sinks.history_rows(scored.drop("day"), F.col("user_id"), F.col("latest_value")), path)
     daily = scored.withColumn("predicted", F.col("predicted") / F.dayofmonth(F.last_day("date")))
     sinks.append_history(sinks.history_rows(daily, F.col("user_id"), F.lit(None)), path)
-    return settle(spark.read.parquet(path).drop("created_at"), 2)
+    return settle(sinks.read_history(spark, path).drop("created_at"), 2)

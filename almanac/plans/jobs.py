@@ -20,8 +20,7 @@ from almanac.operators.windows import DAILY_ORDER, MONTHLY_ORDER
 from almanac.plans import features as X
 from almanac.plans import training
 from almanac.plans.autoregression import seasonal_predictions
-from almanac.session import shared_dir
-from almanac.sources.sinks import overwrite_metrics, read_metrics, upsert_metrics, write_table
+from almanac.sources.sinks import merge_metrics, overwrite_metrics, read_metrics, write_table
 
 Make = Callable[[], Estimator]
 
@@ -85,11 +84,8 @@ def train_monthly(spark: SparkSession, folder: str, models: dict[str, Make] | No
 
 
 def _add_metrics(spark: SparkSession, folder: str, fresh: DataFrame) -> DataFrame:
-    """Merge rows into the metrics table. The merge is written aside first, because a table
-    cannot be overwritten while it is read."""
-    aside = shared_dir(spark, "metrics")
-    overwrite_metrics(upsert_metrics(read_metrics(spark, f"{folder}/metrics"), fresh), aside)
-    overwrite_metrics(read_metrics(spark, aside), f"{folder}/metrics")
+    """Merge rows into the metrics table, which stays as it was until the merge is complete."""
+    merge_metrics(fresh, f"{folder}/metrics")
     return read_metrics(spark, f"{folder}/metrics")
 
 

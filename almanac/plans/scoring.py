@@ -68,11 +68,12 @@ def _bundle(spark: SparkSession, folder: str, key: str) -> training.Trained | No
         return None
 
 
-def score_requests(spark: SparkSession, requests: DataFrame, folder: str, user: Column | None = None) -> DataFrame:
+def score_requests(spark: SparkSession, requests: DataFrame, folder: str, user: Column | None = None, batch: str | None = None) -> DataFrame:
     """Check requests (series_id, year, month, day, model_key), score each with the stored model it
     names, and append the scored ones to the history. Returns every request with ``predicted``
     and ``reason``; one of them is NULL.
 
+    A job that may run again names its ``batch``, whose rows reach the history once.
     ``folder`` is that of the training jobs. The models asked for are few: only names that
     pass the check are looked up.
     """
@@ -95,5 +96,5 @@ def score_requests(spark: SparkSession, requests: DataFrame, folder: str, user:
         parts.append(part.withColumn("reason", F.when(unknown, "no series named").otherwise(F.col("reason"))))
     scored = stored(reduce(DataFrame.unionByName, parts), "scored")
     kept = scored.where("predicted is not null")
-    append_history(history_rows(kept, user if user is not None else F.lit(None).cast("long"), F.lit(None)), f"{folder}/history")
+    append_history(history_rows(kept, user if user is not None else F.lit(None).cast("long"), F.lit(None)), f"{folder}/history", batch)
     return scored

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from almanac.session import shared_dir
+from almanac.sources import commits
 
 METRIC_FIELDS = ["mae", "rmse", "r2_score", "accuracy_percent"]
 METRICS_SCHEMA = "model_key STRING, " + ", ".join(f"{m} DOUBLE" for m in METRIC_FIELDS)
@@ -56,11 +59,25 @@ def upsert_metrics(stored: DataFrame, fresh: DataFrame, key: str | list[str] = "
 
 
 def overwrite_metrics(metrics: DataFrame, path: str) -> None:
-    metrics.write.mode("overwrite").json(path)
+    """These rows as the whole table. Until they are complete, and if the job is lost, the old ones count."""
+    commits.commit(metrics.sparkSession, path, lambda _: metrics)
+
+
+def merge_metrics(fresh: DataFrame, path: str) -> None:
+    """The rows merged into the table, which may be absent; no other writer's rows are lost."""
+    spark = fresh.sparkSession
+
+    def merged(now: str | None) -> DataFrame:
+        return upsert_metrics(spark.read.schema(METRICS_SCHEMA).json(now), fresh) if now else fresh
+
+    commits.commit(spark, path, merged)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS_SCHEMA).json(path)
+    now = commits.current(spark, path)
+    if now is None:
+        raise FileNotFoundError(f"no metrics in {path}")
+    return spark.read.schema(METRICS_SCHEMA).json(now)
 
 
 def history_rows(scored: DataFrame, user: Column, historical: Column, created_at: Column | None = None) -> DataFrame:
@@ -77,5 +94,16 @@ def history_rows(scored: DataFrame, user: Column, historical: Column, created_at
     )
 
 
-def append_history(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+HISTORY_SCHEMA = (
+    "user_id BIGINT, year INT, month INT, day INT, predicted_value DOUBLE, historical_avg DOUBLE, created_at TIMESTAMP"
+)
+
+
+def append_history(rows: DataFrame, path: str, batch: str | None = None) -> bool:
+    """Append to the history: whether the rows were added. A job that may run again names its ``batch``, which is added once."""
+    return commits.append_batch(rows, path, batch or uuid.uuid4().hex)
+
+
+def read_history(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of the history that were completed."""
+    return commits.read_batches(spark, path, HISTORY_SCHEMA)

@@ -8,6 +8,7 @@ from almanac.operators.split import hashed_split
 from almanac.operators.windows import MONTHLY_ORDER
 from almanac.plans import jobs, scoring, training
 from almanac.plans import features as X
+from almanac.sources import sinks
 
 
 @pytest.fixture(scope="module")
@@ -91,7 +92,7 @@ def test_requests_are_checked_routed_scored_and_kept(spark, folder, tmp_path):
     assert out[1][0].predicted != out[2][0].predicted and out[3][0].predicted != out[4][0].predicted
     # Both series have a level of their own, which the daily models know from the lags.
     assert abs(out[3][0].predicted - 30) < 6
-    history = spark.read.parquet(f"{folder}/history")
+    history = sinks.read_history(spark, f"{folder}/history")
     assert history.count() == 6 and history.where("user_id = 7").count() == 6
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import json
 
 import pytest
@@ -9,7 +10,7 @@ from almanac.operators.relate import daily_with_covariates
 from almanac.operators.rollup import monthly_means
 from almanac.plans import requests as R
 from almanac.session import shared_dir
-from almanac.sources import raw, sinks
+from almanac.sources import commits, raw, sinks
 from almanac.sources.tables import COVARIATE_SCHEMA, covariate_columns, daily_series, read_csv
 
 
@@ -97,10 +98,72 @@ def test_history_appends(spark, tmp_path):
     path = str(tmp_path / "h")
     for _ in range(2):
         sinks.append_history(sinks.history_rows(scored, F.col("user"), F.lit(2.0)), path)
-    rows = spark.read.parquet(path).collect()
+    rows = sinks.read_history(spark, path).collect()
     assert len(rows) == 2 and rows[0].day is None and rows[0].created_at is not None
 
 
+def test_a_batch_is_appended_once(spark, tmp_path, monkeypatch):
+    scored = spark.createDataFrame([(7, 2024, 5, 1.5)], "user bigint, year int, month int, predicted double")
+    rows, path = sinks.history_rows(scored, F.col("user"), F.lit(2.0)), str(tmp_path / "h")
+    assert sinks.read_history(spark, path).count() == 0
+    assert sinks.append_history(rows, path, "may/1") and not sinks.append_history(rows, path, "may/1")
+    assert sinks.append_history(rows, path, "may/2")
+    assert sinks.read_history(spark, path).count() == 2
+    # A job lost between its rows and its marker leaves nothing that counts, and may run again.
+    with monkeypatch.context() as m:
+        m.setattr(commits, "create_once", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            sinks.append_history(rows, path, "june")
+    assert sinks.read_history(spark, path).count() == 2
+    assert sinks.append_history(rows, path, "june") and sinks.read_history(spark, path).count() == 3
+    # A marker that was never finished names no batch.
+    torn = tmp_path / "h" / "batches" / hashlib.sha256(b"july").hexdigest()
+    torn.write_text("half")
+    assert sinks.read_history(spark, path).count() == 3
+    assert sinks.append_history(rows, path, "july") and sinks.read_history(spark, path).count() == 4
+
+
+def _metrics(spark, key, mae):
+    return spark.createDataFrame([(key, mae, mae, 0.5, 50.0)], sinks.METRICS_SCHEMA)
+
+
+def _held(spark, path):
+    return {r.model_key: r.mae for r in sinks.read_metrics(spark, path).collect()}
+
+
+def test_metrics_survive_a_lost_job(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "m")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_metrics(spark, path)
+    sinks.merge_metrics(_metrics(spark, "a", 1.0), path)
+    with monkeypatch.context() as m:
+        m.setattr(commits, "create_once", lambda *_: (_ for _ in ()).throw(OSError("lost")))
+        for write in (sinks.merge_metrics, sinks.overwrite_metrics):
+            with pytest.raises(OSError, match="lost"):
+                write(_metrics(spark, "b", 2.0), path)
+    assert _held(spark, path) == {"a": 1.0}
+    (tmp_path / "m" / "current" / "00000002").write_text("torn")
+    assert _held(spark, path) == {"a": 1.0}
+    sinks.merge_metrics(_metrics(spark, "b", 2.0), path)
+    assert _held(spark, path) == {"a": 1.0, "b": 2.0}
+
+
+def test_two_writers_lose_nothing(spark, tmp_path):
+    path, calls = str(tmp_path / "m"), []
+    sinks.merge_metrics(_metrics(spark, "a", 1.0), path)
+
+    def slow(now):
+        calls.append(now)
+        merged = sinks.upsert_metrics(spark.read.schema(sinks.METRICS_SCHEMA).json(now), _metrics(spark, "slow", 3.0))
+        if len(calls) == 1:
+            # Another job merges its rows after this one has read the table.
+            sinks.merge_metrics(_metrics(spark, "quick", 2.0), path)
+        return merged
+
+    commits.commit(spark, path, slow)
+    assert len(calls) == 2 and _held(spark, path) == {"a": 1.0, "quick": 2.0, "slow": 3.0}
+
+
 def test_request_validation_vectors(spark):
     rows = [
         (1, 2024, 7, None, "sarimax"), (2, 1978, 5, None, "sarimax"), (3, 2101, 5, None, "sarimax"),
