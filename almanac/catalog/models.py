@@ -412,6 +412,12 @@ def augmented_dickey_fuller(spark, d):
     return settle(stationarity.augmented_dickey_fuller(P.supplier_monthly(spark, d)).drop("p_value"))
 
 
+@query("m21_long_dickey_fuller")
+def long_dickey_fuller(spark, d):
+    """The augmented test of daily series."""
+    return settle(stationarity.long_dickey_fuller(P.combined_daily(spark, d), windows.DAILY_ORDER))
+
+
 @query("m22_validation_report", check(
     f"""select qu.series_id, {r("n_rows * 100.0 / months", "completeness")}, missing, outliers, {r("t", "statistic")},
     cast(ad.lags as int) as used_lags, t <= {_AT_5PCT} as is_stationary, {r("ratio", "ratio")}, coalesce(ratio > 1.5, false) as is_seasonal,

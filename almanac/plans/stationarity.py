@@ -7,7 +7,7 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.operators.quality import quality_report
@@ -28,6 +28,10 @@ P_VALUE_MAX, P_VALUE_MIN, P_VALUE_STAR = 2.74, -18.83, -1.61
 P_VALUE_SMALL = [2.1659, 1.4412, 0.038269]
 P_VALUE_LARGE = [1.7339, 0.93202, -0.12745, -0.010368]
 
+TEST_SCHEMA = (
+    "series_id string, statistic double, p_value double, used_lags int, n int, critical_5pct double, is_stationary boolean"
+)
+
 
 def critical_value(n: Column, level: str = "5%") -> Column:
     b = CRITICAL_VALUES[level]
@@ -75,9 +79,11 @@ def _lagged(y: np.ndarray, lags: int) -> tuple[np.ndarray, np.ndarray]:
 def _augmented(y: np.ndarray) -> tuple[float, int, int] | None:
     """Statistic, lags used and rows used; lags chosen by AIC over one common sample."""
     n = len(y)
-    most = min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
+    most = most_lags(n)
     if most < 0 or np.ptp(y) == 0:
         return None
+    # The constant takes any level; about the mean, a large one does not swamp the design.
+    y = y - y.mean()
     # More lags only append columns, so one orthogonal basis gives the fit of every choice.
     target, design = _lagged(y, most)
     explained = np.cumsum((np.linalg.qr(design)[0].T @ target) ** 2)[1:]
@@ -100,12 +106,8 @@ def augmented_dickey_fuller(monthly: DataFrame) -> DataFrame:
     """Augmented test per series of a monthly frame.
 
     A series' months travel as one array, whose length the calendar bounds; batches of
-    series run in parallel. For daily data use ``dickey_fuller``.
+    series run in parallel. Longer series, such as daily ones: ``long_dickey_fuller``.
     """
-    schema = (
-        "series_id string, statistic double, p_value double, used_lags int, n int, "
-        "critical_5pct double, is_stationary boolean"
-    )
     ordered = F.sort_array(F.collect_list(F.struct("year", "month", "value")))
     series = (
         monthly.filter(F.col("value").isNotNull())
@@ -130,7 +132,117 @@ def augmented_dickey_fuller(monthly: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=names, dtype=object)
 
     names = ["series_id", "statistic", "p_value", "used_lags", "n", "critical_5pct", "is_stationary"]
-    return series.mapInPandas(test, schema)
+    return series.mapInPandas(test, TEST_SCHEMA)
+
+
+# --- Long series --------------------------------------------------------------------------
+# A series as rows, never as one array: the test needs the lag products of its differences and levels, and a few
+# values at its two ends. With d_t the difference at row t = 1..T and x_t the value before it, the products over the rows from
+# m + 1 on that have all m lags are those over all rows less the ones at the ends.
+
+
+def most_lags(n: int) -> int:
+    """The lags that a series of n values allows."""
+    return min(math.ceil(12.0 * (n / 100.0) ** 0.25), n // 2 - 2)
+
+
+def _products(r: np.ndarray, xd: np.ndarray, head: np.ndarray, tail: np.ndarray, sums: tuple[float, float], n: int, lags: int) -> np.ndarray:
+    """Cross-products of [1, x, d lagged 1..lags, d] over the rows that have all lags.
+
+    ``r`` and ``xd`` hold sums of d_t d_(t-k) and x_t d_(t-k) over all rows; ``head`` and ``tail`` the first and
+    last values of the series, more of them than lags; ``sums`` those of the values and of their squares.
+    """
+    first, last = np.diff(head), np.diff(tail)
+    out = np.empty((lags + 3, lags + 3))
+    of = [*range(1, lags + 1), 0]
+    for a, i in enumerate(of):
+        for b, j in enumerate(of[a:], a):
+            low, high = min(i, j), max(i, j)
+            k = high - low
+            # Rows s of the nearer difference that are left out: up to lags - low, and the last low ones.
+            before = sum(first[s - 1] * first[s - k - 1] for s in range(k + 1, lags - low + 1))
+            after = sum(last[len(last) - 1 - s] * last[len(last) - 1 - s - k] for s in range(low))
+            out[a + 2, b + 2] = out[b + 2, a + 2] = r[k] - before - after
+        out[a + 2, 1] = out[1, a + 2] = xd[i] - sum(head[s - 1] * first[s - i - 1] for s in range(i + 1, lags + 1))
+        # The differences add up to the values at the ends.
+        out[a + 2, 0] = out[0, a + 2] = tail[len(tail) - 1 - i] - head[lags - i]
+    total, squares = sums
+    out[0, 0] = n - 1 - lags
+    out[0, 1] = out[1, 0] = total - tail[-1] - head[:lags].sum()
+    out[1, 1] = squares - tail[-1] ** 2 - (head[:lags] ** 2).sum()
+    return out
+
+
+def _tested(row) -> tuple[float, int, int] | None:
+    """Statistic, lags used and rows used of one series; as ``_augmented``."""
+    n, head, tail = int(row.n), np.asarray(row.head, float), np.asarray(row.tail, float)
+    most = most_lags(n)
+    r, xd = np.asarray(row.r, float), np.asarray(row.xd, float)
+    if most < 0 or r[0] <= 0:
+        return None
+    sums = (float(row.total), float(row.squares))
+    whole = _products(r, xd, head, tail, sums, n, most)
+    used = n - 1 - most
+    try:
+        # Each further column of the factor takes one regressor out of the target, the last row.
+        factor = np.linalg.cholesky(whole)
+    except np.linalg.LinAlgError:
+        return None
+    sse = whole[-1, -1] - np.cumsum(factor[-1, :-1] ** 2)[1:]
+    if np.any(sse <= 1e-12 * whole[-1, -1]):
+        return None
+    lags = int(np.argmin(used * np.log(sse / used) + 2 * np.arange(2, most + 3)))
+    own = _products(r, xd, head, tail, sums, n, lags)
+    used, free = n - 1 - lags, n - 1 - lags - (lags + 2)
+    if free <= 0:
+        return None
+    inverse = np.linalg.pinv(own[:-1, :-1], hermitian=True)
+    coef = inverse @ own[:-1, -1]
+    variance = (own[-1, -1] - coef @ own[:-1, -1]) / free
+    return (float(coef[1] / math.sqrt(variance * inverse[1, 1])), lags, used) if variance > 0 else None
+
+
+def long_dickey_fuller(df: DataFrame, order: list[str]) -> DataFrame:
+    """The augmented test of series of any length: one row per series, NULLs where nothing could be tested.
+
+    Spark sums the lag products of every row; a task gets a few numbers per series, as many as
+    the lags that the longest series allows, and solves all lag orders from one factor.
+    """
+    w, whole = series_window(order), Window.partitionBy("series_id")
+    known = df.filter(F.col("value").isNotNull()).select(
+        "series_id", *order, F.row_number().over(w).alias("position"), F.count(F.lit(1)).over(whole).alias("n"),
+        # About the mean, so that products of large levels don't cancel.
+        (F.col("value") - F.avg("value").over(whole)).alias("y"),
+    )
+    longest = df.filter(F.col("value").isNotNull()).groupBy("series_id").count().agg(F.max("count")).first()[0] or 0
+    width = max(most_lags(longest), 0)
+    step = (F.col("y") - F.lag("y", 1).over(w)).alias("d")
+    steps = known.select("*", F.lag("y", 1).over(w).alias("x"), step)
+    lagged = steps.select("*", *[F.lag("d", k).over(w).alias(f"d{k}") if k else F.col("d").alias("d0") for k in range(width + 1)])
+    ends = lambda wanted: F.transform(F.sort_array(F.collect_list(F.when(wanted, F.struct("position", "y")))), lambda s: s["y"])
+    sums = lagged.groupBy("series_id").agg(
+        F.max("n").alias("n"), F.sum("y").alias("total"), F.sum(F.col("y") * F.col("y")).alias("squares"),
+        F.array(*[F.coalesce(F.sum(F.col("d0") * F.col(f"d{k}")), F.lit(0.0)) for k in range(width + 1)]).alias("r"),
+        F.array(*[F.coalesce(F.sum(F.col("x") * F.col(f"d{k}")), F.lit(0.0)) for k in range(width + 1)]).alias("xd"),
+        ends(F.col("position") <= width + 1).alias("head"),
+        ends(F.col("position") > F.col("n") - width - 1).alias("tail"),
+    )
+
+    def test(batches):
+        b = CRITICAL_VALUES["5%"]
+        for pdf in batches:
+            rows = []
+            for row in pdf.itertuples(index=False):
+                found = _tested(row)
+                if found is None:
+                    rows.append((row.series_id, None, None, None, None, None, False))
+                    continue
+                statistic, lags, n = found
+                p = p_value(statistic)
+                rows.append((row.series_id, statistic, p, lags, n, b[0] + b[1] / n + b[2] / n**2 + b[3] / n**3, p <= 0.05))
+            yield pd.DataFrame(rows, columns=[f.split()[0] for f in TEST_SCHEMA.split(", ")], dtype=object)
+
+    return sums.mapInPandas(test, TEST_SCHEMA)
 
 
 def validation_report(monthly: DataFrame, rows: DataFrame | None = None) -> DataFrame:

@@ -260,6 +260,24 @@ def test_dickey_fuller_tells_noise_from_a_walk(monthly):
     assert full[("flat",)].statistic is None
 
 
+def test_long_test_equals_the_one_over_arrays(monthly, daily):
+    """From lag products and a few values at the ends, for series of different lengths and large levels."""
+    rng = np.random.default_rng(31)
+    series = {f"s{n}": (1e6 * (n % 2) + np.cumsum(rng.normal(size=n)) * (0.2 if n % 3 else 1.0) + rng.normal(size=n)).tolist() for n in (9, 25, 60, 143, 300)}
+    series |= {"short": [1.0, 2.0, 4.0], "flat": [3.0] * 40, "gap": [None, *rng.normal(size=50).tolist(), None]}
+    df = monthly(series)
+    short, long = by(stationarity.augmented_dickey_fuller(df), "series_id"), by(stationarity.long_dickey_fuller(df, ["year", "month"]), "series_id")
+    assert set(long) == set(short) | {(k,) for k in ("short", "flat")}
+    for k, wanted in short.items():
+        got = long[k]
+        assert (got.used_lags, got.n, got.is_stationary) == (wanted.used_lags, wanted.n, wanted.is_stationary), k
+        assert got.statistic == pytest.approx(wanted.statistic, rel=1e-6) if wanted.statistic is not None else got.statistic is None
+    days = rng.normal(size=1800).cumsum() * 0.1 + rng.normal(size=1800)
+    row = stationarity.long_dickey_fuller(daily({"d": days.tolist()}), ["date"]).first()
+    statistic, lags, n = stationarity._augmented(days)
+    assert (row.used_lags, row.n) == (lags, n) and row.statistic == pytest.approx(statistic, rel=1e-8)
+
+
 def test_augmented_with_no_lag_equals_the_plain_test(monthly):
     y = np.random.default_rng(19).normal(size=80)
     plain = stationarity.dickey_fuller(monthly({"a": y})).first()
