@@ -11,6 +11,7 @@ rows included; columns other than the key and the text are not looked at.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import ahocorasick
@@ -98,46 +99,86 @@ def parse_expression(source: str) -> list[str] | None:
     return out + held[::-1]
 
 
+def _written(node: str | tuple) -> str:
+    """The text of an expression's tree with all brackets, without recursion."""
+    out, due = [], [node]
+    while due:
+        x = due.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            left, token, right = x
+            due += [")", right, f" {token} ", left, "("]
+    return "".join(out)
+
+
 def evaluate(postfix: list[str]) -> tuple[str, set[str], int] | None:
     """The expression with all brackets written, the identifiers it names, and its level: a choice
     (or) has the least level of its sides, a combination (and) the greatest, and an exception
     (with) lowers strong obligations to weak ones. None if an exception is not a plain name."""
-    stack: list[tuple[str, set[str], int]] = []
+    stack: list[tuple[str | tuple, int]] = []
+    named: Counter[str] = Counter()
     for token in postfix:
         if token not in _RANK:
-            stack.append((token, {token}, level_of(token)))
+            stack.append((token, level_of(token)))
+            named[token] += 1
             continue
-        right, left = stack.pop(), stack.pop()
-        text = f"({left[0]} {token} {right[0]})"
+        (right, right_level), (left, left_level) = stack.pop(), stack.pop()
         if token == "with":
-            if len(right[1]) != 1 or right[0] not in right[1]:
+            if not isinstance(right, str):
                 return None
-            stack.append((text, left[1], min(left[2], WEAK)))
+            # The exception is not a licence.
+            named[right] -= 1
+            level = min(left_level, WEAK)
+        else:
+            level = min(left_level, right_level) if token == "or" else max(left_level, right_level)
+        stack.append(((left, token, right), level))
+    tree, level = stack[0]
+    return _written(tree), set(+named), level
+
+
+_PART = re.compile(r"[ \t]*([()]|[a-z0-9][a-z0-9.+_-]*)")
+
+
+def complete_prefix(tokens: list[str]) -> int:
+    """How many of the tokens make the longest well-formed expression that starts them: one pass,
+    which remembers the last place with an operand given and no bracket open."""
+    best, operand = 0, True
+    # Of the brackets' inside: whether it has an operator, whether an exception is due, whether its operand is a plain name.
+    operator = due = plain = False
+    outside: list[tuple[bool, bool]] = []
+    for i, token in enumerate(tokens, 1):
+        if (token in _RANK or token == ")") == operand:
+            break
+        if token == "(":
+            outside.append((operator, due))
+            operator = due = False
+        elif token in _RANK:
+            operator, due, operand = True, token == "with", True
         else:
-            level = min(left[2], right[2]) if token == "or" else max(left[2], right[2])
-            stack.append((text, left[1] | right[1], level))
-    return stack[0]
+            if token == ")":
+                if not outside:
+                    break
+                plain = plain and not operator
+                operator, due = outside.pop()
+            else:
+                plain, operand = True, False
+            if due and not plain:
+                break
+            due = False
+            if not outside:
+                best = i
+    return best
 
 
 def leading_expression(line: str) -> tuple[str, set[str], int] | None:
     """The longest well-formed expression that the line starts with."""
     tokens, at = [], 0
-    while m := re.compile(r"[ \t]*([()]|[a-z0-9][a-z0-9.+_-]*)").match(line, at):
+    while m := _PART.match(line, at):
         tokens.append(m[1])
         at = m.end()
-    # A name that follows a complete operand ends the expression.
-    end, operand = 0, True
-    for token in tokens:
-        name = token not in _RANK and token not in "()"
-        if name and not operand:
-            break
-        operand = token in _RANK or token == "("
-        end += 1
-    for n in range(end, 0, -1):
-        postfix = parse_expression(" ".join(tokens[:n]))
-        if postfix and (found := evaluate(postfix)):
-            return found
-    return None
+    postfix = parse_expression(" ".join(tokens[: complete_prefix(tokens)]))
+    return evaluate(postfix) if postfix else None
 
 
 @lru_cache(maxsize=1)

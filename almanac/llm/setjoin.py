@@ -34,6 +34,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from almanac.llm import text as T
 from almanac.llm.graph import components
@@ -364,6 +366,18 @@ def link_classes(
 ) -> DataFrame:
     """(key, n_shingles, component_id): for every document the size of its set and the smallest
     key that links lead to, its own included."""
+    joined, none = _node_classes(docs, key, text, percent, family_percent, family_sets)
+    least = joined.groupBy("component").agg(F.min("key").alias("component_id"))
+    return (
+        joined.join(least, "component")
+        .select("key", "n", "component_id")
+        .unionAll(none.select("key", "n", F.col("key").alias("component_id")))
+        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    )
+
+
+def _node_classes(docs: DataFrame, key: str, text: str, percent: int, family_percent: int, family_sets: int) -> tuple[DataFrame, DataFrame]:
+    """(key, n, node, component) of every document with a set, and (key, n) of those without."""
     seen = _seen(docs, key, text, percent)
     documents = seen.where("n is not null").select("key", "n", "node")
     nodes = documents.where("n > 0").groupBy("node", "n").agg(F.min("key").alias("key"))
@@ -406,20 +420,53 @@ def link_classes(
 
     # An empty set is linked with nothing, its copies included.
     some, none = documents.where("n > 0"), documents.where("n = 0")
-    joined = some.join(final, "node", "left").select("key", "n", F.coalesce("component", "node").alias("component"))
-    least = joined.groupBy("component").agg(F.min("key").alias("component_id"))
-    return (
-        joined.join(least, "component")
-        .select("key", "n", "component_id")
-        .unionAll(none.select("key", "n", F.col("key").alias("component_id")))
-        .select(F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id")
-    )
+    joined = some.join(final, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component"))
+    return joined, none
+
+
+def _with_nodes(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows with their set's node, 0 for an empty set, as a column ``name`` at the end."""
+    schema = StructType(list(docs.schema.fields)).add(name, "long")
+    out = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in T.pieces(batch, text):
+                sets = shingle_sets(piece.column(piece.schema.get_field_index(text)))
+                nodes = pa.array([node_of(x) if len(x) else 0 for x in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays([*piece.columns, nodes], schema=out)
+
+    return docs.mapInArrow(run, schema)
 
 
 def first_of_class(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each class, that with the smallest key, with all its columns; documents with
-    empty sets and without key all stay."""
-    classes = link_classes(docs, key, text)
-    dropped = classes.where(F.col(key) != F.col("component_id")).select(F.col(key).alias("dropped"))
-    kept = docs.join(dropped, docs[key] == dropped["dropped"], "left_anti")
-    return kept
+    """One document of each class, with all its columns: of those with the smallest key that with the
+    least set hash, and of equal ones the least row; documents with empty sets and without key all stay.
+
+    A key that one row has alone decides for its row. Rows that share their key with others, which keys
+    are not meant to do, are told apart by their sets.
+    """
+    joined, none = _node_classes(docs, key, text, PERCENT, FAMILY_PERCENT, FAMILY_SETS)
+    joined = stored(joined.where(F.col("key").isNotNull()), "classes")
+    me = F.struct("key", "node")
+    first = joined.groupBy("component").agg(F.min(me).alias("first"))
+    judged = joined.join(first, "component").select("key", (me != F.col("first")).alias("later"))
+    empty = none.where(F.col("key").isNotNull()).select("key", F.lit(False).alias("later"))
+    by_key = judged.unionAll(empty).groupBy("key").agg(F.count(F.lit(1)).alias("rows"), F.max("later").alias("later"))
+    by_key = stored(by_key.where((F.col("rows") > 1) | F.col("later")), "keys")
+    settled = by_key.select("key")
+    kept = docs.join(settled, docs[key] == settled["key"], "left_anti")
+
+    node = "_node"
+    while node in docs.columns:
+        node += "_"
+    shared = by_key.where("rows > 1").select("key")
+    clashing = _with_nodes(docs.join(shared, docs[key] == shared["key"], "left_semi"), text, node)
+    winners = first.select("first.key", "first.node")
+    same = (clashing[key] == winners["key"]) & (clashing[node] == winners["node"])
+    # Equal sets of one key collapse to one row before they are dealt.
+    row = F.struct(*[F.col(c) for c in docs.columns]).alias("row")
+    chosen = clashing.join(winners, same, "left_semi").select(F.col(key).alias("k"), F.col(node).alias("n"), row)
+    chosen = chosen.groupBy("k", "n").agg(F.min("row").alias("row")).select("row.*")
+    blank = clashing.where(clashing[node] == 0).select(*docs.columns)
+    return kept.unionAll(chosen).unionAll(blank)

@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -82,3 +84,29 @@ def test_query_against_brute_force(spark):
 
 def test_empty_table(documents):
     assert licences.scan_licences(documents([])).count() == 0
+
+
+def test_long_lines_take_one_pass(spark):
+    """Hundreds of thousands of brackets and operators on a tag's line, within seconds."""
+    n = 100_000
+    lines = ["(" * 2 * n, "(" * n + "mit" + ")" * n, "mit or " * n + "(", "mit with x and " * n, "a with (" * n]
+    wanted = [[], ["mit"], None, None, ["a"]]
+    docs = spark.createDataFrame([(i, f"SPDX-License-Identifier: {x}\nend") for i, x in enumerate(lines)], "doc_id long, text string")
+    started = time.monotonic()
+    found = {r.doc_id: r.expressions for r in licences.scan_licences(docs).collect()}
+    assert time.monotonic() - started < 60
+    assert all(found[i] == w for i, w in enumerate(wanted) if w is not None)
+    assert found[2][0].count(" or ") == n - 1 and found[3][0].endswith("(mit with x))")
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_longest_prefix_against_trying_all(seed):
+    r = random.Random(seed)
+    for _ in range(3000):
+        tokens = [r.choice(["(", ")", "and", "or", "with", "mit", "gpl-2.0", "x"]) for _ in range(r.randrange(10))]
+        wanted = None
+        for n in range(len(tokens), 0, -1):
+            postfix = licences.parse_expression(" ".join(tokens[:n]))
+            if postfix and (wanted := licences.evaluate(postfix)):
+                break
+        assert licences.leading_expression(" ".join(tokens)) == wanted

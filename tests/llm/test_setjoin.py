@@ -93,8 +93,8 @@ def test_empty_tables_and_only_empty_texts(documents):
 def test_first_of_class_keeps_rows_whole(odd_documents, spark):
     kept = S.first_of_class(odd_documents)
     assert kept.columns == odd_documents.columns
-    # Texts 6 and 7 are equal; the empty ones and the one without key stay.
-    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted([r.doc_id for r in odd_documents.collect() if r.doc_id not in (None, 7)])
+    # Texts 6 and 7 are equal and the row of 4 is repeated; the empty ones and the one without key stay.
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({r.doc_id for r in odd_documents.collect()} - {None, 7})
     assert kept.where("doc_id is null").count() == 1
 
 
@@ -121,3 +121,20 @@ def test_components_of_paths_and_stars(spark):
         x, y = top(a), top(b)
         at[max(x, y)] = min(x, y)
     assert got == {i: top(i) for e in edges if e[0] != e[1] for i in e}
+
+
+def test_first_of_class_under_clashing_keys(spark):
+    """Rows that share a key are judged by their own texts; repeated rows leave one."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve thirteen"
+    c = " ".join(f"w{i}" for i in range(60))
+    near = c.replace("w59", "other")
+    rows = [
+        (1, a, "x"), (2, a, "x"), (2, b, "x"), (3, a, "x"), (3, a, "x"), (4, c, "q"), (4, c, "p"), (4, near, "p"), (5, near, "p"), (6, c, "p"),
+        (7, None, "n"), (7, "", "n"), (7, a, "n"), (None, a, "k"), (None, a, "k"), (8, None, "m"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _first string").repartition(4)
+    got = sorted((tuple(r) for r in S.first_of_class(df).collect()), key=str)
+    four = [r for r in got if r[0] == 4]
+    assert len(four) == 1 and (four[0][1] == near or four[0] == (4, c, "p"))
+    rest = [(1, a, "x"), (2, b, "x"), (7, None, "n"), (7, "", "n"), (None, a, "k"), (None, a, "k"), (8, None, "m")]
+    assert sorted((r for r in got if r[0] != 4), key=str) == sorted(rest, key=str)
