@@ -11,6 +11,7 @@ has an empty list. Offsets count code points from 0, the end excluded.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -142,44 +143,68 @@ BASE_KINDS = [k.name for k in KINDS if k.base]
 
 SPAN = "struct<kind:string,start:long,end:long,match:string,score:double>"
 
+# Every step is linear in the text and in its finds. A place costs a walk over the code points before it, so that stretches
+# of the text are cut from blocks of so many; running results are carried from chunk to chunk of so many.
+BLOCK, CHUNK = 1024, 256
 
-def _proposed(kind: Kind) -> Column:
-    """All matches with their places: what stands before each match, and the match."""
+
+def _running(values: Column, op: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array, the result of ``op`` over 0 and all before it."""
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<bigint>")
+
+    def fold(x: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        step = lambda a, v: F.struct(op(a["at"], v).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out"))
+        return F.aggregate(x, start, step)["out"]
+
+    last = F.floor((F.size(values) - 1) / CHUNK).cast("int")
+    chunks = F.transform(F.sequence(F.lit(0), last), lambda c: F.slice(values, c * CHUNK + 1, F.lit(CHUNK)))
+    carried = fold(F.transform(chunks, lambda c: F.aggregate(c, zero, op)), zero)
+    return F.when(F.size(values) > 0, F.flatten(F.zip_with(chunks, carried, fold))).otherwise(none)
+
+
+def _matches(kind: Kind) -> Column:
+    """All matches, each with what stands before it from the last one on."""
     text = F.col("text")
     # Splitting and finding see the same matches, so lengths add up to places.
     pairs = F.arrays_zip(F.split(text, kind.pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("match"))
-    found = F.aggregate(
-        pairs,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string>>").alias("spans")),
-        lambda a, p: F.when(p["match"].isNull(), a).otherwise(
-            F.struct(
-                (a["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("at"),
-                F.concat(
-                    a["spans"],
-                    F.array(
-                        F.struct(
-                            (a["at"] + F.length(p["gap"])).alias("start"),
-                            (a["at"] + F.length(p["gap"]) + F.length(p["match"])).alias("end"),
-                            p["match"].alias("match"),
-                        )
-                    ),
-                ).alias("spans"),
-            )
-        ),
-    )["spans"]
-    none = F.array().cast("array<struct<start:long,end:long,match:string>>")
+    found = F.filter(pairs, lambda p: p["match"].isNotNull())
     if not kind.trigger:
         return found
-    return F.when(F.contains(text, F.lit(kind.trigger)), found).otherwise(none)
+    return F.when(F.contains(text, F.lit(kind.trigger)), found).otherwise(F.array().cast("array<struct<gap:string,match:string>>"))
+
+
+def _proposed(frame: DataFrame) -> DataFrame:
+    """The rows with the places of each kind's matches (p_kind) and the blocks of the text, none without matches."""
+    names, columns = [k.name for k in KINDS], frame.columns
+    found = frame.select("*", *[_matches(k).alias(f"m_{k.name}") for k in KINDS])
+    size = lambda p: (F.length(p["gap"]) + F.length(p["match"])).cast("long")
+    sized = found.select("*", *[F.transform(f"m_{n}", size).alias(f"l_{n}") for n in names])
+    placed = sized.select("*", *[_running(F.col(f"l_{n}"), lambda x, y: x + y).alias(f"r_{n}") for n in names])
+
+    def span(p: Column, at: Column) -> Column:
+        start = at + F.length(p["gap"])
+        return F.struct(start.alias("start"), (start + F.length(p["match"])).alias("end"), p["match"].alias("match"))
+
+    spans = [F.zip_with(f"m_{n}", f"r_{n}", span).alias(f"p_{n}") for n in names]
+    some = reduce(lambda a, b: a | b, [F.size(f"m_{n}") > 0 for n in names])
+    blocks = F.when(some, F.regexp_extract_all("text", F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return placed.select(*columns, *spans, blocks.alias("blocks"))
+
+
+def _stretch(start: Column, end: Column) -> Column:
+    """The text from one place to another, cut from the blocks that hold it."""
+    first = F.floor(start / BLOCK).cast("int")
+    held = F.slice("blocks", first + 1, F.floor(end / BLOCK).cast("int") - first + 1)
+    return F.substr(F.array_join(held, ""), (start - first * BLOCK + 1).cast("int"), (end - start).cast("int"))
 
 
 def _scored(kind: Kind) -> Column:
     """The confirmed spans of a kind with their scores."""
-    text = F.col("text")
 
     def score(s: Column) -> Column:
-        before = F.substr(text, F.greatest(s["start"] - NEARBY + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(NEARBY)).cast("int"))
-        after = F.substr(text, (s["end"] + 1).cast("int"), F.lit(NEARBY))
+        before = _stretch(F.greatest(s["start"] - NEARBY, F.lit(0).cast("long")), s["start"])
+        after = _stretch(s["end"], s["end"] + NEARBY)
         near = F.concat(before, F.lit(" "), after).rlike(rf"(?i)\b(?:{kind.context})\b")
         return F.when(near, kind.score + CONTEXT_GAIN).otherwise(kind.score)
 
@@ -195,41 +220,30 @@ def _scored(kind: Kind) -> Column:
 
 def find_private(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, spans): kind, start, end, match and score of all finds, by kind as listed, then place."""
-    frame = docs.select(docs[key].alias(key), F.coalesce(docs[text], F.lit("")).alias("text"))
-    proposed = frame.select(key, "text", *[_proposed(k).alias(f"p_{k.name}") for k in KINDS])
-    return proposed.select(key, F.concat(*[_scored(k) for k in KINDS]).cast(f"array<{SPAN}>").alias("spans"))
+    frame = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
+    spans = F.concat(*[_scored(k) for k in KINDS]).cast(f"array<{SPAN}>")
+    return _proposed(frame).select(F.col("key").alias(key), spans.alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """The rows with every find replaced by its kind in brackets; a null text stays null.
 
-    Where finds overlap or touch, the stretch they cover is replaced once, by the kind that starts
+    Where finds overlap, the stretch they cover is replaced once, by the kind that starts
     first (the longest of these). ``length`` names a column to bring up to date, if there is one.
     """
     if length and length not in docs.columns:
         length = None
     frame = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.coalesce(docs[text], F.lit("")).alias("text"))
-    proposed = frame.select("row", "text", *[_proposed(k).alias(f"p_{k.name}") for k in KINDS])
-    spans = proposed.select("row", "text", F.concat(*[_scored(k) for k in KINDS]).alias("spans"))
-    ordered = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-    # What is kept so far and where the text goes on.
-    begun = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-    done = F.aggregate(
-        ordered,
-        begun,
-        lambda a, s: F.when(s["start"] < a["at"], F.struct(a["out"].alias("out"), F.greatest(a["at"], -s["back"]).alias("at"))).otherwise(
-            F.struct(
-                F.concat(
-                    a["out"],
-                    F.substr(F.col("text"), (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")),
-                    F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")),
-                ).alias("out"),
-                (-s["back"]).alias("at"),
-            )
-        ),
-        lambda a: F.concat(a["out"], F.substr(F.col("text"), (a["at"] + 1).cast("int"))),
-    )
-    clean = spans.select("row", F.when(F.col("row").getField(text).isNull(), F.lit(None)).when(F.size("spans") == 0, F.col("text")).otherwise(done).alias("clean"))
+    spans = _proposed(frame).select("row", "text", "blocks", F.concat(*[_scored(k) for k in KINDS]).alias("spans"))
+    each = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))
+    ordered = spans.withColumn("spans", F.array_sort(F.transform("spans", each))).withColumn("ends", F.transform("spans", lambda s: -s["back"]))
+    # How far the finds before each one reach; one that starts before that place is covered with them.
+    reached = ordered.withColumn("reach", _running(F.col("ends"), lambda x, y: F.greatest(x, y)))
+    joined = F.zip_with("spans", "reach", lambda s, r: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), r.alias("reach")))
+    heads = reached.withColumn("spans", F.filter(joined, lambda s: s["start"] >= s["reach"]))
+    written = F.transform("spans", lambda s: F.concat(_stretch(s["reach"], s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
+    done = F.concat(F.array_join(written, ""), _stretch(F.array_max("ends"), F.length("text").cast("long")))
+    clean = heads.select("row", F.when(F.col("row").getField(text).isNull(), F.lit(None)).when(F.size("spans") == 0, F.col("text")).otherwise(done).alias("clean"))
 
     def out(c: str) -> Column:
         if c == text:
