@@ -8,7 +8,13 @@ that have the same frequent words are neighbours, so that bounds are tight. Scor
 average length and document frequencies of all documents, so that the best of every
 shard merge into the exact result.
 
-The query set is worked through in blocks of bounded size, each broadcast to all tasks.
+Documents are searched in slices by a hash of their key, each several times as large as all before it.
+What a slice found bounds the k-th score of every query from below, and the next slice starts from
+these bounds: its tasks prune with them from their first block on, carry their own best from shard to shard,
+and hand on only what can still be among the best. So each slice hands on about as many rows as there are
+results, however many shards it has.
+
+The query set is worked through in blocks of bounded size, one after the other, each broadcast to all tasks.
 
 The score of a document is the sum over the query's distinct terms; terms are runs of digits,
 letters and anything beyond ASCII, lower-cased. Only documents with a common term are results.
@@ -29,6 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from almanac.llm import text as T
+from almanac.sources.sinks import stored
 
 K = 10
 K1, B = 1.2, 0.75
@@ -42,6 +49,9 @@ QUERY_BYTES = 16 << 20
 SORT_TERMS = 24
 # Bounds are sums of floats in another order than scores.
 SLACK = 1e-9
+# Documents in the first slice, and how many times as many each further one reaches up to.
+FIRST_SLICE, GROWTH = 4096, 4
+HASHES = 1 << 20
 
 
 @dataclass
@@ -114,19 +124,19 @@ class Shard:
         self.most = np.maximum.reduceat(self.score, self.first) if len(entry) else np.zeros(0)
         self.of_term = np.searchsorted(entry[self.first], np.arange(len(terms) + 1) * max(self.blocks, 1))
 
-    def search(self, query: np.ndarray, k: int, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and scores of the best k documents, equal scores by ``rank``."""
+    def search(self, query: np.ndarray, k: int, rank: np.ndarray, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Places and scores of the best k documents that score ``floor`` or more, equal scores by ``rank``."""
         entries = ranges(self.of_term[query], self.of_term[query + 1])
         block = self.entry_block[entries]
         bound = np.bincount(block, self.most[entries], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[bound[order] > 0]
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        worst, done, step = -np.inf, 0, FIRST_BLOCKS
-        while done < len(order) and bound[order[done]] >= worst - SLACK * abs(worst):
+        worst, done, step = floor, 0, FIRST_BLOCKS
+        while done < len(order) and bound[order[done]] >= worst - (SLACK * abs(worst) if worst > -np.inf else 0):
             # More and more blocks at a time, but none whose bound is below the k-th score.
             picked = order[done : done + step]
-            picked = picked[bound[picked] >= worst - SLACK * abs(worst)]
+            picked = picked[bound[picked] >= worst - (SLACK * abs(worst) if worst > -np.inf else 0)]
             done += step
             step *= 4
             chosen = np.zeros(self.blocks, bool)
@@ -135,14 +145,13 @@ class Shard:
             at = ranges(self.first[mine], self.after[mine])
             total = np.bincount(self.row[at], self.score[at], minlength=self.rows)
             hit = np.flatnonzero(total)
-            if len(scores) >= k:
-                hit = hit[total[hit] >= worst]
+            hit = hit[total[hit] >= worst - SLACK * abs(worst)] if worst > -np.inf else hit
             places = np.concatenate((places, hit))
             scores = np.concatenate((scores, total[hit]))
             best = np.lexsort((rank[places], -scores))[:k]
             places, scores = places[best], scores[best]
             if len(scores) == k:
-                worst = scores[-1]
+                worst = max(floor, scores[-1])
         return places, scores
 
 
@@ -182,47 +191,79 @@ def search(
     part = F.pmod(F.xxhash64("q", "t"), F.lit(max(parts, 1)))
     frame = docs.select(docs[key].alias("key"), docs[text].alias("text"))
     kinds = queries.schema[query_key].dataType.simpleString(), docs.schema[key].dataType.simpleString()
-    ddl = f"part int, number int, q {kinds[0]}, key {kinds[1]}, score double"
+    ddl = f"number int, q {kinds[0]}, key {kinds[1]}, score double"
     schema = T.arrow_schema(ddl)
 
+    order = Window.partitionBy("number").orderBy(F.col("score").desc(), F.col("key").asc_nulls_last())
+
     def block(number: int) -> DataFrame:
+        """The best k documents of a block's queries."""
         context = docs.sparkSession.sparkContext
         held = context.broadcast(read_queries(asked.where(part == number).collect()))
         n, average, df = _statistics(docs, key, text, held)
         idf = context.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
+        best, floors, reached = None, np.full(len(held.value.keys), -np.inf), 0
+        documents = FIRST_SLICE
+        while best is None or reached < HASHES:
+            upto = HASHES if documents >= n else int(HASHES * documents / n)
+            place = F.pmod(F.xxhash64("key"), F.lit(HASHES))
+            slice_ = frame.where((place >= reached) & (place < upto))
+            at_least = context.broadcast(floors)
+            found = slice_.mapInArrow(_searching(held, idf, at_least, average, k, shard_bytes, schema), ddl)
+            every = found if best is None else best.unionAll(found)
+            best = stored(every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank"), "best")
+            if upto < HASHES:
+                # One number for each query of the block.
+                for r in best.groupBy("number").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") == k).toLocalIterator():
+                    floors[r["number"]] = r["score"]
+            at_least.unpersist()
+            reached, documents = upto, documents * GROWTH
+        held.unpersist()
+        idf.unpersist()
+        return best.withColumn("rank", F.row_number().over(order))
+
+    blocks = [block(i) for i in range(parts)]
+    if not blocks:
+        blocks = [docs.sparkSession.createDataFrame([], f"{ddl}, rank int")]
+    found = reduce(DataFrame.unionAll, blocks)
+    return found.select(F.col("q").alias(query_key), "rank", F.col("key").alias(key), "score")
+
 
-        def answer(keys: list, texts: list[pa.Array]) -> Iterator[pa.RecordBatch]:
-            q = held.value
+def _searching(held, idf, at_least, average: float, k: int, shard_bytes: int, schema: pa.Schema):
+    """A task's search: its documents in shards, the best k of all of them for each query, if they can still be results."""
+    ordered = lambda x: (-x[0], x[1] is None, x[1])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, floors = held.value, at_least.value.copy()
+        best: list[list[tuple]] = [[] for _ in q.keys]
+
+        def answer(keys: list, texts: list[pa.Array]) -> None:
             shard = Shard(texts, q.terms, idf.value, average)
             own = [keys[i] for i in shard.order]
             rank = np.empty(len(own), np.int64)
             rank[sorted(range(len(own)), key=lambda i: (own[i] is None, own[i]))] = np.arange(len(own))
-            out = []
             for i in range(len(q.keys)):
-                places, scores = shard.search(q.members[q.offsets[i] : q.offsets[i + 1]], k, rank)
-                out += [(number, i, q.keys[i], own[p], s) for p, s in zip(places.tolist(), scores.tolist(), strict=True)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys: list = []
-            texts: list[pa.Array] = []
-            size = 0
-            for batch in batches:
-                for piece in T.pieces(batch):
-                    keys += piece.column(0).to_pylist()
-                    texts.append(piece.column(1))
-                    size += piece.column(1).nbytes
-                    if size >= shard_bytes:
-                        yield from answer(keys, texts)
-                        keys, texts, size = [], [], 0
-            if keys:
-                yield from answer(keys, texts)
-
-        return frame.mapInArrow(run, ddl)
-
-    blocks = [block(i) for i in range(parts)]
-    found = reduce(DataFrame.unionAll, blocks) if blocks else docs.sparkSession.createDataFrame([], ddl)
-    order = Window.partitionBy("part", "number").orderBy(F.col("score").desc(), F.col("key").asc_nulls_last())
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select(F.col("q").alias(query_key), "rank", F.col("key").alias(key), "score")
+                places, scores = shard.search(q.members[q.offsets[i] : q.offsets[i + 1]], k, rank, floors[i])
+                if len(places):
+                    best[i] = sorted([*best[i], *zip(scores.tolist(), (own[p] for p in places), strict=True)], key=ordered)[:k]
+                    if len(best[i]) == k:
+                        floors[i] = max(floors[i], best[i][-1][0])
+
+        keys: list = []
+        texts: list[pa.Array] = []
+        size = 0
+        for batch in batches:
+            for piece in T.pieces(batch):
+                keys += piece.column(0).to_pylist()
+                texts.append(piece.column(1))
+                size += piece.column(1).nbytes
+                if size >= shard_bytes:
+                    answer(keys, texts)
+                    keys, texts, size = [], [], 0
+        if keys:
+            answer(keys, texts)
+        out = [(i, q.keys[i], key, score) for i, found in enumerate(best) for score, key in found]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return run

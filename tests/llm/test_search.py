@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 
 from almanac.llm import search as S
@@ -47,8 +48,9 @@ def same(got, wanted):
     assert len(differ) <= len(got) // 50
 
 
-@pytest.mark.parametrize("shard_bytes", [1 << 20, 2000])
-def test_results_equal_scoring_everything(spark, shard_bytes):
+@pytest.mark.parametrize(("shard_bytes", "first"), [(1 << 20, S.FIRST_SLICE), (2000, 20)])
+def test_results_equal_scoring_everything(spark, monkeypatch, shard_bytes, first):
+    monkeypatch.setattr(S, "FIRST_SLICE", first)
     r = random.Random(3)
     vocabulary = ["w%d" % i for i in range(400)]
     weights = [1 / (i + 1) for i in range(400)]
@@ -80,6 +82,41 @@ def test_pruning_skips_blocks(spark):
     assert sum(seen[1:]) < 0.5 * len(shard.score)
 
 
+def test_later_slices_hand_on_little(spark, monkeypatch):
+    """Rows that tasks hand on follow the number of results, not that of shards."""
+    monkeypatch.setattr(S, "FIRST_SLICE", 100)
+    r = random.Random(7)
+    docs = [(i, " ".join(f"w{int(r.random() ** 2 * 300)}" for _ in range(30))) for i in range(3200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    q = df.where("doc_id % 100 = 0").selectExpr("doc_id as query_id", "text")
+    handed, stored = [], S.stored
+
+    def counting(frame, purpose):
+        out = stored(frame, purpose)
+        handed.append(out.count())
+        return out
+
+    found = []
+    searching = S._searching
+
+    def watched(*a):
+        run = searching(*a)
+        found.append(a)
+        return run
+
+    monkeypatch.setattr(S, "stored", counting)
+    monkeypatch.setattr(S, "_searching", watched)
+    got = S.search(df, q, shard_bytes=2000).collect()
+    assert handed == [320] * 4
+    same([tuple(x) for x in got], brute(docs, [x for x in docs if x[0] % 100 == 0], S.K))
+    # The last slice, three quarters of all documents, from the bounds of the others.
+    held, idf, floors, *rest = found[-1]
+    assert np.isfinite(floors.value).all()
+    place = S.F.pmod(S.F.xxhash64("doc_id"), S.F.lit(S.HASHES))
+    last = df.where(place >= int(S.HASHES * 1600 / 3200)).selectExpr("doc_id as key", "text")
+    assert last.mapInArrow(searching(held, idf, floors, *rest), "number int, q long, key long, score double").count() < 3 * 320
+
+
 def test_odd_texts_and_empty_tables(odd_documents, documents, spark):
     q = odd_documents.selectExpr("doc_id as query_id", "text")
     assert S.search(odd_documents, q).where("query_id = 4 and rank = 1").count() == 1
