@@ -659,6 +659,28 @@ def stacking_ensemble(spark, d):
     return settle(metrics.regression_metrics(stacked.predict(rows), ["split"], "value"))
 
 
+@query("m7_ridge_stage", check(
+    f"""select 'climatology' as feature, {r("w1", "weight")} from w union all select 'lag_12', {r("w2", "w")} from w
+    union all select 'intercept', {r("my - w1 * m1 - w2 * m2", "w")} from w""",
+    "qm", **backtest_steps("qm"),
+    su="""select avg(actual) as my, avg(base) as m1, avg(lag12) as m2, count(*) * var_pop(base) + 0.1 as a, count(*) * var_pop(lag12) + 0.1 as d,
+        count(*) * covar_pop(base, lag12) as b, count(*) * covar_pop(base, actual) as p, count(*) * covar_pop(lag12, actual) as q
+        from te where base is not null and lag12 is not null and actual is not null""",
+    w="select *, (p * d - q * b) / (a * d - b * b) as w1, (q * a - p * b) / (a * d - b * b) as w2 from su"))
+def ridge_stage(spark, d):
+    """The stacking ensemble's last stage, a ridge regression of alpha 0.1, over predictions of rows that their models did not see."""
+    names = ["climatology", "lag_12"]
+    held_out = (
+        forecasts.backtest_baselines(P.quantity_monthly(spark, d))
+        .groupBy("series_id", "year", "month", "actual").pivot("model_key", names).agg(F.max("predicted")).dropna()
+    )
+    held_out = training.training_rows(held_out)
+    model = training.fit(held_out, names, training.ridge(held_out, 0.1, "actual").setLabelCol("actual"), scaled=False).stages[-1]
+    held_out.unpersist()
+    weights = [*zip(names, map(float, model.coefficients)), ("intercept", float(model.intercept))]
+    return settle(spark.createDataFrame(weights, "feature string, weight double"))
+
+
 _F_FEATURES = ["value_lag_1", "value_lag_7", "value_lag_30", "value_ma_7", "temperature", "humidity"]
 
 
@@ -790,6 +812,23 @@ def evaluate_stored(spark, d):
     return settle(training.evaluate(loaded.model, rows))
 
 
+@query("t3_single_split", check(
+    f"""select f as feature, cast(f = (select arg_max(f, gain) from gains) as int) * 1.0::double as importance
+    from (select unnest(['month', 'year']) as f)""",
+    "sm",
+    cuts="select 'month' as f, month as x, value from sm where value is not null union all select 'year', year, value from sm where value is not null",
+    gains="""select f, max(sl * sl / nl + (s - sl) * (s - sl) / (n - nl)) as gain from (
+        select f, x, sum(sum(value)) over w as sl, sum(count(*)) over w as nl, sum(sum(value)) over (partition by f) as s,
+        sum(count(*)) over (partition by f) as n from cuts group by f, x window w as (partition by f order by x))
+        where nl < n group by f"""))
+def single_split_importance(spark, d):
+    """A tree of one split gives all importance to the feature that it cuts."""
+    rows = training.training_rows(P.supplier_monthly(spark, d).filter(F.col("value").isNotNull()))
+    model = training.fit(rows, ["month", "year"], training.random_forest(trees=1, depth=1, leaf=1, features="all", bootstrap=False))
+    rows.unpersist()
+    return training.feature_importance(model, ["month", "year"])
+
+
 @query("t3_feature_importance")
 def feature_importance(spark, d):
     rows, features = _split_frame(spark, d, "basic")
