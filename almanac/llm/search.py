@@ -11,8 +11,8 @@ shard merge into the exact result.
 Documents are searched in slices by a hash of their key, each several times as large as all before it.
 What a slice found bounds the k-th score of every query from below, and the next slice starts from
 these bounds: its tasks prune with them from their first block on, carry their own best from shard to shard,
-and hand on only what can still be among the best. So each slice hands on about as many rows as there are
-results, however many shards it has.
+and hand on only what can still be among the best. The first slice has no bounds yet and is gathered in a few
+tasks. So each slice hands on a few times as many rows as there are results, however many shards it has.
 
 The query set is worked through in blocks of bounded size, one after the other, each broadcast to all tasks.
 
@@ -25,6 +25,7 @@ looked at.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -51,6 +52,8 @@ SORT_TERMS = 24
 SLACK = 1e-9
 # Documents in the first slice, and how many times as many each further one reaches up to.
 FIRST_SLICE, GROWTH = 4096, 4
+# Least number of tasks for the first slice; more if its texts fill more shards.
+FIRST_TASKS = 4
 HASHES = 1 << 20
 
 
@@ -161,8 +164,8 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
-def _statistics(docs: DataFrame, key: str, text: str, held) -> tuple[int, float, np.ndarray]:
-    """Number of documents, their average length, and each term's document frequency."""
+def _statistics(docs: DataFrame, key: str, text: str, held) -> tuple[int, float, float, np.ndarray]:
+    """Number of documents, their average length in words and in bytes, and each term's document frequency."""
     rows = T.map_texts(docs, key, text, "term int, n long", lambda piece: _counts(piece, held.value.terms), T.PIECE_BYTES * 4)
     counted = rows.groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = {r["term"]: r["n"] for r in counted}
@@ -170,14 +173,16 @@ def _statistics(docs: DataFrame, key: str, text: str, held) -> tuple[int, float,
     for term, n in found.items():
         if term >= 0:
             df[term] = n
-    return found.get(-1, 0), found.get(-2, 0) / max(found.get(-1, 0), 1), df
+    n = found.get(-1, 0)
+    return n, found.get(-2, 0) / max(n, 1), found.get(-3, 0) / max(n, 1), df
 
 
 def _counts(piece: pa.RecordBatch, terms: np.ndarray) -> dict:
-    """Document frequencies in a piece; the number of documents as term -1, that of words as -2."""
+    """Document frequencies in a piece; the number of documents as term -1, that of words as -2, that of bytes as -3."""
     term, _, _, lengths = term_rows(piece.column(1), terms)
     known, n = np.unique(term, return_counts=True)
-    return {"term": np.concatenate((known, [-1, -2])).astype(np.int32), "n": np.concatenate((n, [len(lengths), lengths.sum()])).astype(np.int64)}
+    sums = [len(lengths), lengths.sum(), piece.column(1).nbytes]
+    return {"term": np.concatenate((known, [-1, -2, -3])).astype(np.int32), "n": np.concatenate((n, sums)).astype(np.int64)}
 
 
 def search(
@@ -200,7 +205,7 @@ def search(
         """The best k documents of a block's queries."""
         context = docs.sparkSession.sparkContext
         held = context.broadcast(read_queries(asked.where(part == number).collect()))
-        n, average, df = _statistics(docs, key, text, held)
+        n, average, width, df = _statistics(docs, key, text, held)
         idf = context.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
         best, floors, reached = None, np.full(len(held.value.keys), -np.inf), 0
         documents = FIRST_SLICE
@@ -208,6 +213,8 @@ def search(
             upto = HASHES if documents >= n else int(HASHES * documents / n)
             place = F.pmod(F.xxhash64("key"), F.lit(HASHES))
             slice_ = frame.where((place >= reached) & (place < upto))
+            if best is None and upto < HASHES:
+                slice_ = slice_.repartition(max(FIRST_TASKS, math.ceil(width * documents / shard_bytes)))
             at_least = context.broadcast(floors)
             found = slice_.mapInArrow(_searching(held, idf, at_least, average, k, shard_bytes, schema), ddl)
             every = found if best is None else best.unionAll(found)

@@ -117,6 +117,32 @@ def test_later_slices_hand_on_little(spark, monkeypatch):
     assert last.mapInArrow(searching(held, idf, floors, *rest), "number int, q long, key long, score double").count() < 3 * 320
 
 
+def test_first_slice_hands_on_little(spark, monkeypatch):
+    """Tasks that have no bounds to start from are few, however many hold the documents."""
+    monkeypatch.setattr(S, "FIRST_SLICE", 1600)
+    r = random.Random(8)
+    docs = [(i, " ".join(f"w{int(r.random() ** 2 * 300)}" for _ in range(30))) for i in range(3200)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(16)
+    q = df.where("doc_id % 100 = 0").selectExpr("doc_id as query_id", "text")
+    handed, searching = [], S._searching
+
+    def watched(*a):
+        run, rows = searching(*a), spark.sparkContext.accumulator(0)
+        handed.append(rows)
+
+        def counting(batches):
+            for batch in run(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return counting
+
+    monkeypatch.setattr(S, "_searching", watched)
+    got = S.search(df, q).collect()
+    assert len(handed) == 2 and 320 <= handed[0].value <= 320 * S.FIRST_TASKS
+    same([tuple(x) for x in got], brute(docs, [x for x in docs if x[0] % 100 == 0], S.K))
+
+
 def test_odd_texts_and_empty_tables(odd_documents, documents, spark):
     q = odd_documents.selectExpr("doc_id as query_id", "text")
     assert S.search(odd_documents, q).where("query_id = 4 and rank = 1").count() == 1
