@@ -76,6 +76,19 @@ def read_queries(rows: list) -> Queries:
     return Queries([r[0] for r in rows], terms, np.searchsorted(both, np.arange(len(rows) + 1) * n), both % n)
 
 
+def places_of(terms: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """As ``np.searchsorted(terms, h)``, for hashes: the first bits of each name the few places where it can stand."""
+    bits = min(len(terms).bit_length() + 2, 24)
+    shift = np.uint64(64 - bits)
+    n = np.bincount((terms >> shift).astype(np.int64), minlength=1 << bits)
+    at = (np.cumsum(n) - n)[(h >> shift).astype(np.int64)]
+    left = np.flatnonzero(at < len(terms))
+    while len(left := left[terms[at[left]] < h[left]]):
+        at[left] += 1
+        left = left[at[left] < len(terms)]
+    return at
+
+
 def term_rows(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(term, row, frequency) of the given terms, by term and row, and the number of words of each row."""
     w = T.words_of(texts, T.ALNUM)
@@ -84,7 +97,7 @@ def term_rows(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarra
     if not len(terms) or not len(h):
         none = np.zeros(0, np.int64)
         return none, none, none, lengths
-    at = np.minimum(np.searchsorted(terms, h), len(terms) - 1)
+    at = np.minimum(places_of(terms, h), len(terms) - 1)
     known = terms[at] == h
     both, count = np.unique(at[known] * len(lengths) + w.rows()[known], return_counts=True)
     return both // len(lengths), both % len(lengths), count, lengths
@@ -115,8 +128,8 @@ class Shard:
         place = np.empty(before, np.int64)
         place[self.order] = np.arange(before)
         row = place[row]
-        by = np.argsort(term * max(before, 1) + row, kind="stable")
-        term, self.row, often, length = term[by], row[by].astype(np.int32), often[by], length[self.order]
+        by = np.argsort(term * max(before, 1) + row)
+        term, self.row, often, length = term[by], row[by], often[by], length[self.order]
         norm = K1 * (1 - B + B * length / max(average, 1e-9))
         self.score = idf[term] * often * (K1 + 1) / (often + norm[self.row])
         self.blocks = -(-before // BLOCK)
@@ -147,8 +160,7 @@ class Shard:
             mine = entries[chosen[block]]
             at = ranges(self.first[mine], self.after[mine])
             total = np.bincount(self.row[at], self.score[at], minlength=self.rows)
-            hit = np.flatnonzero(total)
-            hit = hit[total[hit] >= worst - SLACK * abs(worst)] if worst > -np.inf else hit
+            hit = np.flatnonzero(total >= worst - SLACK * abs(worst) if worst > 0 else total)
             places = np.concatenate((places, hit))
             scores = np.concatenate((scores, total[hit]))
             best = np.lexsort((rank[places], -scores))[:k]
@@ -161,7 +173,9 @@ class Shard:
 def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """start[0] .. stop[0] - 1, start[1] .. stop[1] - 1, and so on."""
     n = stop - start
-    return np.arange(int(n.sum())) + np.repeat(start - (np.cumsum(n) - n), n)
+    out = np.repeat(start - (np.cumsum(n) - n), n)
+    out += np.arange(len(out))
+    return out
 
 
 def _statistics(docs: DataFrame, key: str, text: str, held) -> tuple[int, float, float, np.ndarray]:

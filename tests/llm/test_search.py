@@ -3,9 +3,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from almanac.llm import search as S
+from almanac.llm import text as T
 from almanac.llm.queries import QUERIES
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -63,6 +65,33 @@ def test_results_equal_scoring_everything(spark, monkeypatch, shard_bytes, first
     same([tuple(x) for x in got], brute(docs, [(a, b or "") for a, b in queries], 7))
 
 
+@pytest.mark.parametrize("n", [1, 2, 5, 1000, 50_000])
+@pytest.mark.parametrize("top", [1 << 16, 1 << 64])
+def test_places_of_words_equal_a_binary_search(n, top):
+    """Hashes that are spread, and some whose first bits are all alike."""
+    r = np.random.default_rng(n)
+    draw = lambda k: r.integers(0, top, k, dtype=np.uint64, endpoint=top < 1 << 64)
+    known = np.unique(draw(min(n, 200) if top < 1 << 64 else n))
+    h = np.concatenate((known, draw(3000), np.array([0, (1 << 64) - 1], np.uint64)))
+    assert (S.places_of(known, h) == np.searchsorted(known, h)).all()
+
+
+def test_words_are_not_searched_one_by_one(monkeypatch):
+    """Terms are found by the first bits of their hashes; a binary search of every word took much of the time."""
+    texts = pa.array(["one two three two", None, "four two", ""])
+    terms = np.unique(T.words_of(pa.array(["two four five"]), T.ALNUM).hashes())
+    wanted = S.term_rows(texts, terms)
+    searched, original = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest: searched.append(a is terms) or original(a, v, *rest))
+    got = S.term_rows(texts, terms)
+    assert not any(searched)
+    assert all((x == y).all() for x, y in zip(got, wanted, strict=True))
+    rows = {(int(terms[t]), int(r)): int(f) for t, r, f in zip(*got[:3], strict=True)}
+    two, four = (int(x) for x in T.words_of(pa.array(["two four"]), T.ALNUM).hashes())
+    assert rows == {(two, 0): 2, (two, 2): 1, (four, 2): 1}
+    assert got[3].tolist() == [4, 0, 2, 0]
+
+
 def test_pruning_skips_blocks(spark):
     """A copy of a query leaves little to score."""
     import numpy as np
