@@ -4,7 +4,13 @@ Each task indexes its documents in shards of bounded size. A shard's postings ar
 of ``BLOCK`` neighbouring documents, each list keeping its greatest score in every block. For a
 query, the sum of these maxima bounds every score in a block; blocks are scored in descending
 order of the bound, and as soon as the k-th best score exceeds it, the rest is skipped. Documents
-that have the same frequent words are neighbours, so that bounds are tight. Scores use the number,
+that have the same frequent words are neighbours, so that bounds are tight.
+
+Maxima of terms that most blocks hold would say little. So the scores of a shard's most frequent terms
+also stand in a matrix, whose product with many queries at once gives each document's sum of them; the
+greatest one of a block goes into its bound. Where a k-th score is known, the scores of the rarer terms then
+take the place of their maxima, and only blocks with a document that can still be a result are scored in full.
+The matrix has single precision and only bounds; scores come from the postings. Scores use the number,
 average length and document frequencies of all documents, so that the best of every
 shard merge into the exact result.
 
@@ -26,7 +32,7 @@ looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -48,6 +54,11 @@ SHARD_BYTES = 12 << 20
 QUERY_BYTES = 16 << 20
 # The most frequent terms by which a shard's documents are ordered.
 SORT_TERMS = 24
+# A term in more than one of so many documents of a shard is frequent.
+FREQUENT = 32
+# Most cells of a shard's matrix of frequent terms and documents (the less frequent ones beyond that count as rare),
+# of its product with some queries, and most entries of these queries; a single query may have more.
+CELLS = 1 << 21
 # Bounds are sums of floats in another order than scores.
 SLACK = 1e-9
 # Documents in the first slice, and how many times as many each further one reaches up to.
@@ -118,7 +129,8 @@ class Shard:
         self.rows = before
         # Documents with the same frequent terms become neighbours.
         df = np.bincount(term, minlength=len(terms))
-        marks = np.argsort(-df, kind="stable")[:SORT_TERMS]
+        common = np.argsort(-df, kind="stable")
+        marks = common[:SORT_TERMS]
         bit = np.full(len(terms), -1)
         bit[marks] = np.arange(len(marks))
         mine = bit[term] >= 0
@@ -139,28 +151,92 @@ class Shard:
         self.entry_block = entry[self.first] % max(self.blocks, 1)
         self.most = np.maximum.reduceat(self.score, self.first) if len(entry) else np.zeros(0)
         self.of_term = np.searchsorted(entry[self.first], np.arange(len(terms) + 1) * max(self.blocks, 1))
+        # The most frequent terms' scores as a matrix, and the place of their entry for each block.
+        common = common[: CELLS // max(self.blocks * BLOCK, 1)]
+        common = common[df[common] * FREQUENT > before]
+        if len(common) < BLOCK:
+            # Maxima are fewer than the matrix's sums then, as for very many short texts.
+            common = common[:0]
+        self.slot = np.full(len(terms), -1)
+        self.slot[common] = np.arange(len(common))
+        slot = self.slot[term]
+        self.matrix = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.matrix[slot[slot >= 0], self.row[slot >= 0]] = self.score[slot >= 0]
+        slot = slot[self.first]
+        self.entry_at = np.full((len(common), self.blocks), -1)
+        self.entry_at[slot[slot >= 0], self.entry_block[slot >= 0]] = np.flatnonzero(slot >= 0)
 
     def search(self, query: np.ndarray, k: int, rank: np.ndarray, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the best k documents that score ``floor`` or more, equal scores by ``rank``."""
-        entries = ranges(self.of_term[query], self.of_term[query + 1])
-        block = self.entry_block[entries]
-        bound = np.bincount(block, self.most[entries], minlength=self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
+        return next(self.search_all(query, np.array([0, len(query)]), k, rank, [floor]))
+
+    def search_all(
+        self, members: np.ndarray, offsets: np.ndarray, k: int, rank: np.ndarray, floors: Sequence[float]
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for each of many queries, query i of the terms members[offsets[i]] up to members[offsets[i + 1]]."""
+        rare = np.where(self.slot[members] < 0, self.of_term[members + 1] - self.of_term[members], 0)
+        many = np.r_[0, np.cumsum(rare)][offsets]
+        at = 0
+        while at < len(offsets) - 1:
+            # As many queries at a time as keep the arrays small.
+            to = min(at + CELLS // max(self.matrix.shape), int(np.searchsorted(many, many[at] + CELLS, "right")) - 1)
+            to = max(at + 1, to)
+            cut = offsets[at : to + 1] - offsets[at]
+            asked = members[offsets[at] : offsets[to]]
+            bounds, partial, entries = self._bounds(asked, cut)
+            own = many[at : to + 1] - many[at]
+            for i, (bound, part) in enumerate(zip(bounds, partial, strict=True)):
+                yield self._best(asked[cut[i] : cut[i + 1]], k, rank, floors[at + i], bound, part, entries[own[i] : own[i + 1]])
+            at = to
+
+    def _bounds(self, members: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By query: the most that a document of each block can score, and that each document can by frequent terms; entries of all others."""
+        n = len(offsets) - 1
+        query, slot = np.repeat(np.arange(n), np.diff(offsets)), self.slot[members]
+        known = slot >= 0
+        asked = np.zeros((n, len(self.matrix)), np.float32)
+        asked[query[known], slot[known]] = 1
+        partial = np.zeros((n, self.blocks, 1), np.float32)
+        if len(self.matrix):
+            partial = (asked @ self.matrix).reshape(n, self.blocks, BLOCK)
+            # A sum of m numbers of 24 bits is short by less than m + 1 roundings.
+            partial *= np.float32(1 + (len(self.matrix) + 3) * 2.0**-23)
+        rare = members[~known]
+        start, stop = self.of_term[rare], self.of_term[rare + 1]
+        entries = ranges(start, stop)
+        cell = np.repeat(query[~known] * self.blocks, stop - start) + self.entry_block[entries]
+        most = np.bincount(cell, self.most[entries], minlength=n * self.blocks).reshape(n, self.blocks)
+        return most + partial.max(axis=2), partial, entries
+
+    def _best(
+        self, query: np.ndarray, k: int, rank: np.ndarray, floor: float, bound: np.ndarray, partial: np.ndarray, entries: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` by one query's bounds, partial scores and entries as of ``_bounds``."""
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        worst, done, step = floor, 0, FIRST_BLOCKS
-        while done < len(order) and bound[order[done]] >= worst - (SLACK * abs(worst) if worst > -np.inf else 0):
+        worst, done, step, sharp = floor, 0, FIRST_BLOCKS, not len(self.matrix)
+        order = np.flatnonzero((bound > 0) & (bound >= _just_under(worst)))
+        order = order[np.argsort(-bound[order], kind="stable")]
+        while done < len(order) and bound[order[done]] >= _just_under(worst):
+            if worst > -np.inf and not sharp:
+                # The rarer terms' scores instead of their maxima, once there is something to compare them with.
+                order, done, sharp = order[done:], 0, True
+                total = self._totals(entries[self._within(order)[self.entry_block[entries]]], self.blocks * BLOCK)
+                bound = np.zeros(self.blocks)
+                bound[order] = (total.reshape(self.blocks, BLOCK)[order] + partial[order]).max(axis=1)
+                order = order[bound[order] >= _just_under(worst)]
+                order = order[np.argsort(-bound[order], kind="stable")]
+                continue
             # More and more blocks at a time, but none whose bound is below the k-th score.
             picked = order[done : done + step]
-            picked = picked[bound[picked] >= worst - (SLACK * abs(worst) if worst > -np.inf else 0)]
+            picked = picked[bound[picked] >= _just_under(worst)]
             done += step
             step *= 4
-            chosen = np.zeros(self.blocks, bool)
-            chosen[picked] = True
-            mine = entries[chosen[block]]
-            at = ranges(self.first[mine], self.after[mine])
-            total = np.bincount(self.row[at], self.score[at], minlength=self.rows)
-            hit = np.flatnonzero(total >= worst - SLACK * abs(worst) if worst > 0 else total)
+            slot = self.slot[query]
+            mine = self.entry_at[np.ix_(slot[slot >= 0], picked)].ravel()
+            # By term, so that scores are sums in one order always.
+            mine = np.sort(np.concatenate((mine[mine >= 0], entries[self._within(picked)[self.entry_block[entries]]])))
+            total = self._totals(mine, self.rows)
+            hit = np.flatnonzero(total >= _just_under(worst) if worst > 0 else total)
             places = np.concatenate((places, hit))
             scores = np.concatenate((scores, total[hit]))
             best = np.lexsort((rank[places], -scores))[:k]
@@ -169,6 +245,21 @@ class Shard:
                 worst = max(floor, scores[-1])
         return places, scores
 
+    def _within(self, blocks: np.ndarray) -> np.ndarray:
+        """For each block, whether it is one of the given."""
+        out = np.zeros(self.blocks, bool)
+        out[blocks] = True
+        return out
+
+    def _totals(self, entries: np.ndarray, rows: int) -> np.ndarray:
+        """Each document's score by some entries."""
+        at = ranges(self.first[entries], self.after[entries])
+        return np.bincount(self.row[at], self.score[at], minlength=rows)
+
+
+def _just_under(score: float) -> float:
+    return score - SLACK * abs(score) if score > -np.inf else score
+
 
 def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """start[0] .. stop[0] - 1, start[1] .. stop[1] - 1, and so on."""
@@ -263,8 +354,7 @@ def _searching(held, idf, at_least, average: float, k: int, shard_bytes: int, sc
             own = [keys[i] for i in shard.order]
             rank = np.empty(len(own), np.int64)
             rank[sorted(range(len(own)), key=lambda i: (own[i] is None, own[i]))] = np.arange(len(own))
-            for i in range(len(q.keys)):
-                places, scores = shard.search(q.members[q.offsets[i] : q.offsets[i + 1]], k, rank, floors[i])
+            for i, (places, scores) in enumerate(shard.search_all(q.members, q.offsets, k, rank, floors)):
                 if len(places):
                     best[i] = sorted([*best[i], *zip(scores.tolist(), (own[p] for p in places), strict=True)], key=ordered)[:k]
                     if len(best[i]) == k:

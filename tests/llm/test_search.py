@@ -111,6 +111,54 @@ def test_pruning_skips_blocks(spark):
     assert sum(seen[1:]) < 0.5 * len(shard.score)
 
 
+def common_words(n):
+    """Texts of 40 words out of 80, and of two rarer ones."""
+    r = random.Random(5)
+    return [" ".join(r.sample([f"w{i}" for i in range(80)], 40) + [f"r{r.randrange(300)}", f"r{r.randrange(300)}"]) for _ in range(n)]
+
+
+def test_frequent_terms_do_not_loosen_bounds(monkeypatch):
+    """Words that every block holds say little by their maxima; nearly all blocks were looked at for them."""
+    texts = common_words(2000)
+    q = S.read_queries([(0, texts[7])])
+    shard = S.Shard([pa.array(texts)], q.terms, np.log1p(2000 / np.arange(1, len(q.terms) + 1)), 42.0)
+    place = np.empty(2000, np.int64)
+    place[shard.order] = np.arange(2000)
+    total = np.bincount(shard.row, shard.score, minlength=2000)
+    best = np.lexsort((np.arange(2000), -total))[:3]
+    seen, ranges = [], S.ranges
+    monkeypatch.setattr(S, "ranges", lambda a, b: seen.append(int((b - a).sum())) or ranges(a, b))
+    places, scores = shard.search(q.members, 3, np.arange(2000), total[best[-1]])
+    assert places.tolist() == best.tolist() and places[0] == place[7]
+    assert (scores == total[best]).all()
+    assert sum(seen) < 0.25 * len(shard.score)
+
+
+@pytest.mark.parametrize("cells", [1, 3000, 40_000, S.CELLS])
+@pytest.mark.parametrize("frequent", [1, 4, 10_000])
+def test_many_queries_at_once_equal_scoring_everything(monkeypatch, cells, frequent):
+    """With a matrix of no, some and all terms, and queries one by one and together; from no bound, a low one and the k-th score."""
+    monkeypatch.setattr(S, "CELLS", cells)
+    monkeypatch.setattr(S, "FREQUENT", frequent)
+    texts = [*common_words(300), "", None, "w1", "alone", "r5 r5 r5"]
+    q = S.read_queries([(i, texts[i] or "") for i in range(0, len(texts), 7)] + [(-1, ""), (-2, "unknown"), (-3, "r5 w1 w2")])
+    r = np.random.default_rng(6)
+    shard = S.Shard([pa.array(texts[:100]), pa.array(texts[100:])], q.terms, r.random(len(q.terms)) + 0.01, 42.0)
+    rank = r.permutation(len(texts))
+    every, wanted = np.repeat(np.arange(len(q.terms)), np.diff(shard.of_term)), []
+    every = np.repeat(every, shard.after - shard.first)
+    for a, b in zip(q.offsets, q.offsets[1:]):
+        mine = np.isin(every, q.members[a:b])
+        total = np.bincount(shard.row[mine], shard.score[mine], minlength=len(texts))
+        hit = np.flatnonzero(total)
+        hit = hit[np.lexsort((rank[hit], -total[hit]))][:5]
+        wanted.append((hit.tolist(), total[hit].tolist()))
+    for share in (-np.inf, 0.1, 1.0):
+        floors = [share * w[1][-1] if w[1] else -np.inf for w in wanted]
+        got = [(p.tolist(), s.tolist()) for p, s in shard.search_all(q.members, q.offsets, 5, rank, floors)]
+        assert got == wanted
+
+
 def test_later_slices_hand_on_little(spark, monkeypatch):
     """Rows that tasks hand on follow the number of results, not that of shards."""
     monkeypatch.setattr(S, "FIRST_SLICE", 100)
