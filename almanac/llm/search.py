@@ -8,8 +8,9 @@ that have the same frequent words are neighbours, so that bounds are tight.
 
 Maxima of terms that most blocks hold would say little. So the scores of a shard's most frequent terms
 also stand in a matrix, whose product with many queries at once gives each document's sum of them; the
-greatest one of a block goes into its bound. Where a k-th score is known, the scores of the rarer terms then
-take the place of their maxima, and only blocks with a document that can still be a result are scored in full.
+greatest one of a block goes into its bound. Where a k-th score is known, the scores of the rarer terms take the
+place of their maxima, for many queries at once, and only the documents that can still be a result are scored, in the
+blocks whose bound reaches it.
 The matrix has single precision and only bounds; scores come from the postings. Scores use the number,
 average length and document frequencies of all documents, so that the best of every
 shard merge into the exact result.
@@ -20,7 +21,9 @@ these bounds: its tasks prune with them from their first block on, carry their o
 and hand on only what can still be among the best. The first slice has no bounds yet and is gathered in a few
 tasks. So each slice hands on a few times as many rows as there are results, however many shards it has.
 
-The query set is worked through in blocks of bounded size, one after the other, each broadcast to all tasks.
+The query set is worked through in blocks of bounded size, one after the other, each broadcast to all tasks. All
+documents are indexed once for each block, so blocks are large: queries are cut into terms by tasks, and the driver
+holds numbers of terms alone.
 
 The score of a document is the sum over the query's distinct terms; terms are runs of digits,
 letters and anything beyond ASCII, lower-cased. Only documents with a common term are results.
@@ -51,13 +54,13 @@ BLOCK = 32
 FIRST_BLOCKS = 4
 # Most bytes of text in a shard, and of query text in a block of queries.
 SHARD_BYTES = 12 << 20
-QUERY_BYTES = 16 << 20
+QUERY_BYTES = 128 << 20
 # The most frequent terms by which a shard's documents are ordered.
 SORT_TERMS = 24
 # A term in more than one of so many documents of a shard is frequent.
 FREQUENT = 32
-# Most cells of a shard's matrix of frequent terms and documents (the less frequent ones beyond that count as rare),
-# of its product with some queries, and most entries of these queries; a single query may have more.
+# Most cells of a shard's matrix of frequent terms and documents (the less frequent ones beyond that count as rare), and of its
+# product with some queries; half as many postings of some queries' rarer terms. A single query may have more.
 CELLS = 1 << 21
 # Bounds are sums of floats in another order than scores.
 SLACK = 1e-9
@@ -66,6 +69,8 @@ FIRST_SLICE, GROWTH = 4096, 4
 # Least number of tasks for the first slice; more if its texts fill more shards.
 FIRST_TASKS = 4
 HASHES = 1 << 20
+# Queries whose results a task hands on at once.
+OUT = 4096
 
 
 @dataclass
@@ -79,12 +84,44 @@ class Queries:
 
 
 def read_queries(rows: list) -> Queries:
-    w = T.words_of(pa.array([r[1] for r in rows], pa.string()), T.ALNUM)
-    h = w.hashes()
-    terms, member = np.unique(h, return_inverse=True)
-    n = max(len(terms), 1)
-    both = np.unique(w.rows() * n + member)
-    return Queries([r[0] for r in rows], terms, np.searchsorted(both, np.arange(len(rows) + 1) * n), both % n)
+    hashes, offsets = distinct_hashes(pa.array([r[1] for r in rows], pa.string()))
+    return numbered([r[0] for r in rows], [hashes], offsets)
+
+
+def distinct_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of each row's terms, ascending, and where each row's begin and end."""
+    w = T.words_of(texts, T.ALNUM)
+    h, row = w.hashes(), w.rows()
+    order = np.lexsort((h, row))
+    h, row = h[order], row[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+    return h[new], np.searchsorted(row[new], np.arange(len(w.bounds)))
+
+
+def numbered(keys: list, hashes: list[np.ndarray], offsets: np.ndarray) -> Queries:
+    """Queries with a number for each term that any of them has; their terms' hashes come in parts."""
+    none = np.zeros(0, np.uint64)
+    terms = np.unique(np.concatenate([none, *map(np.unique, hashes)]))
+    return Queries(keys, terms, offsets, np.concatenate([none.astype(np.int32), *[places_of(terms, h).astype(np.int32) for h in hashes]]))
+
+
+def _gathered(asked: DataFrame) -> Queries:
+    """The queries (q, t), cut into terms by tasks."""
+    ddl = f"q {asked.schema['q'].dataType.simpleString()}, terms binary"
+    schema = T.arrow_schema(ddl)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in T.pieces(batch, "t"):
+                h, at = distinct_hashes(piece.column(1))
+                terms = [h[a:b].tobytes() for a, b in zip(at, at[1:])]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(terms, pa.binary())], schema=schema)
+
+    found = asked.mapInArrow(run, ddl).toArrow()
+    parts = [T.as_bytes(x) for x in found.column("terms").chunks]
+    sizes = [np.diff(at) // 8 for _, at in parts]
+    return numbered(found.column("q").to_pylist(), [x.view(np.uint64) for x, _ in parts], np.r_[0, np.cumsum(np.concatenate([[], *sizes]))].astype(np.int64))
 
 
 def places_of(terms: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -129,7 +166,8 @@ class Shard:
         self.rows = before
         # Documents with the same frequent terms become neighbours.
         df = np.bincount(term, minlength=len(terms))
-        common = np.argsort(-df, kind="stable")
+        common = np.flatnonzero(df)
+        common = common[np.argsort(-df[common], kind="stable")]
         marks = common[:SORT_TERMS]
         bit = np.full(len(terms), -1)
         bit[marks] = np.arange(len(marks))
@@ -150,7 +188,10 @@ class Shard:
         self.after = np.r_[self.first[1:], len(entry)].astype(np.int64)
         self.entry_block = entry[self.first] % max(self.blocks, 1)
         self.most = np.maximum.reduceat(self.score, self.first) if len(entry) else np.zeros(0)
-        self.of_term = np.searchsorted(entry[self.first], np.arange(len(terms) + 1) * max(self.blocks, 1))
+        self.of_term = np.r_[0, np.cumsum(np.bincount(term[self.first], minlength=len(terms)))]
+        # Where each term's postings begin, and their scores rounded up.
+        self.run = np.r_[0, np.cumsum(df)]
+        self.upper = np.nextafter(self.score.astype(np.float32), np.float32(np.inf))
         # The most frequent terms' scores as a matrix, and the place of their entry for each block.
         common = common[: CELLS // max(self.blocks * BLOCK, 1)]
         common = common[df[common] * FREQUENT > before]
@@ -165,6 +206,11 @@ class Shard:
         slot = slot[self.first]
         self.entry_at = np.full((len(common), self.blocks), -1)
         self.entry_at[slot[slot >= 0], self.entry_block[slot >= 0]] = np.flatnonzero(slot >= 0)
+        # The postings by document as well, and marks for the terms of a query.
+        by = np.argsort(self.row.astype(np.min_scalar_type(max(before, 1))), kind="stable")
+        self.begin = np.r_[0, np.cumsum(np.bincount(self.row, minlength=self.blocks * BLOCK))]
+        self.term_of, self.score_of = term[by].astype(np.int32), self.score[by]
+        self.asked = np.zeros(len(terms), bool)
 
     def search(self, query: np.ndarray, k: int, rank: np.ndarray, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         """Places and scores of the best k documents that score ``floor`` or more, equal scores by ``rank``."""
@@ -174,46 +220,104 @@ class Shard:
         self, members: np.ndarray, offsets: np.ndarray, k: int, rank: np.ndarray, floors: Sequence[float]
     ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The same for each of many queries, query i of the terms members[offsets[i]] up to members[offsets[i + 1]]."""
-        rare = np.where(self.slot[members] < 0, self.of_term[members + 1] - self.of_term[members], 0)
-        many = np.r_[0, np.cumsum(rare)][offsets]
-        at = 0
-        while at < len(offsets) - 1:
+        every = max(CELLS // max(self.matrix.shape), 1)
+        rare = np.where(self.slot < 0, np.diff(self.run), 0)
+        for begin in range(0, len(offsets) - 1, every):
             # As many queries at a time as keep the arrays small.
-            to = min(at + CELLS // max(self.matrix.shape), int(np.searchsorted(many, many[at] + CELLS, "right")) - 1)
-            to = max(at + 1, to)
-            cut = offsets[at : to + 1] - offsets[at]
-            asked = members[offsets[at] : offsets[to]]
-            bounds, partial, entries = self._bounds(asked, cut)
-            own = many[at : to + 1] - many[at]
-            for i, (bound, part) in enumerate(zip(bounds, partial, strict=True)):
-                yield self._best(asked[cut[i] : cut[i + 1]], k, rank, floors[at + i], bound, part, entries[own[i] : own[i + 1]])
-            at = to
-
-    def _bounds(self, members: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """By query: the most that a document of each block can score, and that each document can by frequent terms; entries of all others."""
+            cuts = offsets[begin : begin + every + 1]
+            partials = self._frequent(members[cuts[0] : cuts[-1]], cuts - cuts[0])
+            own = np.r_[0, np.cumsum(rare[members[cuts[0] : cuts[-1]]])][cuts - cuts[0]]
+            at = 0
+            while at < len(partials):
+                to = min(at + max(every // 8, 1), int(np.searchsorted(own, own[at] + CELLS // 2, "right")) - 1)
+                to = max(to, at + 1)
+                cut, asked, partial = cuts[at : to + 1] - cuts[at], members[cuts[at] : cuts[to]], partials[at:to]
+                low = [floors[begin + i] for i in range(at, to)]
+                known = [x > -np.inf and len(self.matrix) > 0 for x in low]
+                docs, bounds, where = self._candidates(asked, cut, partial, low) if any(known) else (None, None, None)
+                for i, part in enumerate(partial):
+                    query = asked[cut[i] : cut[i + 1]]
+                    if not known[i]:
+                        yield self._best(query, k, rank, low[i], part)
+                    elif where[i] < where[i + 1]:
+                        yield self._among(query, k, rank, low[i], docs[where[i] : where[i + 1]], bounds[where[i] : where[i + 1]])
+                    else:
+                        yield np.zeros(0, np.int64), np.zeros(0)
+                at = to
+
+    def _frequent(self, members: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """By query, block and document: the most that it can score by frequent terms."""
         n = len(offsets) - 1
         query, slot = np.repeat(np.arange(n), np.diff(offsets)), self.slot[members]
         known = slot >= 0
         asked = np.zeros((n, len(self.matrix)), np.float32)
         asked[query[known], slot[known]] = 1
-        partial = np.zeros((n, self.blocks, 1), np.float32)
-        if len(self.matrix):
-            partial = (asked @ self.matrix).reshape(n, self.blocks, BLOCK)
-            # A sum of m numbers of 24 bits is short by less than m + 1 roundings.
-            partial *= np.float32(1 + (len(self.matrix) + 3) * 2.0**-23)
-        rare = members[~known]
-        start, stop = self.of_term[rare], self.of_term[rare + 1]
-        entries = ranges(start, stop)
-        cell = np.repeat(query[~known] * self.blocks, stop - start) + self.entry_block[entries]
-        most = np.bincount(cell, self.most[entries], minlength=n * self.blocks).reshape(n, self.blocks)
-        return most + partial.max(axis=2), partial, entries
-
-    def _best(
-        self, query: np.ndarray, k: int, rank: np.ndarray, floor: float, bound: np.ndarray, partial: np.ndarray, entries: np.ndarray
+        if not len(self.matrix):
+            return np.zeros((n, self.blocks, 1), np.float32)
+        partial = (asked @ self.matrix).reshape(n, self.blocks, BLOCK)
+        # A sum of m numbers of 24 bits is short by less than m + 1 roundings.
+        partial *= np.float32(1 + (len(self.matrix) + 3) * 2.0**-23)
+        return partial
+
+    def _candidates(
+        self, members: np.ndarray, offsets: np.ndarray, partial: np.ndarray, floors: list[float]
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Documents that may reach their query's floor, with the most that each can score, and where those of each query begin and end."""
+        n, width = len(offsets) - 1, self.blocks * BLOCK
+        base = np.repeat(np.arange(0, n * width, width), np.diff(offsets))
+        rare = self.slot[members] < 0
+        members, base = members[rare], base[rare]
+        start, stop = self.run[members], self.run[members + 1]
+        at = ranges(start, stop)
+        cell = self.row.take(at, mode="clip")
+        cell += np.repeat(base, stop - start)
+        total = np.bincount(cell, self.upper.take(at, mode="clip"), minlength=n * width).reshape(partial.shape)
+        total = total + partial
+        under = np.array([_just_under(x) for x in floors])
+        bound = total.max(axis=2)
+        query, block = np.nonzero((bound > 0) & (bound >= under[:, None]))
+        # In these blocks alone single documents are looked at.
+        total = total[query, block]
+        some, place = np.nonzero((total > 0) & (total >= under[query, None]))
+        return block[some] * BLOCK + place, total[some, place], np.searchsorted(query[some], np.arange(n + 1))
+
+    def _among(
+        self, query: np.ndarray, k: int, rank: np.ndarray, floor: float, docs: np.ndarray, bounds: np.ndarray
     ) -> tuple[np.ndarray, np.ndarray]:
-        """``search`` by one query's bounds, partial scores and entries as of ``_bounds``."""
+        """``search`` among the given documents by the most that each can score."""
+        places, scores = np.zeros(0, np.int64), np.zeros(0)
+        worst, done, step = floor, 0, 2 * k
+        order = np.argsort(-bounds, kind="stable")
+        self.asked[query] = True
+        while done < len(order) and bounds[order[done]] >= _just_under(worst):
+            picked = docs[order[done : done + step]]
+            done += step
+            step *= 4
+            # By term, so that scores are sums in one order always.
+            at = ranges(self.begin[picked], self.begin[picked + 1])
+            own = np.repeat(np.arange(len(picked)), self.begin[picked + 1] - self.begin[picked])
+            mine = self.asked[self.term_of[at]]
+            total = np.bincount(own[mine], self.score_of[at[mine]], minlength=len(picked))
+            hit = np.flatnonzero(total >= _just_under(worst) if worst > 0 else total)
+            places = np.concatenate((places, picked[hit]))
+            scores = np.concatenate((scores, total[hit]))
+            best = np.lexsort((rank[places], -scores))[:k]
+            places, scores = places[best], scores[best]
+            if len(scores) == k:
+                worst = max(floor, scores[-1])
+        self.asked[query] = False
+        return places, scores
+
+    def _best(self, query: np.ndarray, k: int, rank: np.ndarray, floor: float, partial: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``search`` for one query by the maxima of blocks and its documents' partial scores."""
+        slot = self.slot[query]
+        rare = query[slot < 0]
+        slot = slot[slot >= 0]
+        entries = ranges(self.of_term[rare], self.of_term[rare + 1])
+        sharp = not len(self.matrix)
+        bound = np.bincount(self.entry_block[entries], self.most[entries], minlength=self.blocks) + partial.max(axis=1)
         places, scores = np.zeros(0, np.int64), np.zeros(0)
-        worst, done, step, sharp = floor, 0, FIRST_BLOCKS, not len(self.matrix)
+        worst, done, step = floor, 0, FIRST_BLOCKS
         order = np.flatnonzero((bound > 0) & (bound >= _just_under(worst)))
         order = order[np.argsort(-bound[order], kind="stable")]
         while done < len(order) and bound[order[done]] >= _just_under(worst):
@@ -231,8 +335,7 @@ class Shard:
             picked = picked[bound[picked] >= _just_under(worst)]
             done += step
             step *= 4
-            slot = self.slot[query]
-            mine = self.entry_at[np.ix_(slot[slot >= 0], picked)].ravel()
+            mine = self.entry_at[np.ix_(slot, picked)].ravel()
             # By term, so that scores are sums in one order always.
             mine = np.sort(np.concatenate((mine[mine >= 0], entries[self._within(picked)[self.entry_block[entries]]])))
             total = self._totals(mine, self.rows)
@@ -271,23 +374,26 @@ def ranges(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
 
 def _statistics(docs: DataFrame, key: str, text: str, held) -> tuple[int, float, float, np.ndarray]:
     """Number of documents, their average length in words and in bytes, and each term's document frequency."""
-    rows = T.map_texts(docs, key, text, "term int, n long", lambda piece: _counts(piece, held.value.terms), T.PIECE_BYTES * 4)
-    counted = rows.groupBy("term").agg(F.sum("n").alias("n")).collect()
-    found = {r["term"]: r["n"] for r in counted}
-    df = np.zeros(len(held.value.terms))
-    for term, n in found.items():
-        if term >= 0:
-            df[term] = n
-    n = found.get(-1, 0)
-    return n, found.get(-2, 0) / max(n, 1), found.get(-3, 0) / max(n, 1), df
+    ddl = "term int, n long"
+    schema = T.arrow_schema(ddl)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The numbers of documents, words and bytes stand behind those of the terms.
+        terms = held.value.terms
+        count = np.zeros(len(terms) + 3, np.int64)
+        for batch in batches:
+            for piece in T.pieces(batch, limit=T.PIECE_BYTES * 4):
+                term, _, _, lengths = term_rows(piece.column(0), terms)
+                count[: len(terms)] += np.bincount(term, minlength=len(terms))
+                count[len(terms) :] += len(lengths), lengths.sum(), piece.column(0).nbytes
+        known = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.int32()), pa.array(count[known])], schema=schema)
 
-def _counts(piece: pa.RecordBatch, terms: np.ndarray) -> dict:
-    """Document frequencies in a piece; the number of documents as term -1, that of words as -2, that of bytes as -3."""
-    term, _, _, lengths = term_rows(piece.column(1), terms)
-    known, n = np.unique(term, return_counts=True)
-    sums = [len(lengths), lengths.sum(), piece.column(1).nbytes]
-    return {"term": np.concatenate((known, [-1, -2, -3])).astype(np.int32), "n": np.concatenate((n, sums)).astype(np.int64)}
+    counted = docs.select(docs[text].alias("text")).mapInArrow(run, ddl).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(len(held.value.terms) + 3)
+    total[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+    n, words, size = total[-3:]
+    return int(n), words / max(n, 1), size / max(n, 1), total[:-3]
 
 
 def search(
@@ -309,7 +415,7 @@ def search(
     def block(number: int) -> DataFrame:
         """The best k documents of a block's queries."""
         context = docs.sparkSession.sparkContext
-        held = context.broadcast(read_queries(asked.where(part == number).collect()))
+        held = context.broadcast(_gathered(asked.where(part == number)))
         n, average, width, df = _statistics(docs, key, text, held)
         idf = context.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
         best, floors, reached = None, np.full(len(held.value.keys), -np.inf), 0
@@ -373,8 +479,9 @@ def _searching(held, idf, at_least, average: float, k: int, shard_bytes: int, sc
                     keys, texts, size = [], [], 0
         if keys:
             answer(keys, texts)
-        out = [(i, q.keys[i], key, score) for i, found in enumerate(best) for score, key in found]
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        for at in range(0, len(best), OUT):
+            out = [(i, q.keys[i], key, score) for i, found in enumerate(best[at : at + OUT], at) for score, key in found]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
     return run

@@ -159,6 +159,36 @@ def test_many_queries_at_once_equal_scoring_everything(monkeypatch, cells, frequ
         assert got == wanted
 
 
+def test_queries_without_results_in_a_shard_are_left_out_together(monkeypatch):
+    """Queries whose k-th score no document of a shard reaches were looked at one by one."""
+    texts = common_words(600)
+    q = S.read_queries([(i, texts[i]) for i in range(200)])
+    shard = S.Shard([pa.array(texts)], q.terms, np.log1p(600 / np.arange(1, len(q.terms) + 1)), 42.0)
+    rank, looked = np.arange(600), []
+    top = [float(s[0]) for _, s in shard.search_all(q.members, q.offsets, 1, rank, [-np.inf] * 200)]
+    for name in ("_best", "_among"):
+        monkeypatch.setattr(S.Shard, name, lambda *a, f=getattr(S.Shard, name, None): looked.append(1) or f(*a))
+    # Each query's best is its own text; every tenth may find it again, the others want more than it has.
+    floors = [x if i % 10 == 0 else x * 1.01 for i, x in enumerate(top)]
+    found = [p.tolist() for p, _ in shard.search_all(q.members, q.offsets, 1, rank, floors)]
+    assert [len(p) for p in found] == [int(i % 10 == 0) for i in range(200)]
+    assert all(shard.order[p[0]] == i for i, p in enumerate(found) if p)
+    assert len(looked) == 20
+
+
+def test_documents_are_indexed_once_for_many_queries(spark, monkeypatch):
+    """Every 16 MB of queries had all documents cut into words and indexed anew, and their texts gathered on the driver."""
+    blocks, gathered = [], S._gathered
+    monkeypatch.setattr(S, "_gathered", lambda asked: blocks.append(gathered(asked)) or blocks[-1])
+    df = spark.createDataFrame([(1, "alpha beta"), (2, "gamma delta delta"), (3, "beta")], "doc_id long, text string")
+    long = spark.range(10).selectExpr("id as query_id", "concat(repeat('alpha gamma ', 160000), 'w', id, ' beta') as text")
+    got = S.search(df, long).collect()
+    assert len(blocks) == 1
+    assert sorted(blocks[0].keys) == list(range(10)) and len(blocks[0].terms) == 13 and blocks[0].offsets.tolist() == list(range(0, 41, 4))
+    assert {x.query_id: x.doc_id for x in got if x.rank == 1} == dict.fromkeys(range(10), 1)
+    assert len(got) == 30
+
+
 def test_later_slices_hand_on_little(spark, monkeypatch):
     """Rows that tasks hand on follow the number of results, not that of shards."""
     monkeypatch.setattr(S, "FIRST_SLICE", 100)
